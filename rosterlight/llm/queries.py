@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, quality
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -21,15 +21,48 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op9_quality_rules": op9_quality_rules,
 }
 
+_BLANK = r"[ \t-\r]"
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS p
+              FROM (SELECT r, list_filter(string_split_regex(t, '{_BLANK}+'), lambda x: x <> '') AS l FROM d)),
+        five AS (SELECT r, p, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS g,
+                        lead(word, 4) OVER o AS fifth FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+        again AS (SELECT r, p FROM five WHERE fifth IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) >= 2),
+        rep AS (SELECT r, count(DISTINCT p + k) AS n FROM again, range(5) AS s(k) GROUP BY r),
+        nw AS (SELECT r, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY r),
+        ln AS (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d),
+        lb AS (SELECT r, x, length(b) AS letters, length(x) - length(b) AS gaps, length(b) - length(regexp_replace(b, '[#*$%&<>]', '', 'g')) AS noise,
+                      length(b) - length(replace(b, '!', '')) AS bangs, length(b) - length(replace(b, '|', '')) AS bars,
+                      regexp_matches(b, '[.!?:;,"''”»)\]]$') AS ended
+               FROM (SELECT r, x, regexp_replace(x, '{_BLANK}', '', 'g') AS b FROM ln)),
+        lf AS (SELECT r, x, letters, letters > 0 AND (noise * 10 > letters OR bangs * 10 > letters OR (bars >= 3 AND bars * 4 >= gaps)
+                      OR (gaps < 20 AND regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}')) OR (gaps < 2 AND NOT ended)) AS fails FROM lb),
+        ls AS (SELECT r, count(*) FILTER (letters > 0) - count(DISTINCT x) FILTER (letters > 0) AS dup, sum(CASE WHEN fails THEN 0 ELSE letters END) AS left_ FROM lf GROUP BY r),
+        q AS (SELECT doc_id, coalesce(nw.n, 0)::BIGINT AS n_words, coalesce(nw.chars, 0)::BIGINT AS word_chars,
+                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                     ls.dup::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, ls.left_ AS left_
+              FROM d JOIN ls USING (r) LEFT JOIN nw USING (r) LEFT JOIN rep USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND left_ >= word_chars * 0.5 AS kept
+        FROM q
+    """,
 }
