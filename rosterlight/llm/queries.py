@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, quality, warc
-from .common import table
+from . import bpe, exact_dedup, language_id, license_scan, minhash, quality, warc
+from .common import id_fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -21,10 +21,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_fold(docs["doc_id"], 3) == 1
+    found = language_id.identified(docs, ~held_out)
+    return found.select("doc_id", (id_fold(found["doc_id"], 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(table(spark, sf_dir, "pages"))
 
@@ -36,7 +47,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_minhash": op4_minhash,
+    "op6_language_id": op6_language_id,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
