@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, license_scan, minhash, quality, warc
+from . import bpe, exact_dedup, language_id, license_scan, minhash, packing, quality, warc
 from .common import id_fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold(found["doc_id"], 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_minhash": op4_minhash,
     "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
