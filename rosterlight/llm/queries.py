@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, license_scan, minhash, packing, quality, warc
+from . import bpe, exact_dedup, language_id, license_scan, lm, minhash, packing, quality, warc
 from .common import id_fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -48,6 +48,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = id_fold(docs["doc_id"], 10)
+    found = lm.scored(docs, fold != 0, fold == 1)
+    return found.select("doc_id", (~found["train"]).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 
 _BLANK = r"[ \t-\r]"
