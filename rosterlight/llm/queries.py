@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, lm, minhash, packing, quality, warc
+from . import bpe, exact_dedup, language_id, license_scan, lm, minhash, packing, quality, token_counts, warc
 from .common import id_fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -29,6 +30,18 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document, their places a function of its id and length: an insertion, a removal, a replacement."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    state = token_counts.trees(docs, public_tokenizers.path(BYTE_BPE))
+    size = F.aggregate("leaves", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    place = lambda k: F.pmod(F.coalesce("doc_id", F.lit(0)) * k, size + 1)
+    edit = lambda at, remove, insert: F.struct(at.alias("place"), F.lit(remove).cast("long").alias("remove"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(place(7919), 0, " an inserted clause, "), edit(place(104729), 12, ""), edit(place(1299709), 5, "it's\n2024"))
+    after = token_counts.edited(state.withColumn("edits", edits), public_tokenizers.path(BYTE_BPE))
+    return after.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_leaves", "n_encoded")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_fold(docs["doc_id"], 3) == 1
@@ -60,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_license_scan": op3_license_scan,
     "op4_minhash": op4_minhash,
+    "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
