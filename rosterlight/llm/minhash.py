@@ -159,7 +159,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, root, text) -> candidate pairs (a, b) of different roots, none missing that has the similarity.
 
-    Shingles are ordered by how many of ``nodes`` hold them.  A posting with one root gives no pair.
+    Shingles are ordered by how many of ``nodes`` hold them, so what is a text's own comes first and bounds what it can
+    share.  A posting with one root gives no pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +180,10 @@ def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
     seen = cut.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("several"))
     whole = cut.join(seen, "sh").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh", "several"))).alias("l"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    post = whole.select("id", "root", "n", F.explode(F.slice("l", F.lit(1), first.cast("int"))).alias("x")).where("x.several").select("id", "root", "n", F.col("x.sh").alias("sh"))
+    post = whole.select("id", "root", "n", F.posexplode(F.slice("l", F.lit(1), first.cast("int"))).alias("i", "x")).where("x.several").select("id", "root", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("x.sh").alias("sh"))
     x, y = post.alias("x"), post.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    # at their first common shingle two sets can share no more than what follows it in either
+    fits = F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     pairs = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.id") < F.col("y.id")) & fits)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
