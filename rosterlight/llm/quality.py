@@ -147,5 +147,7 @@ def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that stay, same columns, their failing lines removed."""
     name = free_name(docs, "quality_")
     own = docs.withColumnRenamed("quality", name) if "quality" in docs.columns else docs
-    kept = judged(own, text_col).where("quality.kept")
+    # a filter right above would be pushed below all the steps, which then stand in it many times over; a generator stops it
+    rest = [F.col(f"`{c}`") for c in own.columns]
+    kept = judged(own, text_col).select(*rest, F.explode_outer(F.array("quality")).alias("quality")).where("quality.kept")
     return kept.select(*[(F.col("quality.text") if c == text_col else F.col(f"`{name if c == 'quality' else c}`")).alias(c) for c in docs.columns])
