@@ -27,7 +27,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 SHORT = 48
 REMEMBERED = 600_000
-_NONE = np.int32(2**31 - 1)
+FEW = 48
+NEVER = 2**31 - 1
+_NONE = np.int32(NEVER)
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,7 +70,8 @@ class Bpe:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order]
         self.result = made  # by rank
         self._table()
-        self.pairs = None  # of ints, for long words
+        self.pairs = None  # of ints, for single words
+        self.byte_list, self.result_list = self.byte_ids.tolist(), self.result.tolist()
         self.find = regex.compile(PATTERN).findall
         self.doubled = regex.compile(r"\s\s").search
         self.head: dict[str, bytes] = {}
@@ -113,6 +116,8 @@ class Bpe:
 
     def merge_short(self, words: list[bytes]) -> list[bytes]:
         """The ids of words of at most ``SHORT`` bytes, all at once."""
+        if len(words) < FEW:
+            return [self.merge_one(w) for w in words]
         out = [b""] * len(words)
         sizes = np.array([len(w) for w in words])
         order = np.argsort(sizes, kind="stable")
@@ -161,12 +166,32 @@ class Bpe:
         for i, at, k in zip(block.tolist(), range(0, len(flat), step), (4 * n).tolist(), strict=True):
             out[i] = flat[at : at + k]
 
-    def merge_long(self, word: bytes) -> np.ndarray:
-        """The ids of one word by a heap of (rank, place) over a linked list."""
+    def merge_one(self, word: bytes) -> bytes:
+        """The ids of one short word by the same steps on two lists, for batches too small for a matrix."""
+        parts, shift, get = [self.byte_list[b] for b in word], int(self.shift), self._pairs().get
+        ranks = [get(a * shift + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            lowest = min(ranks)
+            if lowest == NEVER:
+                break
+            i = ranks.index(lowest)
+            parts[i : i + 2] = [self.result_list[lowest]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(parts[i] * shift + parts[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = get(parts[i - 1] * shift + parts[i], NEVER)
+        return np.array(parts, np.uint32).tobytes()
+
+    def _pairs(self) -> dict[int, int]:
         if self.pairs is None:
             self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        return self.pairs
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word by a heap of (rank, place) over a linked list."""
         ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n, shift, get = len(ids), int(self.shift), self.pairs.get
+        n, shift, get = len(ids), int(self.shift), self._pairs().get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] * shift + ids[i + 1])) is not None]
         heapq.heapify(heap)
@@ -225,8 +250,8 @@ class Bpe:
                 for line in c or ():
                     heads.add(line[0])
                     spaced.update(line[1:])
-            self._learn(self.head, "", heads - self.head.keys())
-            self._learn(self.spaced, " ", spaced - self.spaced.keys())
+            self._learn(self.head, "", {p for p in heads if p not in self.head})
+            self._learn(self.spaced, " ", {p for p in spaced if p not in self.spaced})
             head, get, feed = self.head, self.spaced.__getitem__, np.uint32(self.byte_ids[10]).tobytes()
             for t, c in zip(some, cut, strict=True):
                 ids = self._by_pattern(t) if c is None else feed.join([b"".join([head[line[0]], *map(get, line[1:])]) for line in c])

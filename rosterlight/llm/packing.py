@@ -77,7 +77,7 @@ class WordTokens:
                 plain.append((c, core.lower(), stop))
             else:
                 other.append(c)
-        fresh = list({core for _, core, _ in plain} - self.cores.keys())
+        fresh = list({core for _, core, _ in plain if core not in self.cores})
         self.cores.update(zip(fresh, self._words(fresh), strict=True))
         self.chunks.update((c, self.cores[core] + self.stop[stop] if stop else self.cores[core]) for c, core, stop in plain)
         self.chunks.update(zip(other, self._raw(other), strict=True))
@@ -92,7 +92,7 @@ class WordTokens:
                 met.update(c or ())
             if len(self.chunks) > REMEMBERED:
                 self.chunks.clear()
-            self._learn(met - self.chunks.keys())
+            self._learn({c for c in met if c not in self.chunks})
             get = self.chunks.__getitem__
             for t, c in zip(some, cut, strict=True):
                 yield self._raw([t])[0] if c is None else b"".join(map(get, c))
