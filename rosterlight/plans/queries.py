@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import demand, ratings, rules, scheduling, temporal
+from ..operators import demand, ratings, rules, scheduling, temporal, views
 from ..sources import html_tables, sinks, testviews
 from ..sources.testviews import END, START, Views
 
@@ -441,3 +441,42 @@ def break_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("start_min") - F.lag("end_min").over(Window.partitionBy("date", "entry_id").orderBy("start_min"))
     close = plan.select(gap.alias("gap")).agg(F.count_if(F.col("gap") < 90).alias("too_close"))
     return busy.crossJoin(close)
+
+
+@query(
+    """, held AS (SELECT employee_id, arg_max(level_id, effective_from) AS level_id FROM employee_levels WHERE effective_from <= DATE '2024-01-20' GROUP BY employee_id),
+    a AS (SELECT employee_id, count(*) AS n, sum(start_min + 7 * end_min + 100000 * weekday) AS s FROM availability GROUP BY employee_id)
+    SELECT e.employee_id, l.level_name AS level, CAST(coalesce(a.n, 0) AS BIGINT) AS windows, CAST(coalesce(a.s, 0) AS BIGINT) AS window_sum, CAST((SELECT count(*) FROM time_off o WHERE o.employee_id = e.employee_id) AS BIGINT) AS times_off
+    FROM employees e LEFT JOIN held USING (employee_id) LEFT JOIN levels l ON l.level_id = held.level_id LEFT JOIN a ON a.employee_id = e.employee_id"""
+)
+def employee_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    rows = views.employee_view(v.employees, v.employee_levels, v.levels, v.availability, v.time_off, F.lit("2024-01-20").cast("date"))
+    total = F.aggregate("availability", F.lit(0).cast("long"), lambda a, w: a + w["start_min"] + 7 * w["end_min"] + 100000 * w["weekday"])
+    return rows.select("employee_id", "level", F.size("availability").cast("long").alias("windows"), total.alias("window_sum"), F.size("time_off").cast("long").alias("times_off"))
+
+
+@query(
+    f"""{_OPEN}
+    SELECT s.shift_id, (SELECT count(*) FROM assignments a WHERE a.shift_id = s.shift_id) AS assigned, (SELECT CAST(sum(count) AS BIGINT) FROM requirements r WHERE r.shift_id = s.shift_id) AS wanted,
+           CAST(coalesce((SELECT sum(missing) FROM open o WHERE o.shift_id = s.shift_id), 0) AS BIGINT) AS missing FROM shifts s"""
+)
+def schedule_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    rows = views.schedule_view(v.shifts, v.requirements, v.assignments, rules.unfilled(v.requirements, v.assignments))
+    add = lambda c, f: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x[f]), F.lit(0).cast("long"))
+    return rows.select("shift_id", F.coalesce(F.size("assignments"), F.lit(0)).cast("long").alias("assigned"), add("requirements", "count").alias("wanted"), add("unfilled", "missing").alias("missing"))
+
+
+@query(
+    f"""{_EDGES.replace("480", "0")}{_OWN},
+    asked AS (SELECT e.employee_id, s.shift_id, e.level_id FROM employees e, shifts s WHERE (e.employee_id + s.shift_id) % 9 = 0)
+    SELECT k.employee_id, k.shift_id, k.level_id, CASE WHEN NOT EXISTS (SELECT 1 FROM requirements r WHERE r.shift_id = k.shift_id AND r.level_id = k.level_id) THEN 'no such requirement'
+             WHEN EXISTS (SELECT 1 FROM assignments a WHERE a.shift_id = k.shift_id AND a.employee_id = k.employee_id) THEN 'already on the shift'
+             WHEN EXISTS (SELECT 1 FROM own m JOIN edges x ON (x.a = m.shift_id AND x.b = k.shift_id) OR (x.b = m.shift_id AND x.a = k.shift_id) WHERE m.employee_id = k.employee_id) THEN 'overlaps another shift' END AS problem
+    FROM asked k"""
+)
+def manual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    asked = v.employees.select("employee_id", "level_id").crossJoin(v.shifts.select("shift_id")).where("(employee_id + shift_id) % 9 = 0")
+    return views.manual_check(asked, v.requirements, v.assignments, v.shifts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 START, END = "2024-01-03", "2024-01-27"
 
+# The seeded levels; targets, rules and weeks are this table set's own.
 LEVELS = [(1, "Manager", 100, True), (2, "Shift Lead", 90, True), (3, "AM in Training", 80, True), (4, "B2", 70, True), (5, "B1", 60, True), (6, "K1", 50, True), (7, "T2", 40, True), (8, "Training", 10, False)]
 SLAS = [(300, 0.9, "2000-01-01"), (240, 0.5, "2024-01-10"), (420, 0.9, "2024-01-20"), (200, 0.6, "2030-01-01")]
 RULES = [(210, 1, 0), (361, 2, 1)]
