@@ -46,3 +46,9 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def apart(key: Column) -> Column:
+    """Always 0, to group by beside ``key``: what is grouped by both is dealt anew in a join on ``key`` alone, and only a side
+    that is dealt anew lets adaptive execution split the other side's hot keys."""
+    return F.pmod(F.xxhash64(key), F.lit(1)).alias("apart_")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, stored
 from .kernels import chained, mix, row_shingles, signed
 
 BINS = 128
@@ -136,7 +136,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if not edges.take(1):
             break
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a")))
-        up = both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to"))
+        up = both.groupBy("id", apart(F.col("id"))).agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to"))
         for _ in range(2):
             on = up.select(F.col("id").alias("to"), F.col("to").alias("next"))
             up = up.join(on, "to").select("id", F.col("next").alias("to"))
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(nodes, "nodes")
 
     buckets = nodes.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket", F.lit(0).alias("one")).agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last")
+    centres = buckets.groupBy("bucket", apart(F.col("bucket"))).agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last")
     members = stored(buckets.join(centres.select("bucket", "centre"), "bucket"), "buckets")
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirmed(stars, rows, words, percent), "star-links")
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets that still hold several classes
     classed = members.select("id", "bucket").join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
-    mixed = classed.groupBy("bucket", F.lit(0).alias("one")).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y AND k > 2").select("bucket")
+    mixed = classed.groupBy("bucket", apart(F.col("bucket"))).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y AND k > 2").select("bucket")
     open_ = classed.join(mixed, "bucket", "left_semi").select("id", "root").distinct()
     left = stored(rows.join(open_, "id"), "open")
     more = confirmed(prefix_pairs(left, words, percent), left.select("id", "text"), words, percent)
