@@ -152,14 +152,13 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
     A null text and one without a letter are ``und`` with score 0 and rejected, as is every text if nothing was learned.
     Else lang_pred is the nearest language even where ``rejected`` is true.  Ties go to the language that sorts first.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*rest, docs[text_col].alias("text__"))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + f", `{lang}` string, `{score}` double, `{rejected}` boolean"
     names = [*docs.columns, lang, score, rejected]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(b.num_columns - 1)
+            column = b.column(place)
             which, best, far = np.zeros(len(column), int), np.zeros(len(column)), np.ones(len(column), bool)
             data, at = text_buffers(column)
             ascii_letter = np.zeros(256, bool)
@@ -177,7 +176,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
             known = [bool(len(model.centroids)) and (bool(p) or not _no_letter(column[i].as_py())) for i, p in enumerate(plain)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *b.columns[:-1],
+                    *b.columns,
                     pa.array([model.languages[w] if ok else UNKNOWN for w, ok in zip(which, known, strict=True)], pa.string()),
                     pa.array(np.where(known, np.clip(best, 0, 1), 0.0)),
                     pa.array(far | ~np.array(known, bool)),
@@ -185,7 +184,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
                 names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -31,7 +31,7 @@ POPULATION = 4
 GENERATIONS = 12
 EPOCHS = 2
 WELL_FILLED = 0.985  # of the capacity: bins that crossover may inject, and that the second round leaves alone
-REMEMBERED = 400_000
+REMEMBERED = 300_000  # chunks; of the words in them two thirds as many
 
 
 class WordTokens:
@@ -68,7 +68,7 @@ class WordTokens:
 
     def _learn(self, chunks: set[str]) -> None:
         """Words of Latin letters are looked up in lower case and without a full stop or comma, as the vocabulary's own rules treat them."""
-        if len(self.cores) > REMEMBERED:
+        if len(self.cores) > REMEMBERED * 2 // 3:
             self.cores.clear()
         plain, other = [], []
         for c in chunks:
