@@ -129,9 +129,11 @@ def fit(rows: DataFrame, per_language: int = 600, clusters: int = 4) -> Model:
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     names = sorted(sizes)
     rate = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / sizes[k]))])[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.ceil(rate * (1 << 20))).select("lang", "text")
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.ceil(rate * (1 << 20)))
+    sample = sample.dropDuplicates(["id", "text"]).select("lang", "text")  # repeated rows share a hash
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("text")
         x = np.concatenate([vectors(tf, idf) for _, tf in counts(pa.array(pdf["text"], pa.string()))])
         c, cosine = kmeans(x, clusters)
         own = (x @ c.T).argmax(1)
