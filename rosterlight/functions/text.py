@@ -21,7 +21,7 @@ def normal(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Each run of letters with a capital first: ``cruz-bonde`` becomes ``Cruz-Bonde``, which initcap does not do."""
+    """Each run of letters with a capital first: ``ann-lee`` becomes ``Ann-Lee``, which initcap does not do."""
     parts = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.lower(F.substr(p, F.lit(2))))), "")
 
