@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import stored
 
 CAPACITY = 4096
@@ -31,7 +32,22 @@ POPULATION = 4
 GENERATIONS = 12
 EPOCHS = 2
 WELL_FILLED = 0.985  # of the capacity: bins that crossover may inject, and that the second round leaves alone
-REMEMBERED = 300_000  # chunks; of the words in them two thirds as many
+REMEMBERED = 500_000
+
+
+# Texts of these characters alone, without two stops together, may be lower-cased whole and cut at stops and commas as at blanks.
+_STOPS = ".,"
+_PLAIN = frozenset(c for c in map(chr, range(256)) if c.isalpha() or c.isascii() and c.isdigit() or c in " \t\n\r" + _STOPS)
+# Blanks that other engines cut differently.
+_ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r")
+
+
+def _chunks(text: str) -> list[str] | None:
+    """The chunks of a text that can be encoded apart; None if it must be encoded whole."""
+    letters = set(text)
+    if letters <= _PLAIN and not any(a + b in text for a in _STOPS for b in _STOPS):
+        return text.lower().replace(".", " . ").replace(",", " , ").split()
+    return None if letters & _ODD or "<|" in text else text.split()
 
 
 class WordTokens:
@@ -45,48 +61,42 @@ class WordTokens:
         self.model.no_truncation()
         self.model.no_padding()
         self.chunks: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        # blanks beyond the usual four are cut differently by other engines; a special token is one only in its whole text
-        self.odd = re.compile(r"[^\S \t\n\r]|<\|").search
+        self.tokenize = self.model.model.tokenize
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.stop = {p: self._raw([p])[0] for p in (".", ",")}
-        ends = [i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]
-        self.ends_word = np.zeros(max(ends) + 1, bool)
-        self.ends_word[ends] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words that are one pre-token each: encoded some hundred in a text, and cut where a token ends a word."""
-        out = []
-        texts = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        for e in self.model.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            out.extend(map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)))
-        return out
+    def _word(self, word: str) -> bytes:
+        """The ids of a lower-case word of Latin letters: one pre-token, which the vocabulary's model takes as it is."""
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         """Words of Latin letters are looked up in lower case and without a full stop or comma, as the vocabulary's own rules treat them."""
-        if len(self.cores) > REMEMBERED * 2 // 3:
-            self.cores.clear()
-        plain, other = [], []
+        known, plain, other = self.chunks, [], []
         for c in chunks:
+            if c.isascii() and c.isalpha() and c.islower():
+                known[c] = self._word(c)
+                continue
             core, stop = (c[:-1], c[-1]) if c[-1] in self.stop else (c, "")
-            if core.isalpha() and max(core) <= "\xff":
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
                 plain.append((c, core.lower(), stop))
             else:
                 other.append(c)
-        fresh = list({core for _, core, _ in plain if core not in self.cores})
-        self.cores.update(zip(fresh, self._words(fresh), strict=True))
-        self.chunks.update((c, self.cores[core] + self.stop[stop] if stop else self.cores[core]) for c, core, stop in plain)
-        self.chunks.update(zip(other, self._raw(other), strict=True))
+        known.update(zip(other, self._raw(other), strict=True))
+        for c, core, stop in plain:
+            ids = known.get(core)
+            if ids is None:
+                ids = known[core] = self._word(core)
+            known[c] = ids + self.stop[stop] if stop else ids
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as the bytes of unsigned 32-bit numbers."""
         for first in range(0, len(texts), 512):
             some = texts[first : first + 512]
-            cut = [None if self.odd(t) else t.split() for t in some]
+            cut = [_chunks(t) for t in some]
             met: set[str] = set()
             for c in cut:
                 met.update(c or ())

@@ -17,6 +17,7 @@ def test_chunks_give_the_ids_of_whole_texts():
     rnd = random.Random(2)
     texts = ["", " ", "Hello, World. It's FINE.", "a\x1cb", "x\x85y\xa0z", "<|endoftext|> a<|startoftext|>", "Été İ ΣΣ.", "12.5,7", "..,,", "a" * 900, "日本 \U0001f642\U0001f642."]
     texts += ["".join(rnd.choice(" \n\tab'sESé1!<|>.,\U0001f642\x00́") for _ in range(rnd.randrange(50))) for _ in range(2000)]
+    texts += ["".join(rnd.choice(" \n\tabcSéÀßµÿ.,12") for _ in range(rnd.randrange(40))) for _ in range(2000)]
     for t, raw in zip(texts, own.encode_batch(texts), strict=True):
         assert np.frombuffer(raw, np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
