@@ -143,9 +143,9 @@ def _asked(table: DataFrame, bits: int, ranges: int) -> DataFrame:
 def _answered(asked: DataFrame, ranges: int) -> DataFrame:
     """block, part, n, all, kept: for each question the counts over all training documents and, for deleted blocks, without the deleted.
 
-    Of each unigram range one more row, of block -1, has the number of distinct tokens and of tokens: all and kept.
+    Of each unigram range one more row, of block -1, has in ``sums`` the distinct tokens and tokens: all, then kept.
     """
-    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("all", pa.binary()), ("kept", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("all", pa.binary()), ("kept", pa.binary()), ("sums", pa.list_(pa.int64()))])
 
     def group(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -158,14 +158,13 @@ def _answered(asked: DataFrame, ranges: int) -> DataFrame:
         out, i = [], 0
         for r in rows:
             own = at[i : i + r["n"]]
-            out.append({"block": r["block"], "part": r["part"], "n": r["n"], "all": packed_ints(total[own]), "kept": packed_ints(kept[own]) if r["deleted"] else None})
+            out.append({"block": r["block"], "part": r["part"], "n": r["n"], "all": packed_ints(total[own]), "kept": packed_ints(kept[own]) if r["deleted"] else None, "sums": None})
             i += r["n"]
         if rows[0]["part"] < ranges:
-            sums = lambda c: packed_ints(np.array([(c > 0).sum(), c.sum()], np.uint64))
-            out.append({"block": -1, "part": rows[0]["part"], "n": 2, "all": sums(total), "kept": sums(kept)})
+            out.append({"block": -1, "part": rows[0]["part"], "n": 0, "all": None, "kept": None, "sums": [int(x) for c in (total, kept) for x in ((c > 0).sum(), c.sum())]})
         return pa.Table.from_pylist(out, schema)
 
-    return asked.groupBy("part").applyInArrow(group, "block long, part long, n long, all binary, kept binary")
+    return asked.groupBy("part").applyInArrow(group, "block long, part long, n long, all binary, kept binary, sums array<bigint>")
 
 
 def _with_answers(table: DataFrame, answers: DataFrame, which: str) -> DataFrame:
@@ -243,10 +242,8 @@ def scored(docs: DataFrame, train: Column, deleted: Column, id_col: str = "doc_i
     bits = min(64, max(1, int(tokens)).bit_length() + 24)
     ranges = 1 << max(0, math.ceil(math.log2(max(1, tokens) / RANGE_TOKENS)))
     answers = stored(_answered(_asked(table, bits, ranges), ranges), "lm-counts")
-    sums = np.zeros((2, 2), np.int64)
-    for r in answers.where("block < 0").toLocalIterator():
-        sums += np.array([unpacked_ints(r["all"], 2), unpacked_ints(r["kept"], 2)]).astype(np.int64)
-    (v, n), (v_kept, n_kept) = sums.tolist()
+    sums = answers.where("block < 0").agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4)]).first()
+    v, n, v_kept, n_kept = sums
 
     held = _with_answers(table.where("deleted"), answers.where("kept IS NOT NULL"), "kept")
     cells = _cells(held, bits, ranges, n_kept).collect()  # at most octaves * quarters^2 rows, whatever the corpus
