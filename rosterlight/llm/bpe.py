@@ -76,6 +76,7 @@ class Bpe:
         self.doubled = regex.compile(r"\s\s").search
         self.head: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}  # of texts that are cut by the pattern
 
     def _table(self) -> None:
         """Open addressing of the pairs, so that a look-up is two or three gathers."""
@@ -264,9 +265,11 @@ class Bpe:
                 out.append(np.uint32(self.special[part]).tobytes())
                 continue
             cut = self.find(part)
-            fresh = list(set(cut))
-            ids = dict(zip(fresh, self.words(fresh), strict=True))
-            out.extend(map(ids.__getitem__, cut))
+            if len(self.pretokens) > REMEMBERED // 4:
+                self.pretokens.clear()
+            fresh = [w for w in set(cut) if w not in self.pretokens]
+            self.pretokens.update(zip(fresh, self.words(fresh), strict=True))
+            out.extend(map(self.pretokens.__getitem__, cut))
         return b"".join(out)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
