@@ -70,6 +70,22 @@ def carried(value: Column, order: str, keys: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def carried_by_range(df: DataFrame, value: Column, order: str, key: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` with ``name``: the last non-null ``value`` of its key at or before a row, in the whole-number column ``order``.
+
+    A key is cut into ranges of ``width`` places, so that one that holds most rows fills many tasks.  Only the last value
+    of each range goes through the window over a whole key; it fills the head of the ranges behind it.
+    """
+    rows = df.withColumns({"value__": value, "range__": F.floor(F.col(order) / width)})
+    w = Window.partitionBy(key, "range__").orderBy(order)
+    own = rows.withColumn("own__", F.last("value__", ignorenulls=True).over(w))
+    ends = rows.groupBy(key, "range__").agg(F.max_by("value__", F.when(F.col("value__").isNotNull(), F.col(order))).alias("end__"))
+    before = Window.partitionBy(key).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(F.col(key).alias("key__"), F.col("range__").alias("at__"), F.last("end__", ignorenulls=True).over(before).alias("head__"))
+    got = own.join(heads, own[key].eqNullSafe(F.col("key__")) & own["range__"].eqNullSafe(F.col("at__")), "left")
+    return got.withColumn(name, F.coalesce("own__", "head__")).select(*df.columns, name)
+
+
 def last_level_run(df: DataFrame, key: str, day: str, level: str) -> DataFrame:
     """Per key the last level and the first day of its last unbroken run: key, level, since."""
     down = Window.partitionBy(key).orderBy(F.desc(day))

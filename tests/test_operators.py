@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rosterlight.operators import ratings, rules, scheduling, temporal
+from rosterlight.plans import queries
 
 T = dt.datetime
 
@@ -90,3 +91,19 @@ def test_break_plans_keep_every_rule(spark):
     for k in (1, 2):
         own = sorted((r.start_min, r.end_min) for r in plan if r.entry_id == k)
         assert all(b[0] - a[1] >= 90 for a, b in zip(own, own[1:], strict=False))
+
+
+def test_carry_crosses_ranges_and_covers_every_row(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "cold", i if i % 37 == 5 or i == 400 else None) for i in range(-20, 500) if not 200 < i < 320]
+    want, last = set(), {}
+    for i, k, v in rows:
+        last[k] = v if v is not None else last.get(k)
+        want.add((i, k, last[k]))
+    df = spark.createDataFrame(rows, "id long, k string, v long")
+    got = temporal.carried_by_range(df, F.col("v"), "id", "k", "owner", width=16).select("id", "k", "owner").collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
+def test_carry_forward_all_has_an_owner_row_for_every_ticket(spark):
+    got = queries.QUERIES["carry_forward_all"](spark, "/root/testdata/sf0.01")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count() > queries.QUERIES["carry_forward"](spark, "/root/testdata/sf0.01").count()
