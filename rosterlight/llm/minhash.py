@@ -69,8 +69,13 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return chained([v[:, i] for i in range(BAND)] + [np.arange(len(v), dtype=np.uint64)])
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two hashes that name a set of shingles, of which there is at least one."""
+    return int(signed(mix(shingles).sum(keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(shingles ^ np.uint64(0xA0761D6478BD642F)), keepdims=True))[0])
+
+
 def signed_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(id, text) -> id, n_shingles, set hashes s1 and s2, bands array<long>; an empty set has null hashes and no bands."""
+    """(id, text) -> id, text, n_shingles, set hashes s1 and s2, bands array<long>; an empty set has null hashes and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,8 +83,8 @@ def signed_rows(docs: DataFrame, words: int) -> DataFrame:
             for x in row_shingles(b.column(1), words):
                 n.append(len(x))
                 if len(x):
-                    s1.append(int(signed(mix(x).sum(keepdims=True))[0]))
-                    s2.append(int(signed(np.bitwise_xor.reduce(mix(x ^ np.uint64(0xA0761D6478BD642F)), keepdims=True))[0]))
+                    for to, h in zip((s1, s2), set_hashes(x), strict=True):
+                        to.append(h)
                     all_bands.append(signed(bands(x)))
                 else:
                     s1.append(None)
@@ -88,10 +93,10 @@ def signed_rows(docs: DataFrame, words: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([width * bool(k) for k in n])]).astype(np.int32)
             flat = np.concatenate(all_bands) if all_bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "n_shingles", "s1", "s2", "bands"]
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "text", "n_shingles", "s1", "s2", "bands"]
             )
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n_shingles long, s1 long, s2 long, bands array<bigint>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, text string, n_shingles long, s1 long, s2 long, bands array<bigint>")
 
 
 def similar(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -160,7 +165,7 @@ def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, root, text) -> candidate pairs (a, b) of different roots, none missing that has the similarity.
 
     Shingles are ordered by how many of ``nodes`` hold them, so what is a text's own comes first and bounds what it can
-    share.  A posting with one root gives no pair.
+    share.  A posting with one root gives no pair.  Texts of one id are sets of their own, and repeats of a set count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +174,17 @@ def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
                 part = b.slice(i, 128)
                 sets = list(row_shingles(part.column(2), words))
                 n = np.array([len(x) for x in sets])
+                names = [np.array([set_hashes(x)[k] if len(x) else 0 for x in sets], np.int64) for k in range(2)]
                 take = np.repeat(np.arange(len(n)), n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(signed(np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)), pa.array(np.repeat(n, n).astype(np.int64))], ["id", "root", "sh", "n"]
+                    [part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)), pa.array(signed(np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)), pa.array(np.repeat(n, n).astype(np.int64)), *(pa.array(np.repeat(x, n)) for x in names)], ["id", "root", "sh", "n", "s1", "s2"]
                 )
 
     kind = dict(nodes.dtypes)["id"]
-    cut = nodes.select("id", "root", "text").mapInArrow(run, f"id {kind}, root {kind}, sh long, n long")
+    cut = nodes.select("id", "root", "text").mapInArrow(run, f"id {kind}, root {kind}, sh long, n long, s1 long, s2 long")
     # a shingle held under one root only cannot pair two roots, but it counts in the order
     seen = cut.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("several"))
-    whole = cut.join(seen, "sh").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh", "several"))).alias("l"))
+    whole = cut.join(seen, "sh").groupBy("id", "root", "n", "s1", "s2").agg(F.sort_array(F.collect_set(F.struct("df", "sh", "several"))).alias("l"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     post = whole.select("id", "root", "n", F.posexplode(F.slice("l", F.lit(1), first.cast("int"))).alias("i", "x")).where("x.several").select("id", "root", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("x.sh").alias("sh"))
     x, y = post.alias("x"), post.alias("y")
@@ -197,23 +203,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     signs = stored(signed_rows(rows, words), "signatures")
-    sets = signs.where("n_shingles > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")).drop("n_shingles")
-    # a row's node is the smallest id of its shingle set; bands go on with the node itself
-    nodes = signs.join(sets, ["s1", "s2"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands"))
+    # one row and one text per shingle set, under the smallest id that has it; all joins below read these texts only
+    least = F.min(F.struct("id", "text", "bands")).alias("m")
+    sets = stored(signs.where("n_shingles > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(least).select("s1", "s2", F.col("m.id").alias("rep"), "m.text", "m.bands"), "sets")
+    texts = sets.select(F.col("rep").alias("id"), "text")
+    nodes = signs.select("id", "n_shingles", "s1", "s2").join(sets.select("s1", "s2", "rep"), ["s1", "s2"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"))
     nodes = stored(nodes, "nodes")
 
-    buckets = nodes.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
+    buckets = sets.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket", apart(F.col("bucket"))).agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last")
     members = stored(buckets.join(centres.select("bucket", "centre"), "bucket"), "buckets")
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirmed(stars, rows, words, percent), "star-links")
+    links = stored(confirmed(stars, texts, words, percent), "star-links")
     roots = components(links)
 
     # buckets that still hold several classes
     classed = members.select("id", "bucket").join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
     mixed = classed.groupBy("bucket", apart(F.col("bucket"))).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y AND k > 2").select("bucket")
     open_ = classed.join(mixed, "bucket", "left_semi").select("id", "root").distinct()
-    left = stored(rows.join(open_, "id"), "open")
+    left = stored(texts.join(open_, "id"), "open")
     more = confirmed(prefix_pairs(left, words, percent), left.select("id", "text"), words, percent)
     # one id with several texts joins their classes
     ids = nodes.where("rep IS NOT NULL").select("id", "rep").distinct()

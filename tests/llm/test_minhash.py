@@ -99,3 +99,28 @@ def test_word_hashes_tell_texts_apart_and_ignore_neighbours():
 def test_thinned_keeps_one_of_each_class(spark):
     df = spark.createDataFrame([(3, "a b c d e f g"), (2, "a b c d e f g"), (4, None), (1, "other words stand in this one")], "doc_id long, text string")
     assert sorted(r.doc_id for r in minhash.thinned(df).collect()) == [1, 2, 4]
+
+
+def test_prefix_pairs_of_repeated_rows_and_of_texts_of_one_id(spark):
+    """Two texts that differ early only: the repeats must not crowd the shared shingles out of a prefix."""
+    base = [f"b{i}" for i in range(103)]
+    near = [f"x{i}" for i in range(8)] + base[8:]
+    other = [f"o{i}" for i in range(103)]
+    one = [(1, 1, " ".join(base)), (1, 1, " ".join(other)), (2, 2, " ".join(near)), (3, 3, " ".join(other[:-2]))]
+    for rows in (one, one[:1] * 12 + one[1:] * 2):
+        got = minhash.prefix_pairs(spark.createDataFrame(rows, "id long, root long, text string"), 4, 80)
+        assert {tuple(r) for r in got.collect()} >= {(1, 2), (1, 3)}
+
+
+def test_repeated_rows_with_links_that_stars_miss_match_brute_force(spark):
+    rnd = random.Random(8)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}b{i}" for i in range(100)]
+        for k in range(8):
+            copy = list(base)
+            for j in range(3):
+                copy[(k * 9 + j * 31) % 100] = f"f{family}x{k}{j}"
+            rows += [(family * 100 + k, " ".join(copy))] * rnd.choice([1, 2, 9])
+            rows += [(family * 100 + k, "  ".join(copy).upper())] * rnd.choice([0, 2])
+    assert found(spark, rows) == brute(rows, 4, 80)
