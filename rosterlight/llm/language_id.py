@@ -1,9 +1,10 @@
 """Language identification by the nearest of several centroids per language.
 
 A text is a vector of hashed byte n-grams (A-Z lower-cased, other ASCII than letters one space), weighted by TF-IDF and
-scaled to length one.  Document frequencies come from all training rows.  A language's centroids come from spherical
-k-means over a bounded sample of its rows.  A text goes to the centroid of highest cosine, and is rejected when it lies
-farther from it than twice the widest sampled row does, by cosine.
+scaled to length one.  Document frequencies come from all training rows that have a letter.  A language's centroids come
+from spherical k-means over a bounded sample of its rows.  A text goes to the centroid of highest cosine.  Short texts lie
+farther from any centroid than long ones, so a centroid has a limit for each length: a share of a low quantile of the
+cosines that pieces of that length, cut from its sampled rows, have to it.  A text below the limit is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ DIMS = 4096
 ORDERS = (2, 3)
 UNKNOWN = "und"
 MOST_LANGUAGES = 500
+BANDS = 14  # of lengths: powers of two of the count of n-grams
+LOW, SHARE, LEAST_PIECES = 0.02, 0.7, 30
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
@@ -67,11 +70,11 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids and each row's cosine to its own; starts from rows that lie far apart, so equal rows give one centroid."""
+    """Unit centroids and each row's cosine to its own; starts from rows that lie far apart, but passes over the farthest twentieth."""
     picked = [x.mean(0)]
     best = x @ picked[0]
     while len(picked) < min(k, len(x)):
-        far = int(best.argmin())
+        far = int(np.argsort(best, kind="stable")[len(x) // 20])
         picked.append(x[far])
         best = np.maximum(best, x @ x[far])
     c = np.array(picked)
@@ -86,13 +89,40 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndar
     return c.astype(np.float32), (x @ c.T).max(1)
 
 
+def band(tf: np.ndarray) -> np.ndarray:
+    """The length band of each row of counts."""
+    return np.minimum(np.log2(np.maximum(tf.sum(1), 1)).astype(int), BANDS - 1)
+
+
+def limits(texts: list[str], c: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The least cosine (centroid, band), from middle pieces of ``texts``; a band with few pieces takes all centroids' or the next shorter one's."""
+    own, at, cosine = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for size in [1 << k for k in range(1, BANDS)] + [None]:
+        cut = texts if size is None else [t[(len(t) - size) // 2 :][:size] for t in texts if len(t) > size]
+        for _, tf in counts(pa.array(cut, pa.string())):
+            tf = tf[tf.any(1)]
+            near = vectors(tf, idf) @ c.T
+            own.append(near.argmax(1))
+            at.append(band(tf))
+            cosine.append(near.max(1) if len(near) else np.zeros(0))
+    own, at, cosine = np.concatenate(own), np.concatenate(at), np.concatenate(cosine)
+    least = np.zeros((len(c), BANDS), np.float32)
+    for b in range(BANDS):
+        for j in range(len(c)):
+            here = cosine[(at == b) & (own == j)]
+            if len(here) < LEAST_PIECES:
+                here = cosine[at == b]
+            least[j, b] = SHARE * np.quantile(here, LOW) if len(here) >= LEAST_PIECES else least[j, b - 1] if b else 0
+    return least
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # a row each
     owner: np.ndarray  # the language's place, by centroid
-    least: np.ndarray  # the cosine below which a text is rejected, by centroid
+    least: np.ndarray  # the cosine below which a text is rejected, by centroid and length band
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
@@ -114,17 +144,17 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def fit(rows: DataFrame, per_language: int = 600, clusters: int = 4) -> Model:
-    """Learns from ``rows`` (id, text, lang); rows with a null text or lang are passed over.
+    """Learns from ``rows`` (id, text, lang); rows with a null lang or a text without a letter are passed over.
 
     Counts cover all rows.  The centroids of a language come from about ``per_language`` of its rows (the bound of the
     sample: a hash of id and text decides, at a rate of per_language over the language's count).
     """
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
-        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, BANDS)))
     n, df = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     names = sorted(sizes)
@@ -135,13 +165,12 @@ def fit(rows: DataFrame, per_language: int = 600, clusters: int = 4) -> Model:
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text")
         x = np.concatenate([vectors(tf, idf) for _, tf in counts(pa.array(pdf["text"], pa.string()))])
-        c, cosine = kmeans(x, clusters)
-        own = (x @ c.T).argmax(1)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "v": list(c), "least": [float(cosine[own == j].min()) / 2 if (own == j).any() else 2.0 for j in range(len(c))]})
+        c, _ = kmeans(x, clusters)
+        c = c[np.unique((x @ c.T).argmax(1))]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "v": list(c), "least": list(limits(pdf["text"].tolist(), c, idf))})
 
-    got = sorted(sample.groupBy("lang").applyInPandas(group, "lang string, k int, v array<float>, least double").collect(), key=lambda r: (r.lang, r.k))
-    got = [r for r in got if r.least < 2]
-    return Model(names, idf, np.array([r.v for r in got], np.float32), np.array([names.index(r.lang) for r in got]), np.array([r.least for r in got]))
+    got = sorted(sample.groupBy("lang").applyInPandas(group, "lang string, k int, v array<float>, least array<float>").collect(), key=lambda r: (r.lang, r.k))
+    return Model(names, idf, np.array([r.v for r in got], np.float32), np.array([names.index(r.lang) for r in got]), np.array([r.least for r in got], np.float32).reshape(-1, BANDS))
 
 
 def _no_letter(text: str | None) -> bool:
@@ -172,7 +201,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
                     rows_ = np.arange(len(top))
                     which[first : first + len(top)] = model.owner[top]
                     best[first : first + len(top)] = cosine[rows_, top]
-                    far[first : first + len(top)] = cosine[rows_, top] < model.least[top]
+                    far[first : first + len(top)] = cosine[rows_, top] < model.least[top, band(tf)]
             sums = np.r_[0, np.cumsum(ascii_letter[data[at[0] : at[-1]]])]
             plain = sums[at[1:] - at[0]] > sums[at[:-1] - at[0]]
             known = [bool(len(model.centroids)) and (bool(p) or not _no_letter(column[i].as_py())) for i, p in enumerate(plain)]

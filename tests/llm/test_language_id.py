@@ -32,3 +32,24 @@ def test_far_texts_are_rejected(spark):
     df = spark.createDataFrame([*rows, (99, "zqxj wvkq xxqz jjkw qqvx zzkx wqjx", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.rejected for r in language_id.identified(df, F.col("doc_id") < 90).collect()}
     assert got[99] and not any(got[i] for i in range(40))
+
+
+def test_letterless_rows_do_not_cost_clusters_or_rejection(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL").select("doc_id", "text", "lang")
+    bad = spark.createDataFrame([(-k - 1, t, x) for x in ("de", "en", "es", "fr") for k, t in enumerate(["", "123 456", "!!! ??"])], "doc_id long, text string, lang string")
+    learned = language_id.fit(docs.where("doc_id % 3 <> 0").union(bad).withColumnRenamed("doc_id", "id"))
+    assert min(list(learned.owner).count(k) for k in range(len(learned.languages))) > 1
+    assert (learned.least[:, 6:] > 0).all()
+    letters = "qxzjkwvp"
+    noise = [(k, " ".join("".join(letters[(k * 7 + i * i + j * (i + 3)) % 8] for j in range(5 + i % 3)) for i in range(20 + k % 60)), "no") for k in range(60)]
+    got = language_id.predicted(spark.createDataFrame(noise, "doc_id long, text string, lang string"), learned)
+    assert got.where("rejected").count() >= 58
+    own = language_id.predicted(docs.where("doc_id % 3 = 0 AND length(text) >= 40"), learned)
+    assert own.where("rejected").count() <= 0.01 * own.count()
+
+
+def test_a_language_left_out_is_rejected_more_than_learned_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IS NOT NULL AND length(text) >= 200").select("doc_id", "text", "lang")
+    learned = language_id.fit(docs.where("doc_id % 3 <> 0 AND lang <> 'de'").withColumnRenamed("doc_id", "id"))
+    r = {r.out: r.gone for r in language_id.predicted(docs.where("doc_id % 3 = 0"), learned).groupBy((F.col("lang") == "de").alias("out")).agg(F.avg(F.col("rejected").cast("int")).alias("gone")).collect()}
+    assert r[False] < 0.01 and r[True] > 0.8, r
