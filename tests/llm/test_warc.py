@@ -62,3 +62,9 @@ def test_gzip_reads_the_archive_as_one_stream(n):
 
     data = b"".join(warc.record_bytes(i, "u", b"z" * 50, "d", "response", None) for i in range(n))
     assert gzip.GzipFile(fileobj=io.BytesIO(data)).read().count(b"WARC/1.1") == n
+
+
+def test_a_url_of_megabytes_is_read():
+    url = "data:," + "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(40_000))
+    data = warc.record_bytes(1, url, b"x", "d", "response", None) + warc.record_bytes(2, None, b"y", "d", "response", None)
+    assert [(r["record_id"], r["url"]) for _, r in warc.records_in_range(pa.BufferReader(data), 0, len(data))] == [("1", url), ("2", None)]
