@@ -86,13 +86,15 @@ class Tree:
         new = before + middle[:inside] + insert + middle[inside + remove :] + "".join(self.leaves[high + 1 : last + 1])
         room = last - first + 1
         parts = leaves_of(new, max(LEAF_CHARS, len(new) // room))
+        rebuild = len(parts) > room or len(new) > 8 * LEAF_CHARS * room
+        if rebuild:
+            parts = leaves_of(new)
         counts = [len(x) for x in bpe.encode_batch(parts)]
         self.encoded += len(parts)
-        if len(parts) > room or len(new) > 8 * LEAF_CHARS * room:
+        if rebuild:
             tokens = self.tokens[self.width : self.width + len(self.leaves)]
-            fine = leaves_of(new)
-            self.leaves[first : last + 1] = fine
-            self._build(tokens[:first] + [len(x) for x in bpe.encode_batch(fine)] + tokens[last + 1 :])
+            self.leaves[first : last + 1] = parts
+            self._build(tokens[:first] + counts + tokens[last + 1 :])
             return
         for k in range(room):
             self._set(first + k, parts[k] if k < len(parts) else "", counts[k] if k < len(parts) else 0)

@@ -50,3 +50,18 @@ def test_edits_by_table(spark):
 def test_empty_table(spark):
     state = token_counts.trees(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert state.count() == 0
+
+
+def test_every_leaf_that_is_encoded_counts():
+    own, sent = bpe.loaded(PATH), []
+
+    class Counting:
+        def encode_batch(self, texts):
+            sent.extend(texts)
+            return own.encode_batch(texts)
+
+    leaves = token_counts.leaves_of("some words of a long text " * 200)
+    tree = token_counts.Tree(leaves, [len(x) for x in own.encode_batch(leaves)])
+    tree.edit(60, 3, "many more words " * 3000, Counting())
+    assert tree.encoded == len(sent)
+    assert tree.total == sum(len(x) for x in own.encode_batch(tree.leaves))
