@@ -1,9 +1,11 @@
 """Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm.
 
 Documents are cut into pieces of at most one sequence; full pieces need no packing.  The others are dealt by a hash into
-blocks of some thousand, and each block is evolved on several islands, one task row each: crossover injects whole
-well-filled bins of one parent into the other, drops the bins that would hold a document twice, and best-fits the
-displaced documents in order of size.  After an epoch every island sends its elite to the next one of its block.
+blocks of some thousand, and each block is evolved on several islands, one task row each.  An island starts from packings
+by best fit in random order, which waste some bins; crossover injects whole well-filled bins of one parent into the other,
+drops the bins that would hold a document twice, and best-fits the displaced documents in order of size.  After an epoch
+every island sends its elite to the next one of its block.  Plain best fit in order of size is computed as a yardstick
+only: an island that needs more bins than it goes on for longer.
 Documents of the badly filled bins of all blocks are pooled and packed again, so that blocks leave no ragged ends.
 """
 
@@ -28,9 +30,13 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK_DOCS = 4000
 ISLANDS = 2
-POPULATION = 4
-GENERATIONS = 12
+POPULATION = 8
+OFFSPRING = 8
+GENERATIONS = 40
 EPOCHS = 2
+ELITE = 2  # packings of an island that go to the next one
+INJECTED = (0.1, 0.5)  # share of the well-filled bins that a crossover injects
+EMPTIED = 0.1  # at most this share of the emptiest bins is dissolved with them
 WELL_FILLED = 0.985  # of the capacity: bins that crossover may inject, and that the second round leaves alone
 REMEMBERED = 500_000
 
@@ -175,71 +181,105 @@ def best_fit(order: np.ndarray, sizes: np.ndarray, bins: np.ndarray, loads: list
             mask |= 1 << left
 
 
-def fresh(sizes: np.ndarray, capacity: int, rng: np.random.Generator | None) -> np.ndarray:
-    """A packing by best fit in order of size, the order blurred if ``rng`` is given."""
-    key = -sizes.astype(float)
-    if rng is not None:
-        key *= 1 + 0.15 * rng.random(len(sizes))
+def seeded(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """A packing to start from: best fit in random order, which leaves room for crossover to find."""
     bins = np.full(len(sizes), -1, np.int64)
-    best_fit(np.argsort(key, kind="stable"), sizes, bins, [], capacity)
+    best_fit(rng.permutation(len(sizes)), sizes, bins, [], capacity)
     return bins
 
 
+def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> int:
+    """The number of bins of plain best fit in order of size: a yardstick, never a packing that is returned."""
+    bins = np.full(len(sizes), -1, np.int64)
+    loads: list[int] = []
+    best_fit(np.argsort(-sizes, kind="stable"), sizes, bins, loads, capacity)
+    return len(loads)
+
+
 def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then the mean square of their fill; smaller is better."""
     loads = np.bincount(bins, sizes)
     return len(loads), -float(((loads / capacity) ** 2).sum())
 
 
+def _numbered(bins: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, int]:
+    """The bins of ``part`` numbered from 0 without gaps, and how many there are."""
+    used = np.zeros(int(bins.max()) + 1, bool)
+    used[bins[part]] = True
+    return (np.cumsum(used) - 1)[bins[part]], int(used.sum())
+
+
 def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A child of ``a`` with some well-filled bins of ``b`` whole."""
+    """A child of ``a`` with some well-filled bins of ``b`` whole.
+
+    Bins of ``a`` that hold an injected document go, as do a few of the emptiest; the documents displaced with them are
+    put back by best fit in order of size.
+    """
     loads_b = np.bincount(b, sizes)
     good = np.flatnonzero(loads_b >= WELL_FILLED * capacity)
     if not len(good):
         good = np.flatnonzero(loads_b >= np.quantile(loads_b, 0.75))
     taken = np.zeros(len(loads_b), bool)
-    taken[rng.choice(good, max(1, int(len(good) * rng.uniform(0.02, 0.15))), replace=False)] = True
+    taken[rng.choice(good, max(1, int(len(good) * rng.uniform(*INJECTED))), replace=False)] = True
     injected = taken[b]
     loads = np.bincount(a, sizes)
     hit = np.zeros(len(loads), bool)
-    hit[a[injected]] = True  # would hold a document twice
-    # a few of the emptiest bins go too, so that their documents can fill the gaps
-    hit[np.argsort(loads, kind="stable")[: 1 + len(loads) // 50]] = True
-    child = np.full(len(a), -1, np.int64)
+    hit[a[injected]] = True
+    hit[np.argsort(loads, kind="stable")[: 1 + int(len(loads) * rng.uniform(0, EMPTIED))]] = True
     stays = ~hit[a] & ~injected
-    for part, source in ((stays, a), (injected, b)):
-        _, child[part] = np.unique(source[part], return_inverse=True)
-    child[injected] += int(child[stays].max(initial=-1)) + 1
+    child = np.full(len(a), -1, np.int64)
+    child[stays], k = _numbered(a, stays)
+    child[injected], more = _numbered(b, injected)
+    child[injected] += k
     placed = child >= 0
-    filled = np.bincount(child[placed], sizes[placed]).astype(int).tolist()
+    filled = np.bincount(child[placed], sizes[placed], k + more).astype(int).tolist()
     rest = np.flatnonzero(~placed)
     best_fit(rest[np.argsort(-sizes[rest], kind="stable")], sizes, child, filled, capacity)
     return child
 
 
-def evolved(sizes: np.ndarray, capacity: int, seed: int, guests: list[np.ndarray], generations: int = GENERATIONS, population: int = POPULATION) -> np.ndarray:
-    """The elite of one island after some generations; ``guests`` are packings to start from."""
+def evolved(sizes: np.ndarray, capacity: int, seed: int, people: list[np.ndarray], generations: int = GENERATIONS, population: int = POPULATION, offspring: int = OFFSPRING, target: int = 0) -> tuple[list[np.ndarray], int, int]:
+    """One island after some generations: its packings, best first, the bins of its best at the start, and the crossovers run.
+
+    ``people`` are packings to go on from; missing ones are seeded.  A generation adds ``offspring`` children of random
+    parents, then the best ``population`` live on.  It ends early where no packing can have fewer bins, and goes on for
+    four times as many generations while it needs more than ``target`` bins.
+    """
     rng = np.random.default_rng(seed)
-    people = [*guests, *([] if guests else [fresh(sizes, capacity, None)])]
-    while len(people) < population:
-        people.append(fresh(sizes, capacity, rng))
+    people = [*people, *(seeded(sizes, capacity, rng) for _ in range(population - len(people)))]
     scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
+    first, born = scored[0][0][0], 0
     least = math.ceil(sizes.sum() / capacity)
-    for g in range(generations):
-        if scored[0][0][0] <= least:
-            break  # no packing has fewer bins
-        i, j = rng.choice(len(scored), 2, replace=False)
-        child = crossed(scored[min(i, j)][2], scored[max(i, j)][2], sizes, capacity, rng)
-        scored = sorted([*scored, (fitness(child, sizes, capacity), population + g, child)], key=lambda x: x[:2])[:population]
-    return scored[0][2]
-
-
-def _round(items: DataFrame, n: int, capacity: int, first: int, block_docs: int) -> DataFrame:
-    """(rid, length) of ``n`` rows -> rid, sequence_id, offset, fill, packed block by block."""
+    for g in range(4 * generations):
+        if scored[0][0][0] <= (least if g < generations else target or least):
+            break
+        if g >= generations and not target:
+            break
+        for _ in range(offspring):
+            i, j = rng.choice(len(scored), 2, replace=False)
+            child = crossed(scored[i][2], scored[j][2], sizes, capacity, rng)
+            scored.append((fitness(child, sizes, capacity), len(people) + born, child))
+            born += 1
+        scored = sorted(scored, key=lambda x: x[:2])[:population]
+    return [p for _, _, p in scored], first, born
+
+
+def _islands(items: DataFrame, n: int, capacity: int, block_docs: int) -> DataFrame:
+    """(rid, length) of ``n`` rows -> the evolved islands: block, island, rids, sizes, people (best first), bins, and their figures.
+
+    The figures: bound (the total length allows no fewer bins), best_fit (bins of plain best fit in order of size),
+    started (bins of the best seed) and crossovers.
+    """
     blocks = max(1, math.ceil(n / block_docs))
     held = items.groupBy(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rid", "length"))).alias("x"))
-    state = held.select("block", F.col("x.rid").alias("rids"), F.col("x.length").alias("sizes"), F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), F.array().cast("array<bigint>").alias("own"), F.array().cast("array<bigint>").alias("guest"))
+    none = F.array().cast("array<array<int>>")
+    zero = F.lit(0).cast("long")
+    state = held.select(
+        "block", F.col("x.rid").alias("rids"), F.col("x.length").alias("sizes"), F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), none.alias("people"), none.alias("guests"),
+        zero.alias("best_fit"), zero.alias("started"), zero.alias("crossovers"),
+    )
     state = state.repartition("block", "island")
+    own = ["block", "island", "rids", "sizes", "people", "bins", "bound", "best_fit", "started", "crossovers"]
 
     for epoch in range(EPOCHS):
 
@@ -248,17 +288,32 @@ def _round(items: DataFrame, n: int, capacity: int, first: int, block_docs: int)
                 done = []
                 for r in pdf.itertuples():
                     sizes = np.asarray(r.sizes, np.int64)
-                    guests = [np.asarray(g, np.int64) for g in (r.own, r.guest) if len(g)]
-                    done.append(evolved(sizes, capacity, hash((int(r.block), int(r.island), epoch)) & 0xFFFFFFFF, guests))
-                yield pdf.assign(own=done, bins=[int(x.max()) + 1 for x in done])[["block", "island", "rids", "sizes", "own", "bins"]]
-
-        state = stored(state.mapInPandas(run, "block long, island int, rids array<bigint>, sizes array<bigint>, own array<bigint>, bins long"), "islands")
+                    least = math.ceil(sizes.sum() / capacity)
+                    best_fit = int(r.best_fit) or best_fit_decreasing(sizes, capacity)
+                    before = [np.asarray(p, np.int64) for g in (r.guests, r.people) for p in g][:POPULATION]
+                    people, first, born = evolved(sizes, capacity, hash((int(r.block), int(r.island), epoch)) & 0xFFFFFFFF, before, target=best_fit)
+                    done.append(([p.astype(np.int32) for p in people], int(people[0].max()) + 1, least, best_fit, int(r.started) or first, int(r.crossovers) + born))
+                people, bins, bound, best_fit, started, crossovers = zip(*done, strict=True) if done else [[]] * 6
+                yield pdf.assign(people=list(people), bins=list(bins), bound=list(bound), best_fit=list(best_fit), started=list(started), crossovers=list(crossovers))[own]
+
+        state = stored(
+            state.mapInPandas(run, "block long, island int, rids array<bigint>, sizes array<bigint>, people array<array<int>>, bins long, bound long, best_fit long, started long, crossovers long"), "islands"
+        )
         if epoch + 1 < EPOCHS:
-            sent = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("own").alias("guest"))
-            state = state.drop("bins").join(sent, ["block", "island"])
+            # the best of each island go to the next one of the block
+            sent = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("people", 1, ELITE).alias("guests"))
+            state = state.drop("bins", "bound").join(sent, ["block", "island"])
+    return state
+
 
-    best = state.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("m")).select("block", F.col("m.island").alias("island"))
-    won = state.join(best, ["block", "island"])
+def _best(islands: DataFrame) -> DataFrame:
+    """Of each block the island with the fewest bins."""
+    best = islands.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("m")).select("block", F.col("m.island").alias("island"))
+    return islands.join(best, ["block", "island"])
+
+
+def _round(items: DataFrame, n: int, capacity: int, first: int, block_docs: int) -> DataFrame:
+    """(rid, length) of ``n`` rows -> rid, sequence_id, offset, fill, packed block by block."""
 
     def laid(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -271,7 +326,17 @@ def _round(items: DataFrame, n: int, capacity: int, first: int, block_docs: int)
                 offset[order] = before - np.repeat(before[heads], np.diff(np.r_[heads, len(bins)]))
                 yield pd.DataFrame({"rid": np.asarray(r.rids, np.int64), "length": sizes, "sequence_id": ((int(r.block) * 2 + first) << 20) + bins, "offset": offset, "fill": np.bincount(bins, sizes)[bins].astype(np.int64)})
 
-    return won.select("block", "rids", "sizes", "own").mapInPandas(laid, "rid long, length long, sequence_id long, offset long, fill long")
+    won = _best(_islands(items, n, capacity, block_docs)).select("block", "rids", "sizes", F.get("people", F.lit(0)).alias("own"))
+    return won.mapInPandas(laid, "rid long, length long, sequence_id long, offset long, fill long")
+
+
+def evolution_figures(parts: DataFrame, capacity: int = CAPACITY, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """One row per block of the first round: block, documents, bound, best_fit, started, bins and crossovers (of all its islands)."""
+    table = stored(parts.where(F.col("length") < capacity).select(F.monotonically_increasing_id().alias("rid"), "length"), "pieces")
+    islands = _islands(table, table.count(), capacity, block_docs)
+    return islands.groupBy("block").agg(
+        F.max(F.size("rids")).alias("documents"), F.max("bound").alias("bound"), F.max("best_fit").alias("best_fit"), F.min("started").alias("started"), F.min("bins").alias("bins"), F.sum("crossovers").alias("crossovers")
+    )
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, block_docs: int = BLOCK_DOCS) -> DataFrame:

@@ -55,16 +55,66 @@ def test_empty_table(spark):
 def test_crossover_keeps_each_item_once_and_never_overfills(seed):
     rng = np.random.default_rng(seed)
     sizes = rng.integers(1, 4096, 300)
-    a, b = packing.fresh(sizes, 4096, rng), packing.fresh(sizes, 4096, rng)
+    a, b = packing.seeded(sizes, 4096, rng), packing.seeded(sizes, 4096, rng)
     child = packing.crossed(a, b, sizes, 4096, rng)
     assert (child >= 0).all() and np.bincount(child, sizes).max() <= 4096
     assert sorted(set(child)) == list(range(child.max() + 1))
 
 
-def test_evolution_beats_or_equals_best_fit():
-    rng = np.random.default_rng(1)
-    for _ in range(5):
-        sizes = rng.integers(700, 2200, 400)
-        start = packing.fresh(sizes, 4096, None)
-        end = packing.evolved(sizes, 4096, 7, [], 60)
-        assert packing.fitness(end, sizes, 4096) <= packing.fitness(start, sizes, 4096)
+def hard(k):
+    """Sizes that best fit in order of size packs into 11 k bins and an optimal packing into 9 k."""
+    q, e = 1024, 20
+    return np.array([2 * q + e] * 6 * k + [q + 2 * e] * 6 * k + [q + e] * 6 * k + [q - 2 * e] * 12 * k)
+
+
+@pytest.mark.parametrize("k", [3, 10])
+def test_evolution_beats_best_fit_where_that_misses_the_optimum(k):
+    sizes = hard(k)
+    assert packing.best_fit_decreasing(sizes, 4096) == 11 * k
+    people, started, born = packing.evolved(sizes, 4096, 1, [])
+    end = packing.fitness(people[0], sizes, 4096)[0]
+    assert 9 * k <= end <= started < 11 * k and born > 0
+
+
+def test_crossover_lowers_the_number_of_bins():
+    for seed in range(3):
+        sizes = np.random.default_rng(seed).integers(700, 2200, 600)
+        people, started, born = packing.evolved(sizes, 4096, seed, [])
+        end = packing.fitness(people[0], sizes, 4096)[0]
+        assert end < started and end <= packing.best_fit_decreasing(sizes, 4096) and born >= packing.OFFSPRING
+        assert np.bincount(people[0], sizes).max() <= 4096
+
+
+def least_bins(sizes, capacity):
+    """By trying every partition."""
+    best = len(sizes)
+
+    def go(i, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if i == len(sizes):
+            best = len(loads)
+            return
+        for b in range(len(loads)):
+            if loads[b] + sizes[i] <= capacity:
+                go(i + 1, [*loads[:b], loads[b] + sizes[i], *loads[b + 1 :]])
+        go(i + 1, [*loads, sizes[i]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_cases_reach_the_optimum(seed):
+    sizes = np.random.default_rng(seed).integers(5, 60, 11)
+    people, _, _ = packing.evolved(sizes, 100, seed, [])
+    assert packing.fitness(people[0], sizes, 100)[0] == least_bins(sorted(sizes.tolist(), reverse=True), 100)
+
+
+def test_figures_of_the_evolution(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(int(x),) for x in rng.integers(1, 3000, 900)], "length long")
+    got = packing.evolution_figures(df, block_docs=300).collect()
+    assert sum(r.documents for r in got) == 900
+    assert all(r.bound <= r.bins <= r.started and r.crossovers > 0 and r.bins <= r.best_fit for r in got)
