@@ -9,19 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one set as checkpoint folder.
+
+    Only a local master, where all share one machine, may do without: a new local folder is made then.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if folder and not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
     if not sc.getCheckpointDir():
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rosterlight-"))
     return sc.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +39,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table that ``stored`` wrote for ``df``, once nothing reads it any more."""
+    deleted(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every step that this process has stored.  For the end of a run: results not yet written need their steps."""
+    deleted(spark, list(_WRITTEN))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -113,11 +113,19 @@ class _Range:
     """A file from a place on, read block by block; ``data[at:]`` lies ahead, and ``data[0]`` is the file's byte ``start``."""
 
     def __init__(self, source: pa.NativeFile, start: int, block: int):
-        self.source, self.start, self.block, self.data, self.at = source, start, block, b"", 0
-        source.seek(start)
+        self.source, self.block, self.data, self.at = source, block, b"", 0
+        self.go(start)
+
+    def go(self, place: int) -> None:
+        """On to a place, or back to it."""
+        if self.data and self.start <= place <= self.start + len(self.data):
+            self.at = place - self.start
+        else:
+            self.source.seek(place)
+            self.data, self.start, self.at = b"", place, 0
 
     def more(self) -> bool:
-        """Reads a block; what has been passed goes."""
+        """Reads a block; what has been passed goes, so a member of any length is copied once."""
         got = self.source.read(self.block)
         self.data, self.start, self.at = self.data[self.at :] + got, self.start + self.at, 0
         return bool(got)
@@ -155,19 +163,19 @@ def parse_record(raw: bytes) -> dict | None:
     }
 
 
-def _member(r: _Range) -> tuple[bytes, int] | None:
-    """The member at the head of ``r`` unpacked, with its packed size; None if no WARC record is there."""
-    unpack, out, fed = zlib.decompressobj(31), [], 0
+def _member(r: _Range) -> bytes | None:
+    """The member at the head of ``r`` unpacked, ``r`` moved behind it; None if no WARC record is there, ``r`` anywhere."""
+    unpack, out = zlib.decompressobj(31), []
     seen, checked = b"", False
     while True:
-        if r.at + fed == len(r.data) and not r.more():
+        if r.at == len(r.data) and not r.more():
             return None  # cut off
-        piece = r.data[r.at + fed : r.at + fed + 16384]
+        piece = r.data[r.at : r.at + 65536]
         try:
             got = unpack.decompress(piece)
         except zlib.error:
             return None
-        fed += len(piece)
+        r.at += len(piece)
         if not checked:
             seen += got
             if seen[: len(VERSION)] != VERSION[: len(seen)]:
@@ -175,11 +183,12 @@ def _member(r: _Range) -> tuple[bytes, int] | None:
             checked = len(seen) >= len(VERSION)  # from here on the member is read to its end, however long its header
         out.append(got)
         if unpack.eof:
-            return b"".join(out), fed - len(unpack.unused_data)
+            r.at -= len(unpack.unused_data)
+            return b"".join(out)
 
 
 def records_in_range(source: pa.NativeFile, start: int, end: int, block: int = BLOCK) -> Iterator[tuple[int, dict]]:
-    """The records of one file whose members start at ``start <= place < end``."""
+    """The records of one file whose members start at ``start <= place < end``.  Damaged and cut-off members are passed over."""
     r = _Range(source, start, block)
     while r.place < end:
         at = r.data.find(MAGIC, r.at)
@@ -189,22 +198,26 @@ def records_in_range(source: pa.NativeFile, start: int, end: int, block: int = B
                 return
             continue
         r.at = at
-        if r.place >= end:
-            return
         place = r.place
-        found = _member(r)
-        record = parse_record(found[0]) if found else None
+        if place >= end:
+            return
+        raw = _member(r)
+        record = parse_record(raw) if raw is not None else None
         if record is None:
-            r.at += 1
+            r.go(place + 1)
             continue
         yield place, record
-        r.at += found[1]
 
 
-def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
-    """The records of ``files`` (path, bytes), with payloads: one row per record, whichever way the files are split."""
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"), "bytes")
-    ranges = ranges.where("bytes > 0").repartition(F.col("path"), F.col("start"))
+def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20, most_tasks: int = 20_000) -> DataFrame:
+    """The records of ``files`` (path, bytes), with payloads: one row per record, whichever way the files are split.
+
+    There are as many tasks as splits, up to ``most_tasks``; their number is given, so that adaptive execution does not
+    put the few bytes that name all splits into one task.
+    """
+    ranges = files.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "bytes")
+    splits = files.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes)).alias("n")).first()["n"] or 1
+    ranges = ranges.repartition(min(int(splits), most_tasks))
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64())] + [(c, pa.string()) for c in ("type", "record_id", "url", "digest", "refers_to")] + [("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,30 +238,44 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = 32 <
     return ranges.mapInArrow(run, SCHEMA)
 
 
-def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes a table of pages as archives in the shared folder and returns their records, read back.
+def lost_records(files: DataFrame, read: DataFrame) -> DataFrame:
+    """path, records, found of the files of which ``read`` (with path) holds another number of records than were written."""
+    found = read.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    return files.select("path", "records").join(found, "path", "left").select("path", "records", F.coalesce("found", F.lit(0)).alias("found")).where("records <> found")
+
+
+def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
+    """Writes a table of pages as archives in the shared folder; returns the files (path, bytes, records) and their records, read back.
 
     A null html is an empty payload.  Repeated rows are records of their own.
     """
     spark = pages.sparkSession
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("payload"))
-    files = stored(write_archives(with_record_types(rows, "id"), new_path(spark, "warc"), "id"), "warc-files")
-    return read_archives(spark, files)
+    files = stored(write_archives(with_record_types(rows, "id"), new_path(spark, "warc"), "id", file_bytes), "warc-files")
+    return files, read_archives(spark, files)
 
 
 def page_report(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Per record of ``archived``: id, payload_bytes, payload_digest, record_type and refers_to.
 
-    A response's figures come from the payload that was read; a revisit's from its header.
+    A response's figures come from the payload that was read; a revisit's from its header.  A file that gives back
+    another number of records than were written into it (one is damaged or cut off) is an error.
     """
     kind = dict(pages.dtypes)[id_col]
-    read = archived(pages, id_col)
+    files, read = archived(pages, id_col)
     response = F.col("type") == "response"
     number = lambda c: F.expr(f"try_cast({c} AS {kind})")
-    return read.select(
-        number("record_id").alias(id_col),
-        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        number("refers_to").alias("refers_to"),
+    found = stored(
+        read.select(
+            "path",
+            number("record_id").alias(id_col),
+            F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+            F.when(response, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+            F.col("type").alias("record_type"),
+            number("refers_to").alias("refers_to"),
+        ),
+        "warc-report",
     )
+    if lost := lost_records(files, found).take(3):
+        raise RuntimeError("records lost in " + ", ".join(f"{r.path}: {r.found} of {r.records}" for r in lost))
+    return found.drop("path")

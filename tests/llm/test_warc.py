@@ -48,7 +48,7 @@ def test_revisits_nulls_ties_and_extra_columns(spark):
 
 def test_archives_keep_payloads_and_urls(spark):
     df = rows(spark, [(1, "http://a/\r\nX: y", "<b>one</b>"), (2, None, "two\r\n\r\nthree")])
-    got = {r.record_id: (r.url, r.payload) for r in warc.archived(df).collect()}
+    got = {r.record_id: (r.url, r.payload) for r in warc.archived(df)[1].collect()}
     assert got == {"1": ("http://a/ X: y", b"<b>one</b>"), "2": (None, b"two\r\n\r\nthree")}
 
 
@@ -68,3 +68,60 @@ def test_a_url_of_megabytes_is_read():
     url = "data:," + "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(40_000))
     data = warc.record_bytes(1, url, b"x", "d", "response", None) + warc.record_bytes(2, None, b"y", "d", "response", None)
     assert [(r["record_id"], r["url"]) for _, r in warc.records_in_range(pa.BufferReader(data), 0, len(data))] == [("1", url), ("2", None)]
+
+
+class Counting(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    got = 0
+
+    def read(self, n=-1):
+        x = super().read(n)
+        self.got += len(x)
+        return x
+
+
+def test_a_member_of_many_blocks_is_read_once_and_split_points_inside_it_own_nothing():
+    import random
+
+    rnd = random.Random(1)
+    payload = rnd.randbytes(3 * warc.BLOCK)
+    data = warc.record_bytes(1, None, payload, "d", "response", None) + warc.record_bytes(2, None, b"y", "d", "response", None)
+    source = Counting(data)
+    got = [r["payload"] for _, r in warc.records_in_range(source, 0, len(data), 4096)]
+    assert got == [payload, b"y"] and source.got < 1.2 * len(data)
+    for split in (warc.BLOCK, 1_000_003):
+        got = [r["record_id"] for s in range(0, len(data), split) for _, r in warc.records_in_range(pa.BufferReader(data), s, min(s + split, len(data)))]
+        assert got == ["1", "2"]
+
+
+def test_splits_are_read_by_several_tasks(spark):
+    df = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 20).alias("html")).coalesce(1)
+    files, _ = warc.archived(df)
+    size = files.agg(F.sum("bytes")).first()[0]
+    read = warc.read_archives(spark, files, split_bytes=size // 8)
+    tasks = read.select("record_id", F.spark_partition_id().alias("t")).collect()
+    assert sorted(int(r.record_id) for r in tasks) == list(range(400))
+    assert len({r.t for r in tasks}) >= 6
+
+
+def test_a_damaged_archive_is_an_error_not_a_shorter_table(spark, monkeypatch, tmp_path):
+    df = rows(spark, [(i, "u", f"{i} " * 200) for i in range(20)]).coalesce(1)
+    whole = warc.read_archives
+
+    def cut(spark, files, **k):
+        for r in files.collect():
+            path = r.path.removeprefix("file://").removeprefix("file:")
+            raw = open(path, "rb").read()
+            open(path, "wb").write(raw[: len(raw) // 2])
+        return whole(spark, files, **k)
+
+    monkeypatch.setattr(warc, "read_archives", cut)
+    with pytest.raises(RuntimeError, match="records lost"):
+        warc.page_report(df)
+
+
+def test_repeated_response_rows_are_responses_too(spark):
+    long = "b" * 150
+    got = warc.page_report(rows(spark, [(1, "u", long), (1, "u", long), (2, "v", long)])).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
