@@ -8,7 +8,12 @@ Counts are exact and nothing is cut off, so what is gathered grows with the corp
 travel in blocks of some megabytes, written once.  A block asks for the counts of its distinct n-grams by sorted keys,
 split by key range; the task of a range adds up what all blocks hold and answers each block in the order it asked.
 An n-gram that a third of all texts share is so sent once per block, and a text is moved once, to meet its answers.
-Keys are hashes with 24 bits more than the corpus has bits of tokens: about one pair of n-grams in a corpus collides.
+Keys are 64-bit hashes: of D different n-grams about D^2 / 2^65 pairs share one, so 10^8 words leave 0.0003 such pairs
+and 10^12 bigrams about 27,000; a pair that does is counted as one n-gram.
+
+A block asks every key range, so questions are blocks times ranges.  Both sizes grow with the square root of the corpus
+(``sized``), so that the number of questions stays in proportion to it: no more than one for every ``PER_QUESTION`` tokens,
+up to the size where a block reaches ``MOST_TOKENS``.
 """
 
 from __future__ import annotations
@@ -24,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import stored
 from .kernels import LOWER, SPACE, chained, mix, span_hashes, text_buffers, word_spans
 
-BLOCK_BYTES = 6 << 20
-RANGE_TOKENS = 1 << 20
+LEAST_TOKENS = 1 << 20  # of a block and of a key range
+MOST_TOKENS = 16 << 20  # what one task holds in memory, about 80 bytes a token
+PER_QUESTION = 64
+TOKEN_BYTES = 6
+MOST_TASKS = 20_000
 END = np.uint64(0xC2B2AE3D27D4EB4F)
 START = np.uint64(0x165667B19E3779F9)
 OCTAVES = 64
@@ -44,7 +52,12 @@ def unpacked_ints(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def sized(total_bytes: int) -> int:
+    """Tokens of a block, and of a key range, for a corpus of so many bytes."""
+    return min(MOST_TOKENS, max(LEAST_TOKENS, math.isqrt(PER_QUESTION * total_bytes // TOKEN_BYTES)))
+
+
+def blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """(id, train, deleted, text) -> one row per block: block, deleted, ids, train, sizes, bytes, tokens, text (compressed).
 
     A block holds documents of one side of the deletion; a text longer than a block has a block of its own.
@@ -76,7 +89,7 @@ def blocks(rows: DataFrame) -> DataFrame:
             ids, train, deleted = (b.column(i).to_pylist() for i in range(3))
             for i in range(b.num_rows):
                 side = deleted[i]
-                if held[side] and size[side] + at[i + 1] - at[i] > BLOCK_BYTES:
+                if held[side] and size[side] + at[i + 1] - at[i] > block_bytes:
                     yield flushed(side)
                 held[side].append((ids[i], train[i], LOWER[data[at[i] : at[i + 1]]].tobytes()))
                 size[side] += int(at[i + 1] - at[i])
@@ -90,7 +103,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 class Block:
     """The tokens of one block and their n-gram keys."""
 
-    def __init__(self, text: bytes, sizes: np.ndarray, bits: int):
+    def __init__(self, text: bytes, sizes: np.ndarray):
         total = int(sizes.sum())
         data = np.frombuffer(pa.decompress(text, total, "zstd", asbytes=True), np.uint8) if total else np.zeros(0, np.uint8)
         starts, ends, n = word_spans(data, np.r_[0, np.cumsum(sizes)], ~SPACE)
@@ -101,8 +114,7 @@ class Block:
         self.heads = np.cumsum(self.n) - self.n
         context = np.r_[START, token[:-1]] if len(token) else token
         context[self.heads] = START
-        shift = np.uint64(64 - bits)
-        self.keys = (mix(token ^ np.uint64(0x27D4EB2F165667C5)) >> shift, chained([context, token]) >> shift)
+        self.keys = (mix(token ^ np.uint64(0x27D4EB2F165667C5)), chained([context, token]))
 
     def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.keys[kind], return_inverse=True)
@@ -115,21 +127,21 @@ class Block:
         return context, one, two
 
 
-def _asked(table: DataFrame, bits: int, ranges: int) -> DataFrame:
+def _asked(table: DataFrame, ranges: int) -> DataFrame:
     """block, deleted, part, n, keys, counts: what each block asks of each key range of either kind of n-gram."""
     arrow = pa.schema([("block", pa.int64()), ("deleted", pa.bool_()), ("part", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    low = bits - (ranges.bit_length() - 1)
+    low = 64 - (ranges.bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                x = Block(r["text"], np.array(r["sizes"], np.int64), bits)
+                x = Block(r["text"], np.array(r["sizes"], np.int64))
                 train = np.repeat(np.array(r["train"], bool), x.n)
                 out = []
                 for kind in (0, 1):
                     keys, at = x.distinct(kind)
                     count = np.bincount(at, train, len(keys)).astype(np.uint64)
-                    part = (keys >> np.uint64(low)).astype(np.int64)
+                    part = (keys >> np.uint64(low)).astype(np.int64) if low < 64 else np.zeros(len(keys), np.int64)
                     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
                     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                         steps = np.diff(keys[i:j], prepend=np.uint64(0))
@@ -164,7 +176,10 @@ def _answered(asked: DataFrame, ranges: int) -> DataFrame:
             out.append({"block": -1, "part": rows[0]["part"], "n": 0, "all": None, "kept": None, "sums": [int(x) for c in (total, kept) for x in ((c > 0).sum(), c.sum())]})
         return pa.Table.from_pylist(out, schema)
 
-    return asked.groupBy("part").applyInArrow(group, "block long, part long, n long, all binary, kept binary, sums array<bigint>")
+    # a range of either kind has its own task (or turn by turn with others): a hash of so few numbers would heap some of them up
+    tasks = min(2 * ranges, MOST_TASKS)
+    dealt = asked.withColumn("slot", F.pmod("part", F.lit(tasks)).cast("int")).repartitionById(tasks, "slot")
+    return dealt.groupBy("slot", "part").applyInArrow(group, "block long, part long, n long, all binary, kept binary, sums array<bigint>")
 
 
 def _with_answers(table: DataFrame, answers: DataFrame, which: str) -> DataFrame:
@@ -188,14 +203,14 @@ def ratios(context: np.ndarray, one: np.ndarray, two: np.ndarray, n: int) -> tup
     return two / np.maximum(context, 1), one / max(n, 1)
 
 
-def _cells(held: DataFrame, bits: int, ranges: int, n: int) -> DataFrame:
+def _cells(held: DataFrame, ranges: int, n: int) -> DataFrame:
     """cell, n: how many deleted tokens have which context octave and, to a quarter octave, which two likelihoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quarter = lambda p: np.where(p > 0, np.clip(_QUARTERS - 1 + np.round(4 * np.log2(np.maximum(p, 1e-300))), 1, _QUARTERS - 1), 0).astype(np.int64)
         for b in batches:
             for r in b.to_pylist():
-                context, one, two = Block(r["text"], np.array(r["sizes"], np.int64), bits).counts(_answers(r["answers"], ranges))
+                context, one, two = Block(r["text"], np.array(r["sizes"], np.int64)).counts(_answers(r["answers"], ranges))
                 p2, p1 = ratios(context, one, two, n)
                 cell, k = np.unique((octave(context) * _QUARTERS + quarter(p2)) * _QUARTERS + quarter(p1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(k.astype(np.int64))], ["cell", "n"])
@@ -237,16 +252,16 @@ def scored(docs: DataFrame, train: Column, deleted: Column, id_col: str = "doc_i
     """
     train = F.coalesce(train, F.lit(False))
     rows = docs.select(docs[id_col].alias("id"), train.alias("train"), (train & F.coalesce(deleted, F.lit(False))).alias("deleted"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    table = stored(blocks(rows), "lm-blocks")
+    size = sized(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    table = stored(blocks(rows, size * TOKEN_BYTES), "lm-blocks")
     tokens = table.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    bits = min(64, max(1, int(tokens)).bit_length() + 24)
-    ranges = 1 << max(0, math.ceil(math.log2(max(1, tokens) / RANGE_TOKENS)))
-    answers = stored(_answered(_asked(table, bits, ranges), ranges), "lm-counts")
+    ranges = 1 << max(0, math.ceil(math.log2(max(1, tokens) / size)))
+    answers = stored(_answered(_asked(table, ranges), ranges), "lm-counts")
     sums = answers.where("block < 0").agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4)]).first()
     v, n, v_kept, n_kept = sums
 
     held = _with_answers(table.where("deleted"), answers.where("kept IS NOT NULL"), "kept")
-    cells = _cells(held, bits, ranges, n_kept).collect()  # at most octaves * quarters^2 rows, whatever the corpus
+    cells = _cells(held, ranges, n_kept).collect()  # at most octaves * quarters^2 rows, whatever the corpus
     weights = learned_weights(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float), 1 / (v_kept + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +269,7 @@ def scored(docs: DataFrame, train: Column, deleted: Column, id_col: str = "doc_i
             for i in range(b.num_rows):
                 part = b.slice(i, 1)
                 r = part.drop_columns(["ids"]).to_pylist()[0]
-                x = Block(r["text"], np.array(r["sizes"], np.int64), bits)
+                x = Block(r["text"], np.array(r["sizes"], np.int64))
                 context, one, two = x.counts(_answers(r["answers"], ranges))
                 p2, p1 = ratios(context, one, two, n)
                 w = weights[octave(context)]

@@ -38,7 +38,7 @@ def run(spark, rows):
 
 
 def test_counts_and_scores_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "RANGE_TOKENS", 500)
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 500)
     rows = corpus()
     got = run(spark, rows)
     fold = lambda i: (i or 0) % 10
@@ -97,3 +97,11 @@ def test_no_training_rows_and_empty_tables(spark):
 def test_planes_round_trip():
     x = np.array([0, 1, 255, 256, 2**40, 2**64 - 1], np.uint64)
     assert (lm.unpacked_ints(lm.packed_ints(x), len(x)) == x).all()
+
+
+def test_questions_stay_in_proportion_to_the_corpus():
+    for gb in (1, 30, 1000, 20_000):
+        tokens = gb * 10**9 // lm.TOKEN_BYTES
+        size = lm.sized(gb * 10**9)
+        assert lm.LEAST_TOKENS <= size <= lm.MOST_TOKENS
+        assert (tokens / size) ** 2 <= tokens / lm.PER_QUESTION * 1.1
