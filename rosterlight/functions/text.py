@@ -45,6 +45,16 @@ def minute_label(c: Column) -> Column:
     return F.format_string("%d:%02d%s", twelve.cast("int"), (c % 60).cast("int"), F.when(hour < 12, "am").otherwise("pm"))
 
 
+def clock_text(c: Column) -> Column:
+    """390 -> 06:30."""
+    return F.format_string("%02d:%02d", F.floor(c / 60).cast("int"), (c % 60).cast("int"))
+
+
+def minutes_text(c: Column) -> Column:
+    """Seconds 305 -> 5:05."""
+    return F.format_string("%d:%02d", F.floor(c / 60).cast("int"), (c % 60).cast("int"))
+
+
 def parsed_minute(c: Column) -> Column:
     """6:30am, 6:30 AM or 18:30 -> minute of the day; null if it is no time."""
     hour = F.regexp_extract(F.lower(F.trim(c)), r"^(\d{1,2}):(\d{2})\s*([ap]m)?$", 1)

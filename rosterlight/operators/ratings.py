@@ -29,22 +29,32 @@ def hour_baseline(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy("hour").agg(F.avg("on_time").alias("baseline"))
 
 
-def on_floor(tickets: DataFrame, sessions: DataFrame, breaks: DataFrame, levels: DataFrame, start: str, end: str) -> DataFrame:
+def on_floor(tickets: DataFrame, sessions: DataFrame, breaks: DataFrame, levels: DataFrame, start: str, end: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per judged ticket and session that it fell into, off breaks, at a level that counts.
 
-    Overlapping sessions of one person count a ticket each.
+    Overlapping sessions of one person count a ticket each.  ``keys`` (a store, say) are columns of tickets and sessions
+    that must agree.
     """
     crew = sessions.where((F.col("clock_in") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")) & (F.col("clock_out") > F.lit(start).cast("timestamp_ntz")))
-    crew = crew.join(small(levels.where("counts_for_rating").select("level_id")), "level_id", "left_semi").select("session_id", "employee_id", "clock_in", "clock_out")
-    hits = point_in_interval(tickets, crew, "created_at", "clock_in", "clock_out")
+    crew = crew.join(small(levels.where("counts_for_rating").select("level_id")), "level_id", "left_semi").select("session_id", "employee_id", "clock_in", "clock_out", *keys)
+    hits = point_in_interval(tickets, crew, "created_at", "clock_in", "clock_out", keys)
     off = (F.col("h.session_id") == F.col("b.session_id")) & (F.col("b.break_start") <= F.col("h.created_at")) & (F.col("h.created_at") < F.col("b.break_end"))
     return hits.alias("h").join(breaks.alias("b"), off, "left_anti")
 
 
-def session_hits(hits: DataFrame, goal: float) -> DataFrame:
-    """Hits -> employee_id, shifts_hit_target, shifts_total over sessions with a ticket."""
-    rate = hits.groupBy("employee_id", "session_id").agg((F.sum("on_time") / F.count(F.lit(1))).alias("rate"))
-    return rate.groupBy("employee_id").agg(F.count_if(F.col("rate") >= goal).cast("int").alias("shifts_hit_target"), F.count(F.lit(1)).cast("int").alias("shifts_total"))
+def by_session(hits: DataFrame) -> DataFrame:
+    """Hits -> employee_id, session_id, n, ok (and base, where hits have a baseline): all that ratings need of them, in one pass."""
+    base = [F.sum("baseline").alias("base")] if "baseline" in hits.columns else []
+    return hits.groupBy("employee_id", "session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("on_time").alias("ok"), *base)
+
+
+def session_hits(hits: DataFrame, goal: DataFrame) -> DataFrame:
+    """Hits -> employee_id, shifts_hit_target, shifts_total over sessions with a ticket; ``goal`` is one row."""
+    return by_session(hits).crossJoin(F.broadcast(goal)).groupBy("employee_id").agg(*_met())
+
+
+def _met() -> list[Column]:
+    return [F.count_if(F.col("ok") / F.col("n") >= F.col("goal")).cast("int").alias("shifts_hit_target"), F.count(F.lit(1)).cast("int").alias("shifts_total")]
 
 
 def level_as_of(employee_levels: DataFrame, day: Column) -> DataFrame:
@@ -52,20 +62,21 @@ def level_as_of(employee_levels: DataFrame, day: Column) -> DataFrame:
     return employee_levels.where(F.col("effective_from") <= day).groupBy("employee_id").agg(F.max_by("level_id", "effective_from").alias("level_id"))
 
 
-def latest_goal(sla: DataFrame) -> float:
-    """The goal of the last configuration, even one that is not yet in force."""
-    row = sla.agg(F.max_by("adherence_goal", "effective_from").alias("goal")).first()
-    return row["goal"] if row["goal"] is not None else DEFAULT_GOAL
+def latest_goal(sla: DataFrame) -> DataFrame:
+    """One row: the goal of the last configuration, even one that is not yet in force."""
+    return sla.agg(F.coalesce(F.max_by("adherence_goal", "effective_from"), F.lit(DEFAULT_GOAL)).alias("goal"))
 
 
-def ratings(tickets: DataFrame, sessions: DataFrame, breaks: DataFrame, levels: DataFrame, employee_levels: DataFrame, sla: DataFrame, start: str, end: str, shrink: int = 300) -> DataFrame:
+def ratings(tickets: DataFrame, sessions: DataFrame, breaks: DataFrame, levels: DataFrame, employee_levels: DataFrame, sla: DataFrame, start: str, end: str, shrink: int = 300, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per employee with a ticket: adherence, expectation, raw and shrunk plus/minus, sessions that met the goal."""
     own = judged(tickets, sla, start, end)
-    hits = on_floor(own, sessions, breaks, levels, start, end).join(F.broadcast(hour_baseline(own)), "hour")
-    sums = hits.groupBy("employee_id").agg(F.count(F.lit(1)).alias("tickets"), F.avg("on_time").alias("actual"), F.avg("baseline").alias("expected"))
+    hits = on_floor(own, sessions, breaks, levels, start, end, keys).join(F.broadcast(hour_baseline(own)), "hour")
+    sums = by_session(hits).crossJoin(F.broadcast(latest_goal(sla))).groupBy("employee_id").agg(
+        F.sum("n").alias("tickets"), (F.sum("ok") / F.sum("n")).alias("actual"), (F.sum("base") / F.sum("n")).alias("expected"), *_met()
+    )
     raw = (F.col("actual") - F.col("expected")) * 100
     named = level_as_of(employee_levels, F.lit(end).cast("date")).join(levels.select("level_id", "level_name"), "level_id").select("employee_id", "level_name")
-    out = sums.join(session_hits(hits, latest_goal(sla)), "employee_id").join(named, "employee_id", "left")
+    out = sums.join(named, "employee_id", "left")
     return out.select(
         "employee_id",
         F.coalesce("level_name", F.lit("")).alias("level_name"),

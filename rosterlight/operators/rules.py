@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import asof_join, day_runs, merged_windows
+from .temporal import asof_join, day_runs, merged_windows, small
 
 
 def absolute(week: Column, day: Column, minute: Column) -> Column:
@@ -85,6 +85,14 @@ def worked_dates(sessions: DataFrame, assignments: DataFrame, shifts: DataFrame)
     return a.union(b).distinct()
 
 
+def by_week(history: DataFrame, max_consecutive: int) -> DataFrame:
+    """employee_id, day and each week (Monday) that has the day among the ``max_consecutive`` days before it: for equi-joins by week."""
+    monday = F.date_add("day", 7 - F.weekday("day"))  # the first one after the day
+    last = F.greatest(F.date_add("day", max_consecutive), F.date_sub("day", 1))
+    weeks = F.when(monday <= last, F.sequence(monday, last, F.expr("INTERVAL 7 DAYS"))).otherwise(F.array().cast("array<date>"))
+    return history.select("employee_id", "day").distinct().select("employee_id", "day", F.explode(weeks).alias("week"))
+
+
 def warnings(assignments: DataFrame, shifts: DataFrame, employees: DataFrame, history: DataFrame, max_day: int = 480, max_consecutive: int = 6) -> DataFrame:
     """employee_id, week, kind, value, day: limits that the assignments of each week cross.
 
@@ -97,7 +105,7 @@ def warnings(assignments: DataFrame, shifts: DataFrame, employees: DataFrame, hi
     week = own.groupBy("employee_id", "week").agg(F.sum("minutes").alias("value")).join(employees.select("employee_id", "max_week_minutes"), "employee_id", "left")
     over_week = week.where(F.col("value") > F.coalesce("max_week_minutes", F.lit(2400))).select("employee_id", "week", F.lit("overtime_week").alias("kind"), "value", F.col("week").alias("day"))
     weeks = day.select("employee_id", "week").distinct()
-    past = weeks.join(history, "employee_id").where((F.col("day") < F.col("week")) & (F.col("day") >= F.date_sub("week", max_consecutive)))
+    past = by_week(history, max_consecutive).join(weeks, ["employee_id", "week"], "left_semi")
     days = past.select("employee_id", "week", "day").union(day.select("employee_id", "week", F.col("date").alias("day")))
     runs = day_runs(days, ["employee_id", "week"], "day").where((F.col("run_days") > max_consecutive) & (F.col("run_end") >= F.col("week")))
     streak = runs.select("employee_id", "week", F.lit("consecutive_days").alias("kind"), F.col("run_days").cast("long").alias("value"), F.col("run_start").alias("day"))
@@ -105,19 +113,43 @@ def warnings(assignments: DataFrame, shifts: DataFrame, employees: DataFrame, hi
     return cast(over_day).unionByName(cast(over_week)).unionByName(streak)
 
 
+# The wording of reasons and warnings.
+COVERS, OVER_WEEK, OVER_DAY = "Higher level covering down", "Would exceed their weekly hours cap (overtime)", "Would exceed %dh that day (overtime)"
+IN_A_ROW, OUTSIDE, ELIGIBLE = "Would be consecutive day #%d (limit %d)", "Outside their submitted availability", "Eligible now (schedule changed since last solve)"
+
+
+def hours_text(minutes: Column, digits: int) -> Column:
+    """Minutes as hours, rounded half to even."""
+    return F.format_string(f"%.{digits}f", F.bround(minutes / 60.0, digits))
+
+
+def warning_messages(warned: DataFrame, employees: DataFrame, max_day: int = 480) -> DataFrame:
+    """The rows of ``warnings`` with employee_name and message, in order of employee, kind and day."""
+    who = warned.join(employees.select("employee_id", F.col("name").alias("employee_name"), "max_week_minutes"), "employee_id", "left")
+    said = (
+        F.when(F.col("kind") == "overtime_day", F.concat(hours_text(F.col("value"), 1), F.lit("h on "), F.col("day").cast("string"), F.lit(" (over "), hours_text(F.lit(max_day), 0), F.lit("h/day)")))
+        .when(F.col("kind") == "overtime_week", F.concat(hours_text(F.col("value"), 1), F.lit("h this week (over their "), hours_text(F.coalesce("max_week_minutes", F.lit(2400)), 0), F.lit("h cap)")))
+        .otherwise(F.concat(F.col("value").cast("string"), F.lit(" consecutive days (run starting "), F.col("day").cast("string"), F.lit(")")))
+    )
+    return who.withColumn("message", F.concat("employee_name", F.lit(": "), said)).drop("max_week_minutes").orderBy("employee_id", "kind", "day")
+
+
 def suggestions(slots: DataFrame, shifts: DataFrame, employees: DataFrame, levels: DataFrame, assignments: DataFrame, availability: DataFrame, time_off: DataFrame, history: DataFrame, ratings: DataFrame, rest: int = 480, max_day: int = 480, max_consecutive: int = 6) -> DataFrame:
     """For each open slot (shift_id, level_id) who could fill it, and how much of a stretch it would be.
 
     Hard exclusions: inactive, level that does not count or is lower, on the shift already, time off, clash with an own
     shift.  Flags: 0 covering down, 1 overtime of week or day, 2 too many days in a row, 3 outside availability; softness
-    is the highest flag, -1 without any.  ``employees`` has active, level_id and max_week_minutes.
+    is the highest flag, -1 without any, and ``reason`` joins what they say.  ``employees`` has name, active, level_id and
+    max_week_minutes; ``ratings`` plus_minus and tickets (null and 0 for who has none).  In order of slot, softness,
+    rating (null as 0, best first) and id.
     """
-    lv = levels.select(F.col("level_id"), "rank", "counts_for_rating")
-    people = employees.where("active").join(F.broadcast(lv), "level_id").where("counts_for_rating").select("employee_id", F.col("level_id").alias("own_level"), F.col("rank").alias("own_rank"), "max_week_minutes")
-    open_ = slots.join(shifts, "shift_id").join(F.broadcast(lv.select("level_id", "rank")), "level_id").withColumn("minutes", F.col("end_min") - F.col("start_min"))
+    lv = levels.select(F.col("level_id"), "level_name", "rank", "counts_for_rating")
+    people = employees.where("active").join(small(lv), "level_id").where("counts_for_rating")
+    people = people.select("employee_id", F.col("name").alias("employee_name"), F.col("level_id").alias("own_level"), "level_name", F.col("rank").alias("own_rank"), "max_week_minutes")
+    open_ = slots.join(shifts, "shift_id").join(small(lv.select("level_id", "rank")), "level_id").withColumn("minutes", F.col("end_min") - F.col("start_min"))
     # at most as many ranks as levels: an equi-join on every rank that covers the slot's
     ranks = lv.select(F.col("rank").alias("own_rank")).distinct()
-    reach = open_.join(F.broadcast(ranks), F.col("own_rank") >= F.col("rank"))
+    reach = open_.join(small(ranks), F.col("own_rank") >= F.col("rank"))
     pairs = reach.join(people, "own_rank").where((F.col("own_level") == F.col("level_id")) | (F.col("own_rank") > F.col("rank")))
     mine = assignments.join(shifts, "shift_id").select("employee_id", "shift_id", "week", "date", "start_min", "end_min")
     clash = (F.col("p.employee_id") == F.col("m.employee_id")) & (F.col("p.week") == F.col("m.week")) & ((F.col("p.shift_id") == F.col("m.shift_id")) | conflicting("m", "p", F.col("p.week"), rest))
@@ -129,14 +161,22 @@ def suggestions(slots: DataFrame, shifts: DataFrame, employees: DataFrame, level
     key = ["employee_id", "week", "date"]
     seeds = pairs.select(*key).distinct()
     known = mine.select("employee_id", "week", F.col("date").alias("day"))
-    past = seeds.join(history, "employee_id").where((F.col("day") < F.col("week")) & (F.col("day") >= F.date_sub("week", max_consecutive)))
+    past = seeds.join(by_week(history, max_consecutive), ["employee_id", "week"])
     days = past.select(*key, "day").union(seeds.join(known, ["employee_id", "week"]).select(*key, "day")).union(seeds.select(*key, F.col("date").alias("day")))
     run = day_runs(days, key, "day").where(F.col("date").between(F.col("run_start"), F.col("run_end"))).select(*key, "run_days")
     pairs = pairs.join(run, key)
     down = F.col("own_level") != F.col("level_id")
     over_week = F.coalesce("week_minutes", F.lit(0)) + F.col("minutes") > F.col("max_week_minutes")
     over_day = F.coalesce("day_minutes", F.lit(0)) + F.col("minutes") > max_day
+    late, away = F.col("run_days") > max_consecutive, ~F.col("inside")
     flag = lambda test, n: F.when(test, n).otherwise(-1)
-    softness = F.greatest(flag(down, 0), flag(over_week | over_day, 1), flag(F.col("run_days") > max_consecutive, 2), flag(~F.col("inside"), 3))
-    rated = ratings.select("employee_id", F.col("plus_minus").alias("rating"))
-    return pairs.withColumn("softness", softness).join(rated, "employee_id", "left").select("shift_id", "level_id", "employee_id", "softness", "run_days", "rating")
+    softness = F.greatest(flag(down, 0), flag(over_week | over_day, 1), flag(late, 2), flag(away, 3))
+    said = [
+        F.when(down, COVERS), F.when(over_week, OVER_WEEK), F.when(over_day, OVER_DAY % round(max_day / 60)),
+        F.when(late, F.format_string(IN_A_ROW, "run_days", F.lit(max_consecutive))), F.when(away, OUTSIDE),
+    ]
+    reason = F.coalesce(F.nullif(F.concat_ws("; ", *said), F.lit("")), F.lit(ELIGIBLE))
+    rated = ratings.select("employee_id", F.col("plus_minus").alias("rating"), "tickets")
+    out = pairs.withColumns({"softness": softness, "reason": reason}).join(rated, "employee_id", "left")
+    out = out.select("shift_id", "level_id", "employee_id", "employee_name", "level_name", "softness", "reason", "run_days", "rating", F.coalesce("tickets", F.lit(0)).cast("long").alias("tickets"))
+    return out.orderBy("shift_id", "level_id", "softness", F.desc(F.coalesce("rating", F.lit(0.0))), "employee_id")

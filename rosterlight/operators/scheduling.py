@@ -1,8 +1,8 @@
 """Weekly assignment and daily break placement.
 
-Candidates, limits and conflicts are DataFrames; one week (or day) of one store is a group, and only its search runs in
-Python.  A search counts steps, not seconds, so it gives the same plan wherever it runs.  Weeks and days are the unit of
-parallelism; a group holds the shifts of one week, which does not grow with the history.
+Candidates, limits and conflicts are DataFrames; only the search of a group runs in Python (``search``).  A group of the
+assignment is one level of one week (of one store, where shifts name one): everybody has one level a week, so levels share
+neither people nor slots.  A group of the breaks is one day (of one store).  Neither grows with the history.
 """
 
 from __future__ import annotations
@@ -11,118 +11,74 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import entitled
+from .rules import by_week, entitled
+from .search import SLOT, Break, Day, Person, Pick, Week, best_day, best_week, parts
 
-STEPS = 20_000
-FILL = 1_000_000
-SLOT = 5
 
+def solved_weeks(candidates: DataFrame, shifts: DataFrame, requirements: DataFrame, employees: DataFrame, conflicts: DataFrame, history: DataFrame, ratings: DataFrame, weights: DataFrame, manual: DataFrame, max_day: int = 480, max_consecutive: int = 6) -> DataFrame:
+    """One row per week and level with a candidate: picks (employee_id, shift_id), objective, bound and is_optimal.
 
-def assign_weeks(candidates: DataFrame, shifts: DataFrame, requirements: DataFrame, employees: DataFrame, conflicts: DataFrame, history: DataFrame, ratings: DataFrame, weights: DataFrame, manual: DataFrame, max_day: int = 480, max_consecutive: int = 6) -> DataFrame:
-    """week, employee_id, shift_id, level_id: fills that respect every limit, by greedy choice and bounded improvement.
-
-    The gain of a pick is 1e6 for the fill, plus the rating in tenths times the demand weight, less what it adds to the
-    distance from the person's target minutes.
+    The objective is 1e6 for each fill, plus the rating in tenths times the shift's demand weight, less everybody's distance
+    from their target minutes.  ``bound`` is a value that no plan exceeds; is_optimal says that the plan reaches it.  A
+    part of a group that shares no person and no slot with others is searched alone, exactly up to a number of nodes.
+    ``shifts`` may have a store; groups are then those of a store, and people and slots of stores are never mixed.
     """
+    store = [c for c in ("store",) if c in shifts.columns]
+    keys = [*store, "week", "level_id"]
     rated = ratings.select("employee_id", F.col("plus_minus").alias("rating"))
     size = requirements.groupBy("shift_id", "level_id").agg(F.sum("count").alias("cap"))
     have = manual.groupBy("shift_id", F.col("fills_level_id").alias("level_id")).agg(F.count(F.lit(1)).alias("filled"))
     clash = conflicts.select(F.col("a").alias("shift_id"), F.col("b").alias("other")).union(conflicts.select("b", "a")).groupBy("shift_id").agg(F.collect_set("other").alias("clash"))
     fixed = manual.join(shifts, "shift_id").groupBy("employee_id", "week").agg(F.collect_list(F.struct(F.datediff("date", "week").alias("d"), (F.col("end_min") - F.col("start_min")).alias("m"))).alias("fixed"))
-    past = shifts.select("week").distinct().join(history.select("employee_id", "day").distinct(), F.col("day").between(F.date_sub("week", max_consecutive), F.date_sub("week", 1)))
-    past = past.groupBy("employee_id", "week").agg(F.collect_set(F.datediff("day", "week")).alias("past"))
+    past = by_week(history, max_consecutive).groupBy("employee_id", "week").agg(F.collect_set(F.datediff("day", "week")).alias("past"))
     rows = (
         candidates.join(shifts, "shift_id").join(size, ["shift_id", "level_id"]).join(have, ["shift_id", "level_id"], "left").join(clash, "shift_id", "left")
         .join(weights, "shift_id", "left").join(rated, "employee_id", "left").join(employees.select("employee_id", "max_week_minutes", "target_week_minutes"), "employee_id")
         .join(fixed, ["employee_id", "week"], "left").join(past, ["employee_id", "week"], "left")
     )
     rows = rows.select(
-        "week", "employee_id", "shift_id", "level_id", F.datediff("date", "week").alias("d"), (F.col("end_min") - F.col("start_min")).alias("m"),
-        (F.col("cap") - F.coalesce("filled", F.lit(0))).alias("room"), "clash", (F.coalesce("rating", F.lit(0.0)) * 10).cast("int").alias("tenths"), F.coalesce("weight", F.lit(1)).alias("weight"),
-        "max_week_minutes", "target_week_minutes", "fixed", "past",
+        *keys, "employee_id", "shift_id", F.datediff("date", "week").alias("d"), (F.col("end_min") - F.col("start_min")).alias("m"),
+        F.greatest(F.col("cap") - F.coalesce("filled", F.lit(0)), F.lit(0)).alias("room"), "clash",
+        ((F.coalesce("rating", F.lit(0.0)) * 10).cast("int") * F.coalesce("weight", F.lit(1))).alias("quality"),
+        "max_week_minutes", F.coalesce("target_week_minutes", F.lit(0)).alias("target"), "fixed", "past",
     )
+    types = dict(rows.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(pdf.to_dict("records"), key=lambda r: (-r["tenths"] * r["weight"], r["shift_id"], r["employee_id"]))
-        room = {(r["shift_id"], r["level_id"]): int(r["room"]) for r in items}
-        clash = {r["shift_id"]: set(r["clash"]) if r["clash"] is not None else set() for r in items}
-        people = {}
+        items = pdf.to_dict("records")
+        part = parts([(("e", r["employee_id"]), ("s", r["shift_id"])) for r in items])
+        grouped: dict[int, list[dict]] = {}
         for r in items:
-            p = people.setdefault(r["employee_id"], {"cap": int(r["max_week_minutes"]), "target": r["target_week_minutes"], "day": {}, "fixed_days": set(), "past": set(map(int, r["past"])) if r["past"] is not None else set(), "total": 0, "shifts": {}})
-            if not p["day"] and r["fixed"] is not None:
-                for x in r["fixed"]:
-                    p["day"][x["d"]] = p["day"].get(x["d"], 0) + x["m"]
-                    p["fixed_days"].add(x["d"])
-                p["total"] = sum(p["day"].values())
-                p["cap"] = max(p["cap"], p["total"])
-                p["day_cap"] = dict(p["day"])
-
-        def allowed(r: dict, p: dict) -> bool:
-            d, m = r["d"], r["m"]
-            if room[r["shift_id"], r["level_id"]] <= 0 or r["shift_id"] in p["shifts"] or clash[r["shift_id"]] & p["shifts"].keys():
-                return False
-            if p["total"] + m > p["cap"] or p["day"].get(d, 0) + m > max(max_day, p.get("day_cap", {}).get(d, 0)):
-                return False
-            worked = p["past"] | set(p["day"]) | {d}
-            low = high = d
-            while low - 1 in worked:
-                low -= 1
-            while high + 1 in worked:
-                high += 1
-            return d in p["day"] or high - low + 1 <= max_consecutive
-
-        def gain(r: dict, p: dict) -> int:
-            target = p["target"]
-            off = 0 if target is None or target != target or not target else abs(p["total"] + r["m"] - target) - abs(p["total"] - target)
-            return FILL + r["tenths"] * r["weight"] - int(off)
-
-        def put(r: dict, sign: int) -> None:
-            p = people[r["employee_id"]]
-            room[r["shift_id"], r["level_id"]] -= sign
-            p["total"] += sign * r["m"]
-            p["day"][r["d"]] = p["day"].get(r["d"], 0) + sign * r["m"]
-            if sign > 0:
-                p["shifts"][r["shift_id"]] = r
-            else:
-                del p["shifts"][r["shift_id"]]
-                if not p["day"][r["d"]] and r["d"] not in p["fixed_days"]:
-                    del p["day"][r["d"]]
-
-        def fill() -> list[dict]:
-            done = []
-            while True:
-                best = max(((gain(r, people[r["employee_id"]]), -k) for k, r in enumerate(items) if allowed(r, people[r["employee_id"]])), default=None)
-                if best is None:
-                    return done
-                done.append(items[-best[1]])
-                put(done[-1], 1)
-
-        fill()
-        score = lambda: (sum(len(p["shifts"]) for p in people.values()), sum(r["tenths"] * r["weight"] for p in people.values() for r in p["shifts"].values()))
-        best, steps = score(), 0
-        for r in items:  # take one pick out, forbid it for a moment, fill up again, keep what is better
-            p = people[r["employee_id"]]
-            steps += len(items)
-            if steps > STEPS or p["shifts"].get(r["shift_id"]) is not r:
-                continue
-            put(r, -1)
-            key = (r["shift_id"], r["level_id"])
-            others = [x for x in items if (x["shift_id"], x["level_id"]) == key and x is not r and allowed(x, people[x["employee_id"]])]
-            if others:
-                put(others[0], 1)
-                added = fill()
-                if score() > best:
-                    best = score()
-                    continue
-                for x in reversed(added):
-                    put(x, -1)
-                put(others[0], -1)
-            put(r, 1)
-        out = [(r["week"], r["employee_id"], r["shift_id"], r["level_id"]) for p in people.values() for r in p["shifts"].values()]
-        return pd.DataFrame(out, columns=["week", "employee_id", "shift_id", "level_id"])
+            grouped.setdefault(part["e", r["employee_id"]], []).append(r)
+        picks, objective, bound = [], 0, 0
+        for own in grouped.values():
+            people: dict[int, Person] = {}
+            for r in own:
+                if r["employee_id"] not in people:
+                    day: dict[int, int] = {}
+                    for x in r["fixed"] if r["fixed"] is not None else ():
+                        day[x["d"]] = day.get(x["d"], 0) + x["m"]
+                    total = sum(day.values())
+                    past = set(map(int, r["past"])) if r["past"] is not None else set()
+                    people[r["employee_id"]] = Person(max(int(r["max_week_minutes"]), total), int(r["target"]), {d: max(max_day, m) for d, m in day.items()}, set(day), past, total, dict(day))
+            room = {r["shift_id"]: int(r["room"]) for r in own}
+            clashes = {r["shift_id"]: set(r["clash"]) if r["clash"] is not None else set() for r in own}
+            week = Week([Pick(r["employee_id"], r["shift_id"], int(r["d"]), int(r["m"]), int(r["quality"])) for r in own], people, room, clashes, max_day, max_consecutive)
+            plan, score, top = best_week(week)
+            picks += [{"employee_id": p.employee, "shift_id": p.shift} for p in plan]
+            objective, bound = objective + score, bound + top
+        first = pdf.iloc[0]
+        return pd.DataFrame([(*[first[k] for k in keys], picks, objective, bound, objective == bound)], columns=[*keys, "picks", "objective", "bound", "is_optimal"])
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(solve, f"{schema}, picks array<struct<employee_id:{types['employee_id']},shift_id:{types['shift_id']}>>, objective long, bound long, is_optimal boolean")
 
-    types = dict(rows.dtypes)
-    return rows.groupBy("week").applyInPandas(solve, f"week date, employee_id {types['employee_id']}, shift_id {types['shift_id']}, level_id {types['level_id']}")
+
+def assign_weeks(candidates: DataFrame, shifts: DataFrame, requirements: DataFrame, employees: DataFrame, conflicts: DataFrame, history: DataFrame, ratings: DataFrame, weights: DataFrame, manual: DataFrame, max_day: int = 480, max_consecutive: int = 6) -> DataFrame:
+    """(store,) week, employee_id, shift_id, level_id, is_optimal: the picks of ``solved_weeks``, one row each."""
+    solved = solved_weeks(candidates, shifts, requirements, employees, conflicts, history, ratings, weights, manual, max_day, max_consecutive)
+    store = [c for c in ("store",) if c in solved.columns]
+    return solved.select(*store, "week", "level_id", "is_optimal", F.explode("picks").alias("p")).select(*store, "week", "p.employee_id", "p.shift_id", "level_id", "is_optimal")
 
 
 def _breaks(rest: Column, meal: Column, fallback: bool) -> Column:
@@ -156,60 +112,66 @@ def anchored_breaks(roster: DataFrame, rules: DataFrame, rest_minutes: int = 10,
 
 
 def plan_breaks(roster: DataFrame, rules: DataFrame, costs: DataFrame, rest_minutes: int = 10, meal_minutes: int = 30, edge: int = 45, gap: int = 90, concurrent: int = 1, meal_by: int = 300) -> DataFrame:
-    """date, entry_id, k, kind, start_min, end_min, paid: breaks at low demand near their anchors, few at a time.
-
-    ``costs`` has the 288 slot costs of a day.  Breaks are placed person by person by a search over start slots; where a
-    day has no such plan its breaks are anchored alone.  A length that is no multiple of five minutes reserves its last
-    slot whole.
+    """(store,) date, entry_id, k, kind, start_min, end_min, paid, status, cost, bound: the breaks of a day at the least cost.
+
+    The cost is ten times the demand of the slots that breaks take (``costs``: the 288 slots of a day) plus their distance
+    in slots from their anchors; at most ``concurrent`` at a time, ``gap`` minutes between breaks of one entry.  Breaks
+    that cannot keep the edges of their shift are left out.  status: ``optimal`` (no cheaper plan), ``feasible`` (the
+    search ended at its number of nodes), and, where all breaks of the day stand at their own anchors without regard to
+    others (``anchored_breaks``), ``infeasible`` (no plan exists) or ``not found``.  cost is that of the day's plan and bound
+    one that no plan undercuts (-1 without a plan).  Lengths that are no multiple of five
+    minutes reserve their last slot whole.  ``roster`` may have a store; days are then those of a store.
     """
-    rows = entitled(roster, rules).where("rest_breaks + meal_breaks > 0")
-    rows = rows.withColumn("b", F.explode(_breaks(F.col("rest_breaks"), F.col("meal_breaks"), False))).select("date", "entry_id", "start_min", "end_min", "b.*")
+    store = [c for c in ("store",) if c in roster.columns]
+    keys = [*store, "date"]
+    due = entitled(roster, rules).where("rest_breaks + meal_breaks > 0")
+    rows = due.withColumn("b", F.explode(_breaks(F.col("rest_breaks"), F.col("meal_breaks"), False))).select(*keys, "entry_id", "start_min", "end_min", "b.*")
     minutes = F.when(F.col("kind") == "rest", rest_minutes).otherwise(meal_minutes)
     high = F.col("end_min") - edge - minutes
     high = F.when(F.col("kind") == "meal", F.least(high, F.col("start_min") + meal_by)).otherwise(high)
-    rows = rows.withColumns({"minutes": minutes, "low": F.ceil((F.col("start_min") + edge) / SLOT), "high": F.floor(high / SLOT), "anchor": F.bround((F.col("start_min") + (F.col("end_min") - F.col("start_min")) * F.col("share")) / SLOT).cast("int")})
+    rows = rows.withColumns({"minutes": minutes, "low": F.ceil((F.col("start_min") + edge) / SLOT).cast("int"), "high": F.floor(high / SLOT).cast("int"), "anchor": F.bround((F.col("start_min") + (F.col("end_min") - F.col("start_min")) * F.col("share")) / SLOT).cast("int")})
+    rows = rows.where("low <= high").select(*keys, "entry_id", "k", "kind", "minutes", "low", "high", "anchor", F.lit(0).alias("start_min"), F.lit(0).alias("end_min"))
+    alone = anchored_breaks(roster, rules, rest_minutes, meal_minutes, edge, meal_by).join(roster.select("entry_id", *keys), "entry_id")
+    alone = alone.select(*keys, "entry_id", "k", "kind", *[F.lit(None).cast("int").alias(c) for c in ("minutes", "low", "high", "anchor")], "start_min", "end_min")
+    both = rows.unionByName(alone)
     table = costs.agg(F.array_sort(F.collect_list(F.struct("slot", "cost"))).alias("costs"))  # 288 numbers
-    rows = rows.where("low <= high").crossJoin(F.broadcast(table))
+    both = both.crossJoin(F.broadcast(table))
+    types = dict(both.dtypes)
+    names = [*keys, "entry_id", "k", "kind", "start_min", "end_min", "paid", "status", "cost", "bound"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         cost = {int(x["slot"]): int(x["cost"]) for x in pdf["costs"].iloc[0]}
-        breaks = sorted(pdf.drop(columns="costs").to_dict("records"), key=lambda r: (r["start_min"], r["entry_id"], r["k"]))
-        for r in breaks:
-            r["slots"] = -(-int(r["minutes"]) // SLOT)
-            price = lambda s, r=r: 10 * sum(cost.get(s + i, 0) for i in range(r["slots"])) + abs(s - r["anchor"])
-            r["choices"] = sorted(range(int(r["low"]), int(r["high"]) + 1), key=lambda s: (price(s), s))
-        used: dict[int, int] = {}
-        places: list[int] = []
-        steps = 0
-
-        def place(n: int) -> bool:
-            nonlocal steps
-            if n == len(breaks):
-                return True
-            r = breaks[n]
-            same = n and breaks[n - 1]["entry_id"] == r["entry_id"]
-            first = places[-1] + breaks[n - 1]["slots"] + -(-gap // SLOT) if same else 0
-            for s in r["choices"]:
-                steps += 1
-                if steps > STEPS:
-                    return False
-                if s < first or any(used.get(s + i, 0) >= concurrent for i in range(r["slots"])):
-                    continue
-                places.append(s)
-                for i in range(r["slots"]):
-                    used[s + i] = used.get(s + i, 0) + 1
-                if place(n + 1):
-                    return True
-                places.pop()
-                for i in range(r["slots"]):
-                    used[s + i] -= 1
-            return False
-
-        found = place(0)
-        out = []
-        for n, r in enumerate(breaks):
-            start = places[n] * SLOT if found else min(max(int(r["anchor"]) * SLOT, int(r["low"]) * SLOT), int(r["high"]) * SLOT)
-            out.append((r["date"], r["entry_id"], int(r["k"]), r["kind"], start, start + int(r["minutes"]), r["kind"] == "rest", found))
-        return pd.DataFrame(out, columns=["date", "entry_id", "k", "kind", "start_min", "end_min", "paid", "coupled"])
-
-    return rows.groupBy("date").applyInPandas(solve, f"date date, entry_id {dict(rows.dtypes)['entry_id']}, k int, kind string, start_min int, end_min int, paid boolean, coupled boolean")
+        pdf = pdf.drop(columns="costs")
+        items = sorted(pdf[pdf["low"].notna()].to_dict("records"), key=lambda r: (r["low"], r["entry_id"], r["k"]))
+        breaks = []
+        for r in items:
+            slots = -(-int(r["minutes"]) // SLOT)
+            prices = {s: 10 * sum(cost.get(s + i, 0) for i in range(slots)) + abs(s - int(r["anchor"])) for s in range(int(r["low"]), int(r["high"]) + 1)}
+            breaks.append(Break(r["entry_id"], int(r["k"]), int(r["low"]), int(r["high"]), slots, prices))
+        # breaks whose windows never meet, of entries that never meet, do not touch each other
+        links, end, open_ = [], -1, None
+        for n, b in sorted(enumerate(breaks), key=lambda x: x[1].low):
+            links += [(n, ("entry", b.entry)), (n, open_ if b.low < end else n)]
+            if b.high + b.slots > end:
+                end, open_ = b.high + b.slots, n
+        part = parts(links)
+        starts: dict[int, int] = {}
+        status, cost_all, bound = "optimal", 0, 0
+        for p in sorted({part[n] for n in range(len(breaks))}):
+            own = [n for n in range(len(breaks)) if part[n] == p]
+            plan, price, least, exact = best_day(Day([breaks[n] for n in own], -(-gap // SLOT), concurrent))
+            if plan is None:
+                status = "infeasible" if exact else "not found"
+                break
+            if price > least:
+                status = "feasible"
+            cost_all, bound = cost_all + price, bound + least
+            starts |= {own[i]: s for i, s in plan.items()}
+        if status in ("optimal", "feasible"):
+            out = [(*[r[k] for k in keys], r["entry_id"], int(r["k"]), r["kind"], starts[n] * SLOT, starts[n] * SLOT + int(r["minutes"]), r["kind"] == "rest", status, cost_all, bound) for n, r in enumerate(items)]
+        else:
+            out = [(*[r[k] for k in keys], r["entry_id"], int(r["k"]), r["kind"], int(r["start_min"]), int(r["end_min"]), r["kind"] == "rest", status, -1, -1) for r in pdf[pdf["low"].isna()].to_dict("records")]
+        return pd.DataFrame(out, columns=names)
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    return both.groupBy(*keys).applyInPandas(solve, f"{schema}, entry_id {types['entry_id']}, k int, kind string, start_min int, end_min int, paid boolean, status string, cost long, bound long")

@@ -1,7 +1,8 @@
 """Temporal joins and runs: as-of, interval, merged windows, islands, carry-forward, rolling counts.
 
-Spark has no interval join.  Two interval sides are bucketed by calendar day here, so the join is an equi-join on the
-day with the range as a residual; a row is exploded over the days that it touches, never over other rows.
+Spark has no interval join.  Intervals are bucketed by the hour here (and by keys such as a store), so the join is an
+equi-join on the hour with the range as a residual; an interval is exploded over the hours that it touches, never over
+other rows, and no bucket grows with the number of days.
 """
 
 from __future__ import annotations
@@ -13,9 +14,20 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000
 
 
+_COUNTED: dict[tuple[str, int], bool] = {}
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has at most ``SMALL_ROWS`` rows; one look at a table in a session serves every plan made from it."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _COUNTED:
+        _COUNTED[key] = df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return _COUNTED[key]
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``SMALL_ROWS`` rows."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def with_until(df: DataFrame, start: str, keys: list[str], until: str = "until") -> DataFrame:
@@ -26,10 +38,14 @@ def with_until(df: DataFrame, start: str, keys: list[str], until: str = "until")
 def asof_join(left: DataFrame, right: DataFrame, at: Column, start: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row of its key whose ``start`` is at or before ``at``; nulls if none.
 
-    Without keys ``right`` is a configuration table, and the range join wants it small; with keys it is an equi-join.
+    ``at`` names columns of ``left`` by the alias l.  With keys it is an equi-join.  Without, ``right`` is mostly a
+    configuration table, broadcast if it is small; a larger one is carried along the distinct values of ``at`` and joined
+    by value, so no plan holds a nested loop over a large side.
     """
+    if not keys and not is_small(right):
+        return _asof_by_value(left, right, at, start)
     spans = with_until(right, start, list(keys), "until__")
-    spans = spans if keys else small(spans)
+    spans = spans if keys else F.broadcast(spans)
     hit = (F.col(f"r.{start}") <= at) & (F.col("r.until__").isNull() | (at < F.col("r.until__")))
     for k in keys:
         hit = hit & (F.col(f"l.{k}") == F.col(f"r.{k}"))
@@ -37,15 +53,38 @@ def asof_join(left: DataFrame, right: DataFrame, at: Column, start: str, keys: t
     return left.alias("l").join(spans.alias("r"), hit, "left").select("l.*", *added)
 
 
+def _number(c: Column, kind: str) -> Column:
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c.cast("long")
+
+
+def _asof_by_value(left: DataFrame, right: DataFrame, at: Column, start: str) -> DataFrame:
+    kind = dict(right.dtypes)[start]
+    added = [c for c in right.columns if c not in left.columns]
+    rows = left.alias("l").withColumn("at__", _number(at, kind))
+    steps = right.select(_number(F.col(start), kind).alias("at__"), F.struct(*added).alias("v__")).where("at__ IS NOT NULL")
+    values = steps.union(rows.select("at__", F.lit(None).cast(steps.schema["v__"].dataType)).where("at__ IS NOT NULL").distinct())
+    values = values.groupBy("at__").agg(F.max("v__").alias("v__")).withColumn("k__", F.lit(0))
+    held = carried_by_range(values, F.col("v__"), "at__", "k__", "got__").select("at__", "got__")
+    return rows.join(held, "at__", "left").select(*left.columns, *[F.col(f"got__.{c}").alias(c) for c in added])
+
+
 def by_day(df: DataFrame, start: str, end: str, day: str = "day") -> DataFrame:
     """Each interval once for every calendar day that it touches."""
     return df.withColumn(day, F.explode(F.sequence(F.to_date(start), F.to_date(end))))
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
-    """Pairs of points and intervals with start <= at < end, each pair once; column names must differ."""
-    p, i = points.withColumn("day__", F.to_date(at)), by_day(intervals, start, end, "day__")
-    return p.join(i, "day__").where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("day__")
+def hour_number(c: Column) -> Column:
+    """Hours since 1970 of the wall clock."""
+    return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) * 24 + F.hour(c)
+
+
+def point_in_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of points and intervals with start <= at < end (and equal ``keys``), each pair once; other column names must differ."""
+    p = points.withColumn("hour__", hour_number(F.col(at)))
+    i = intervals.where(F.col(start) < F.col(end)).withColumn("hour__", F.explode(F.sequence(hour_number(F.col(start)), hour_number(F.col(end)))))
+    return p.join(i, [*keys, "hour__"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("hour__")
 
 
 def merged_windows(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -81,8 +120,8 @@ def carried_by_range(df: DataFrame, value: Column, order: str, key: str, name: s
     own = rows.withColumn("own__", F.last("value__", ignorenulls=True).over(w))
     ends = rows.groupBy(key, "range__").agg(F.max_by("value__", F.when(F.col("value__").isNotNull(), F.col(order))).alias("end__"))
     before = Window.partitionBy(key).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
-    heads = ends.select(F.col(key).alias("key__"), F.col("range__").alias("at__"), F.last("end__", ignorenulls=True).over(before).alias("head__"))
-    got = own.join(heads, own[key].eqNullSafe(F.col("key__")) & own["range__"].eqNullSafe(F.col("at__")), "left")
+    heads = ends.select(F.col(key).alias("key__"), F.col("range__").alias("of__"), F.last("end__", ignorenulls=True).over(before).alias("head__"))
+    got = own.join(heads, own[key].eqNullSafe(F.col("key__")) & own["range__"].eqNullSafe(F.col("of__")), "left")
     return got.withColumn(name, F.coalesce("own__", "head__")).select(*df.columns, name)
 
 

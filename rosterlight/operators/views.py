@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rules import conflicting
 from .ratings import level_as_of
+from .rules import conflicting
 
 
 def employee_view(employees: DataFrame, employee_levels: DataFrame, levels: DataFrame, availability: DataFrame, time_off: DataFrame, day: Column) -> DataFrame:
@@ -35,13 +35,65 @@ def day_view(roster: DataFrame, breaks: DataFrame) -> DataFrame:
     return roster.join(own, "entry_id", "left")
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose minutes (and weekday, if there is one) make sense, and the others."""
-    good = (F.col("start_min") >= 0) & (F.col("start_min") < F.col("end_min")) & (F.col("end_min") <= 1440)
+def week_slice(shifts: DataFrame, week: Column) -> DataFrame:
+    """The shifts of the seven days from ``week`` on, by date, start and id."""
+    return shifts.where((F.col("date") >= week) & (F.col("date") < F.date_add(week, 7))).orderBy("date", "start_min", "shift_id")
+
+
+def filtered(df: DataFrame, **equal: object) -> DataFrame:
+    """Rows whose columns have these values; a filter of None is none."""
+    for name, value in equal.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def members(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``wanted``."""
+    return df.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+#: The order of each listing; a minus sign is descending.
+ORDERS = {
+    "levels": ("-rank", "level_id"),
+    "employees": ("lower(name)", "employee_id"),
+    "templates": ("weekday", "start_min"),
+    "shifts": ("date", "start_min", "shift_id"),
+    "hours": ("-period_start", "lower(employee_name)"),
+    "sla": ("effective_from",),
+    "roster": ("start_min", "entry_id"),
+}
+
+
+def listed(df: DataFrame, listing: str) -> DataFrame:
+    """``df`` in the order of a listing of ``ORDERS``."""
+    return df.orderBy(*[F.expr(c[1:]).desc() if c[0] == "-" else F.expr(c) for c in ORDERS[listing]])
+
+
+def default_window(today: Column, days: int, start: Column | None = None, end: Column | None = None) -> tuple[Column, Column]:
+    """The window of a report: what is asked, else the ``days`` up to ``today``."""
+    last = today if end is None else F.coalesce(end, today)
+    first = F.date_sub(today, days)
+    return (first if start is None else F.coalesce(start, first)), last
+
+
+def split_valid(df: DataFrame, not_negative: tuple[str, ...] = (), unique: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose minutes (and weekday, if there is one) make sense, and the others.
+
+    Columns of ``not_negative`` must be 0 or more; a value of ``unique`` that several rows have makes all of them invalid.
+    """
+    good = F.lit(True)
+    if "start_min" in df.columns:
+        good = (F.col("start_min") >= 0) & (F.col("start_min") < F.col("end_min")) & (F.col("end_min") <= 1440)
     if "weekday" in df.columns:
         good = good & F.col("weekday").between(0, 6)
+    for c in not_negative:
+        good = good & (F.col(c) >= 0)
     good = F.coalesce(good, F.lit(False))
-    return df.where(good), df.where(~good)
+    if unique:
+        good = good & (F.count(F.lit(1)).over(Window.partitionBy(unique)) == 1)
+    marked = df.withColumn("good__", good)
+    return marked.where("good__").drop("good__"), marked.where("NOT good__").drop("good__")
 
 
 def visible(schedules: DataFrame, manager: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,6 +115,13 @@ _ENTITLED = """,
             coalesce((SELECT x.meal_breaks FROM rules x WHERE x.min_shift_minutes <= r.end_min - r.start_min ORDER BY 1 * x.min_shift_minutes DESC LIMIT 1), 0) AS meal_breaks FROM roster r)"""
 
 
+# the breaks of an entitlement that can keep the edges of their shift
+_DUE_BREAKS = """,
+    dealt AS (SELECT *, 10 AS n, false AS meal FROM due, range(2) AS x(i) WHERE i < rest_breaks AND meal_breaks = 0 UNION ALL SELECT *, 10, false FROM due, range(2) AS x(i) WHERE i < least(rest_breaks, 2) AND meal_breaks > 0
+              UNION ALL SELECT *, 0, 30, true FROM due WHERE meal_breaks > 0),
+    fits AS (SELECT * FROM dealt WHERE ceil((start_min + 45) / 5.0) <= floor(CASE WHEN meal THEN least(end_min - 45 - n, start_min + 300) ELSE end_min - 45 - n END / 5.0))"""
+
+
 @query(f"{_ENTITLED} SELECT entry_id, end_min - start_min AS minutes, rest_breaks, meal_breaks FROM due")
 def break_entitlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
@@ -143,7 +151,7 @@ _CAN = f"""{_MERGED},
 
 
 def _all_pairs(v: Views) -> DataFrame:
-    """Everyone with every shift of the four weeks: the question of ``available_pairs``, small by its two tables."""
+    """Everyone with every shift of the four weeks: the product is what ``available_pairs`` is asked about."""
     return v.employees.select("employee_id").crossJoin(v.shifts)
 
 
@@ -222,16 +230,9 @@ def last_level_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.last_level_run(logged, "employee_id", "day", "level_id")
 
 
-@query(" SELECT ticket_id, (SELECT max(o.ticket_id) FROM tickets o WHERE o.ticket_id <= t.ticket_id AND o.station = t.station AND o.items % 5 = 0) AS owner FROM tickets t WHERE ticket_id < 3000")
+@query(" SELECT ticket_id, last_value(CASE WHEN items % 5 = 0 THEN ticket_id END IGNORE NULLS) OVER (PARTITION BY station ORDER BY ticket_id) AS owner FROM tickets")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last row of a station that opens a block owns the rows after it."""
-    t = Views(spark, sf_dir).tickets.where("ticket_id < 3000")
-    return t.select("ticket_id", temporal.carried(F.when(F.col("items") % 5 == 0, F.col("ticket_id")), "ticket_id", ["station"]).alias("owner"))
-
-
-@query(" SELECT ticket_id, last_value(CASE WHEN items % 5 = 0 THEN ticket_id END IGNORE NULLS) OVER (PARTITION BY station ORDER BY ticket_id) AS owner FROM tickets")
-def carry_forward_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``carry_forward`` over every ticket; the SQL of that query stops at ticket 3,000."""
     t = Views(spark, sf_dir).tickets
     return temporal.carried_by_range(t, F.when(F.col("items") % 5 == 0, F.col("ticket_id")), "ticket_id", "station", "owner").select("ticket_id", "owner")
 
@@ -251,20 +252,32 @@ _OWN = """,
     own AS (SELECT a.employee_id, s.shift_id, s.week, s.date, s.start_min, s.end_min, s.end_min - s.start_min AS minutes FROM assignments a JOIN shifts s USING (shift_id))"""
 
 
-@query(
-    f"""{_WORKED}{_OWN},
+_WARNED = """,
     daily AS (SELECT employee_id, week, date, sum(minutes) AS v FROM own GROUP BY ALL),
     seen AS (SELECT d.employee_id, d.week, d.date AS day FROM daily d UNION SELECT d.employee_id, d.week, x.day FROM daily d JOIN worked x ON x.employee_id = d.employee_id AND x.day < d.week AND x.day >= d.week - 6),
     marked AS (SELECT *, CASE WHEN lag(day) OVER w = day - 1 THEN 0 ELSE 1 END AS fresh FROM seen WINDOW w AS (PARTITION BY employee_id, week ORDER BY day)),
-    stretch AS (SELECT employee_id, week, day, sum(fresh) OVER (PARTITION BY employee_id, week ORDER BY day) AS k FROM marked)
-    SELECT employee_id, week, 'overtime_day' AS kind, CAST(v AS BIGINT) AS value, date AS day FROM daily WHERE v > 480
+    stretch AS (SELECT employee_id, week, day, sum(fresh) OVER (PARTITION BY employee_id, week ORDER BY day) AS k FROM marked)"""
+_WARNINGS = """ SELECT employee_id, week, 'overtime_day' AS kind, CAST(v AS BIGINT) AS value, date AS day FROM daily WHERE v > 480
     UNION ALL SELECT employee_id, week, 'overtime_week', CAST(sum(v) AS BIGINT), week FROM daily JOIN employees USING (employee_id) GROUP BY employee_id, week, max_week_minutes HAVING sum(v) > max_week_minutes
-    UNION ALL SELECT employee_id, week, 'consecutive_days', count(*), min(day) FROM stretch GROUP BY employee_id, week, k HAVING count(*) > 6 AND max(day) >= week""", dates=("week", "day"))
+    UNION ALL SELECT employee_id, week, 'consecutive_days', count(*), min(day) FROM stretch GROUP BY employee_id, week, k HAVING count(*) > 6 AND max(day) >= week"""
+
+
+@query(f"{_WORKED}{_OWN}{_WARNED}{_WARNINGS}", dates=("week", "day"))
 def schedule_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     return rules.warnings(v.assignments, v.shifts, v.employees, _worked(v))
 
 
+@query(f"{_WORKED}{_OWN}{_WARNED}, said AS ({_WARNINGS}" + """)
+    SELECT s.employee_id, s.week, s.kind, s.value, s.day, e.name AS employee_name, e.name || ': ' || CASE kind WHEN 'overtime_day' THEN printf('%.1f', round_even(value / 60.0, 1)) || 'h on ' || CAST(day AS VARCHAR) || ' (over 8h/day)'
+           WHEN 'overtime_week' THEN printf('%.1f', round_even(value / 60.0, 1)) || 'h this week (over their ' || printf('%.0f', round_even(max_week_minutes / 60.0, 0)) || 'h cap)'
+           ELSE value || ' consecutive days (run starting ' || CAST(day AS VARCHAR) || ')' END AS message
+    FROM said s JOIN employees e USING (employee_id)""", dates=("week", "day"))
+def warning_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    return rules.warning_messages(rules.warnings(v.assignments, v.shifts, v.employees, _worked(v)), v.employees)
+
+
 @query(
     f"""{_RATED}{_CAN}{_WORKED}{_OWN}{_OPEN},
     slots AS (SELECT o.shift_id, o.level_id, s.week, s.date, s.start_min, s.end_min, l.rank FROM open o JOIN shifts s USING (shift_id) JOIN levels l USING (level_id)),
@@ -278,13 +291,17 @@ def schedule_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
              WHERE k = 0 OR EXISTS (SELECT 1 FROM own m WHERE m.employee_id = c.employee_id AND m.week = c.week AND m.date = c.date + CAST(k AS INTEGER))
              OR EXISTS (SELECT 1 FROM worked p WHERE p.employee_id = c.employee_id AND p.day = c.date + CAST(k AS INTEGER) AND p.day < c.week AND p.day >= c.week - 6)),
     steps AS (SELECT *, k - row_number() OVER (PARTITION BY employee_id, week, date ORDER BY k) AS g FROM near),
-    streak AS (SELECT s.employee_id, s.week, s.date, CAST(count(*) AS INTEGER) AS run_days FROM steps s JOIN (SELECT employee_id, week, date, g FROM steps WHERE k = 0) z USING (employee_id, week, date, g) GROUP BY ALL)
-    SELECT c.shift_id, c.level_id, c.employee_id, CAST(greatest(CASE WHEN c.own_level <> c.level_id THEN 0 ELSE -1 END,
-             CASE WHEN coalesce((SELECT sum(minutes) FROM own m WHERE m.employee_id = c.employee_id AND m.week = c.week), 0) + c.end_min - c.start_min > c.max_week_minutes
-                    OR coalesce((SELECT sum(minutes) FROM own m WHERE m.employee_id = c.employee_id AND m.date = c.date), 0) + c.end_min - c.start_min > 480 THEN 1 ELSE -1 END,
-             CASE WHEN run_days > 6 THEN 2 ELSE -1 END,
-             CASE WHEN NOT EXISTS (SELECT 1 FROM can x WHERE x.employee_id = c.employee_id AND x.shift_id = c.shift_id) THEN 3 ELSE -1 END) AS INTEGER) AS softness, run_days, r.plus_minus AS rating
-    FROM cand c JOIN streak USING (employee_id, week, date) LEFT JOIN rated r USING (employee_id)"""
+    streak AS (SELECT s.employee_id, s.week, s.date, CAST(count(*) AS INTEGER) AS run_days FROM steps s JOIN (SELECT employee_id, week, date, g FROM steps WHERE k = 0) z USING (employee_id, week, date, g) GROUP BY ALL),
+    flags AS (SELECT c.shift_id, c.level_id, c.employee_id, c.own_level, run_days, c.own_level <> c.level_id AS down,
+             coalesce((SELECT sum(minutes) FROM own m WHERE m.employee_id = c.employee_id AND m.week = c.week), 0) + c.end_min - c.start_min > c.max_week_minutes AS per_week,
+             coalesce((SELECT sum(minutes) FROM own m WHERE m.employee_id = c.employee_id AND m.date = c.date), 0) + c.end_min - c.start_min > 480 AS per_day,
+             NOT EXISTS (SELECT 1 FROM can x WHERE x.employee_id = c.employee_id AND x.shift_id = c.shift_id) AS away FROM cand c JOIN streak USING (employee_id, week, date))
+    SELECT f.shift_id, f.level_id, f.employee_id, 'Person ' || f.employee_id AS employee_name, l.level_name,
+           CAST(CASE WHEN away THEN 3 WHEN run_days > 6 THEN 2 WHEN per_week OR per_day THEN 1 WHEN down THEN 0 ELSE -1 END AS INTEGER) AS softness,
+           coalesce(nullif(concat_ws('; ', CASE WHEN down THEN 'Higher level covering down' END, CASE WHEN per_week THEN 'Would exceed their weekly hours cap (overtime)' END, CASE WHEN per_day THEN 'Would exceed 8h that day (overtime)' END,
+             CASE WHEN run_days > 6 THEN 'Would be consecutive day #' || run_days || ' (limit 6)' END, CASE WHEN away THEN 'Outside their submitted availability' END), ''), 'Eligible now (schedule changed since last solve)') AS reason,
+           run_days, r.plus_minus AS rating, coalesce(r.tickets, 0) AS tickets
+    FROM flags f JOIN levels l ON l.level_id = f.own_level LEFT JOIN rated r USING (employee_id)"""
 )
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
@@ -338,10 +355,16 @@ def insert_if_absent_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.union(sinks.absent(h.where("ticket_id % 3 > 0 OR ticket_id % 2 = 1"), base, ["row_hash"], [F.col("ticket_id")])).select("row_hash")
 
 
-@query(" SELECT employee_id, arg_max(session_id, clock_in) AS session_id FROM sessions GROUP BY employee_id")
+@query(
+    """, spans AS (SELECT employee_id, date_trunc('week', clock_in)::DATE AS period_start, count(*) * 6.0 AS hours FROM sessions GROUP BY ALL)
+    SELECT CASE WHEN week(max(period_start)) % 2 = 0 THEN 'PERSON ' ELSE 'Person ' END || employee_id AS employee_name, max(period_start) AS period_start, arg_max(hours, period_start)::DOUBLE AS hours FROM spans GROUP BY employee_id""", dates=("period_start",))
 def latest_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("employee_id").orderBy(F.desc("clock_in"))
-    return Views(spark, sf_dir).sessions.withColumn("n", F.row_number().over(w)).where("n = 1").select("employee_id", "session_id")
+    """Weekly hours under names that change their case from week to week."""
+    week = F.date_trunc("week", "clock_in").cast("date")
+    hours = Views(spark, sf_dir).sessions.groupBy("employee_id", week.alias("period_start")).agg((F.count(F.lit(1)) * 6.0).alias("hours"))
+    said = F.concat(F.when(F.weekofyear("period_start") % 2 == 0, "PERSON ").otherwise("Person "), F.col("employee_id").cast("string"))
+    rows = hours.select(said.alias("employee_name"), "period_start", F.date_add("period_start", 6).alias("period_end"), "hours")
+    return views.latest_hours(rows).select("employee_name", "period_start", "hours")
 
 
 @query(" SELECT p.name AS reported, e.employee_id FROM (SELECT DISTINCT CASE WHEN items % 2 = 0 THEN 'PERSON ' ELSE ' person ' END || (items % 30) AS name FROM tickets) p LEFT JOIN employees e ON lower(trim(p.name)) = lower(e.name)")
@@ -366,22 +389,23 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """, heads AS (SELECT e AS ord, CAST(e * 13 % 101 AS DOUBLE) AS x FROM people), marks AS (SELECT ticket_id, CAST(items % 103 AS DOUBLE) + 0.25 AS mx FROM tickets)
-    SELECT ticket_id, (SELECT ord FROM heads ORDER BY abs(x - mx), ord LIMIT 1) AS ord FROM marks"""
+    SELECT ticket_id, (SELECT ord FROM heads WHERE ord % 3 = ticket_id % 3 ORDER BY abs(x - mx), ord LIMIT 1) AS ord FROM marks"""
 )
 def nearest_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    heads = v.people.select(F.col("e").alias("ord"), (F.col("e") * 13 % 101).cast("double").alias("x"))
-    return html_tables.nearest(v.tickets.select("ticket_id", ((F.col("items") % 103).cast("double") + 0.25).alias("mx")), heads, "ticket_id", "mx", "x", "ord")
+    heads = v.people.select(F.col("e").alias("ord"), (F.col("e") * 13 % 101).cast("double").alias("x"), (F.col("e") % 3).alias("page"))
+    marks = v.tickets.select("ticket_id", ((F.col("items") % 103).cast("double") + 0.25).alias("mx"), (F.col("ticket_id") % 3).alias("page"))
+    return html_tables.nearest(marks, heads, "ticket_id", "mx", "x", "ord", "page")
 
 
 @query(
-    """, cells AS (SELECT ticket_id, '9:28 am - 5:48 pm' || chr(10) || CASE WHEN items % 5 = 0 THEN 'no show' WHEN items % 5 = 1 THEN 'TOTAL:  ' || items || ' hr' ELSE 'Total: ' || (items % 12) || ' hrs ' || (items % 60) || ' min' END AS cell, items FROM tickets)
+    """, cells AS (SELECT ticket_id, '7:10 am - 3:35 pm' || chr(10) || CASE WHEN items % 5 = 0 THEN 'no show' WHEN items % 5 = 1 THEN 'TOTAL:  ' || items || ' hr' ELSE 'Total: ' || (items % 12) || ' hrs ' || (items % 60) || ' min' END AS cell, items FROM tickets)
     SELECT ticket_id, CASE WHEN items % 5 = 0 THEN NULL WHEN items % 5 = 1 THEN CAST(items AS DOUBLE) ELSE round(items % 12 + (items % 60) / 60.0, 2) END AS hours FROM cells"""
 )
 def hours_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("items")
     tail = F.when(i % 5 == 0, F.lit("no show")).when(i % 5 == 1, F.concat(F.lit("TOTAL:  "), i.cast("string"), F.lit(" hr"))).otherwise(F.concat(F.lit("Total: "), (i % 12).cast("string"), F.lit(" hrs "), (i % 60).cast("string"), F.lit(" min")))
-    return Views(spark, sf_dir).tickets.select("ticket_id", text.hours_total(F.concat(F.lit("9:28 am - 5:48 pm\n"), tail)).alias("hours"))
+    return Views(spark, sf_dir).tickets.select("ticket_id", text.hours_total(F.concat(F.lit("7:10 am - 3:35 pm\n"), tail)).alias("hours"))
 
 
 @query(f"{_WORKED} SELECT CAST(max(n) AS BIGINT) AS most FROM (SELECT day, count(*) AS n FROM worked GROUP BY day)")
@@ -410,25 +434,54 @@ def assign_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(Views(spark, sf_dir))
 
 
-@query(" SELECT 'violations' AS what, CAST(0 AS BIGINT) AS n")
+@query(" SELECT 'violations' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'could be added', 0 UNION ALL SELECT 'not proved best', 0 UNION ALL SELECT 'wanted', CAST((SELECT sum(count) FROM requirements) AS BIGINT)")
 def assign_week_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaches of any limit by the assigned weeks: level, overlap, day and week minutes, requirement."""
+    """Breaches of any limit by the assigned weeks (level, availability, overlap and rest, minutes of day and week, days in a
+    row, requirement), candidates that could still be added (an empty plan has many), plans not proved best, and the slots
+    that picks, manual picks and open slots add up to."""
     v = Views(spark, sf_dir)
     got = _assigned(v)
     manual = v.assignments.where("manual")
     edges = rules.conflict_edges(v.shifts)
-    a, b = got.select("employee_id", F.col("shift_id").alias("a")), got.select("employee_id", F.col("shift_id").alias("b"))
-    overlap = a.join(edges, "a").join(b, ["employee_id", "b"]).select("employee_id")
-    stranger = got.join(_feasible(v), ["employee_id", "shift_id", "level_id"], "left_anti").select("employee_id")
+    either = edges.union(edges.select("b", "a"))
+    feasible = _feasible(v)
     every = got.select("employee_id", "shift_id", "level_id").union(manual.select("employee_id", "shift_id", "fills_level_id"))
-    timed = every.join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min")).join(v.employees.select("employee_id", "max_week_minutes"), "employee_id")
-    own = manual.join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min"))
-    fixed_week, fixed_day = own.groupBy("employee_id", "week").agg(F.sum("m").alias("f")), own.groupBy("employee_id", "date").agg(F.sum("m").alias("f"))
-    week = timed.groupBy("employee_id", "week").agg(F.sum("m").alias("m"), F.max("max_week_minutes").alias("cap")).join(fixed_week, ["employee_id", "week"], "left").where("m > greatest(cap, coalesce(f, 0))").select("employee_id")
-    day = timed.groupBy("employee_id", "date").agg(F.sum("m").alias("m")).join(fixed_day, ["employee_id", "date"], "left").where("m > greatest(480, coalesce(f, 0))").select("employee_id")
-    full = got.groupBy("shift_id", "level_id").agg(F.count(F.lit(1)).alias("n")).join(v.requirements, ["shift_id", "level_id"]).where("n > count").select(F.col("n").alias("employee_id"))
-    bad = overlap.union(stranger).union(week).union(day).union(full)
-    return bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("violations").alias("what"), "n")
+    timed = every.join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min"))
+    fixed = manual.join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min"))
+    per = lambda df, c, name: df.groupBy("employee_id", c).agg(F.sum("m").alias(name))
+    caps = v.employees.select("employee_id", "max_week_minutes")
+    past = rules.by_week(_worked_before(v), 6).select("employee_id", "week", "day")
+
+    a, b = got.select("employee_id", F.col("shift_id").alias("a")), got.select("employee_id", F.col("shift_id").alias("b"))
+    bad = [
+        a.join(edges, "a").join(b, ["employee_id", "b"]),
+        got.join(feasible, ["employee_id", "shift_id", "level_id"], "left_anti"),
+        per(timed, "week", "m").join(caps, "employee_id").join(per(fixed, "week", "f"), ["employee_id", "week"], "left").where("m > greatest(max_week_minutes, coalesce(f, 0))"),
+        per(timed, "date", "m").join(per(fixed, "date", "f"), ["employee_id", "date"], "left").where("m > greatest(480, coalesce(f, 0))"),
+        got.groupBy("shift_id", "level_id").agg(F.count(F.lit(1)).alias("employee_id")).join(v.requirements, ["shift_id", "level_id"]).where("employee_id > count"),
+    ]
+    # runs with a picked day, not one that history and manual picks make alone
+    days = timed.select("employee_id", "week", F.col("date").alias("day")).union(past)
+    runs = temporal.day_runs(days, ["employee_id", "week"], "day").where("run_days > 6")
+    picked = got.join(v.shifts.select("shift_id", "date"), "shift_id").join(fixed.select("employee_id", "date").distinct(), ["employee_id", "date"], "left_anti").select("employee_id", "week", "date")
+    bad.append(runs.join(picked, ["employee_id", "week"]).where("date BETWEEN run_start AND run_end"))
+    broken = reduce(DataFrame.union, [x.select(F.lit("violations").alias("what")) for x in bad])
+
+    # what could be added: a candidate for an open slot that clashes with nothing and stays within all limits
+    open_ = rules.unfilled(v.requirements, every.withColumnRenamed("level_id", "fills_level_id"))
+    more = feasible.join(open_.select("shift_id", "level_id"), ["shift_id", "level_id"]).join(every, ["employee_id", "shift_id"], "left_anti").join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min"))
+    busy = every.join(either, every["shift_id"] == either["a"]).select("employee_id", F.col("b").alias("shift_id"))
+    more = more.join(busy, ["employee_id", "shift_id"], "left_anti").join(caps, "employee_id")
+    more = more.join(per(timed, "week", "w"), ["employee_id", "week"], "left").join(per(timed, "date", "d"), ["employee_id", "date"], "left").where("m + coalesce(w, 0) <= max_week_minutes AND m + coalesce(d, 0) <= 480")
+    then = more.select("employee_id", "week", F.col("date").alias("asked"), F.col("date").alias("day")).union(days.join(more.select("employee_id", "week", F.col("date").alias("asked")), ["employee_id", "week"]).select("employee_id", "week", "asked", "day"))
+    long = temporal.day_runs(then, ["employee_id", "week", "asked"], "day").where("run_days > 6 AND asked BETWEEN run_start AND run_end").select("employee_id", "week", F.col("asked").alias("date"))
+    more = more.join(long, ["employee_id", "week", "date"], "left_anti").select(F.lit("could be added").alias("what"))
+
+    unsure = got.where("NOT is_optimal").select(F.lit("not proved best").alias("what"))
+    slots = every.select(F.lit("wanted").alias("what")).union(open_.select(F.explode(F.sequence(F.lit(1), "missing"))).select(F.lit("wanted")))
+    every_kind = spark.createDataFrame([(x,) for x in ("violations", "could be added", "not proved best", "wanted")], "what string")
+    counted = broken.union(more).union(unsure).union(slots).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    return every_kind.join(counted, "what", "left").select("what", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _planned(v: Views) -> DataFrame:
@@ -440,14 +493,20 @@ def plan_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planned(Views(spark, sf_dir))
 
 
-@query(" SELECT CAST(1 AS BIGINT) AS most, CAST(0 AS BIGINT) AS too_close")
+@query(f"{_ENTITLED}{_DUE_BREAKS} SELECT CAST(1 AS BIGINT) AS most, CAST(0 AS BIGINT) AS too_close, (SELECT count(*) FROM fits) AS breaks, CAST(0 AS BIGINT) AS alone, CAST(0 AS BIGINT) AS outside")
 def break_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of days planned together: most people on break in a minute, and gaps below 90 minutes."""
-    plan = _planned(Views(spark, sf_dir)).where("coupled")
+    """Of all planned breaks: most people on break in a minute, gaps below 90 minutes, how many there are, how many stand
+    alone because their day has no plan, and how many are too near to an edge of their shift or, meals, too late."""
+    v = Views(spark, sf_dir)
+    plan = _planned(v)
     busy = plan.select("date", F.explode(F.sequence("start_min", F.col("end_min") - 1)).alias("m")).groupBy("date", "m").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
     gap = F.col("start_min") - F.lag("end_min").over(Window.partitionBy("date", "entry_id").orderBy("start_min"))
-    close = plan.select(gap.alias("gap")).agg(F.count_if(F.col("gap") < 90).alias("too_close"))
-    return busy.crossJoin(close)
+    shift = v.roster.select("entry_id", F.col("start_min").alias("from"), F.col("end_min").alias("until"))
+    outside = (F.col("start_min") < F.col("from") + 45) | (F.col("end_min") > F.col("until") - 45) | ((F.col("kind") == "meal") & (F.col("start_min") > F.col("from") + 300))
+    rest = plan.join(shift, "entry_id").select("*", gap.alias("gap"), outside.alias("outside")).agg(
+        F.count_if(F.col("gap") < 90).alias("too_close"), F.count(F.lit(1)).alias("breaks"), F.count_if(F.col("status").isin("infeasible", "not found")).alias("alone"), F.count_if("outside").alias("outside")
+    )
+    return busy.crossJoin(rest)  # one row each
 
 
 @query(
@@ -477,13 +536,15 @@ def schedule_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_EDGES.replace("480", "0")}{_OWN},
-    asked AS (SELECT e.employee_id, s.shift_id, e.level_id FROM employees e, shifts s WHERE (e.employee_id + s.shift_id) % 9 = 0)
+    asked AS (SELECT DISTINCT e.employee_id, s.shift_id, e.level_id FROM own o JOIN shifts s ON s.week = o.week JOIN employees e ON e.employee_id = o.employee_id)
     SELECT k.employee_id, k.shift_id, k.level_id, CASE WHEN NOT EXISTS (SELECT 1 FROM requirements r WHERE r.shift_id = k.shift_id AND r.level_id = k.level_id) THEN 'no such requirement'
              WHEN EXISTS (SELECT 1 FROM assignments a WHERE a.shift_id = k.shift_id AND a.employee_id = k.employee_id) THEN 'already on the shift'
              WHEN EXISTS (SELECT 1 FROM own m JOIN edges x ON (x.a = m.shift_id AND x.b = k.shift_id) OR (x.b = m.shift_id AND x.a = k.shift_id) WHERE m.employee_id = k.employee_id) THEN 'overlaps another shift' END AS problem
     FROM asked k"""
 )
 def manual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everybody who works in a week against every shift of that week."""
     v = Views(spark, sf_dir)
-    asked = v.employees.select("employee_id", "level_id").crossJoin(v.shifts.select("shift_id")).where("(employee_id + shift_id) % 9 = 0")
+    busy = v.assignments.join(v.shifts.select("shift_id", "week"), "shift_id").select("employee_id", "week").distinct()
+    asked = busy.join(v.shifts.select("shift_id", "week"), "week").join(v.employees.select("employee_id", "level_id"), "employee_id").select("employee_id", "shift_id", "level_id")
     return views.manual_check(asked, v.requirements, v.assignments, v.shifts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +20,15 @@ class Source:
     order: list[Column]  # latest first
 
 
+def load_config(path: str) -> dict:
+    """The scrape configuration: a JSON object of page addresses and wanted columns, read on the driver."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    if not isinstance(config, dict):
+        raise ValueError(f"{path}: no JSON object")
+    return config
+
+
 def refreshed(spark: SparkSession, tables: dict[str, DataFrame], sources: list[Source], at: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables after the refresh, and a status row: attempted at, ok, rows by source, errors joined by semicolons.
 

@@ -2,114 +2,148 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hours_total, normal, title_case
+from ..functions.text import hours_total, title_case
 
 
 class _Tables(HTMLParser):
-    """Rows of cell texts by table, in page order; a list counts as a table of one column."""
+    """Rows of cells by table, in page order; a cell is the list of its stripped text nodes.  A nested table's rows are its own."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[list[list[str]]] = []
-        self.open: list[list[list[str]]] = []
-        self.cell: list[str] | None = None
+        self.tables: list[list[list[list[str]]]] = []
+        self.open: list[list[list[list[str]]]] = []
+        self.cells: list[list[str] | None] = []  # the open cell of each open table
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("table", "ul", "ol"):
+        if tag == "table":
             self.open.append([])
             self.tables.append(self.open[-1])
-        elif tag in ("tr", "li") and self.open:
+            self.cells.append(None)
+        elif tag == "tr" and self.open:
             self.open[-1].append([])
-            self.cell = [] if tag == "li" else None
-        if tag in ("td", "th") and self.open:
-            self.cell = []
-        elif tag == "br" and self.cell is not None:
-            self.cell.append("\n")
+            self.cells[-1] = None
+        elif tag in ("td", "th") and self.open:
+            if not self.open[-1]:
+                self.open[-1].append([])
+            self.cells[-1] = []
+            self.open[-1][-1].append(self.cells[-1])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "li") and self.cell is not None and self.open and self.open[-1]:
-            self.open[-1][-1].append("".join(self.cell).strip())
-            self.cell = None
-        elif tag in ("table", "ul", "ol") and self.open:
+        if tag in ("td", "th", "tr") and self.open:
+            self.cells[-1] = None
+        elif tag == "table" and self.open:
             self.open.pop()
+            self.cells.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.cells and self.cells[-1] is not None and data.strip():
+            self.cells[-1].append(data.strip())
 
 
 def tables_of(html: str | None) -> list[list[list[str]]]:
+    """Each table's rows of cell texts, text nodes apart by line feeds; tables without a row are left out."""
     p = _Tables()
     p.feed(html or "")
     p.close()
-    return [[r for r in t if r] for t in p.tables if any(t)]
+    return [[["\n".join(c) for c in r] for r in t] for t in p.tables if t]
+
+
+def _flat(text: str) -> str:
+    return " ".join(text.lower().split())
 
 
 def chosen(tables: list[list[list[str]]], keywords: dict[str, list[str]]) -> tuple[int, dict[str, int]]:
-    """The table whose header has most of the wanted columns (the first of equals) and their places; -1 if there is none."""
+    """The table whose header has most of the wanted columns (the first of equals) and their places; -1 if none has any."""
     best: tuple[int, dict[str, int]] = (-1, {})
     for k, rows in enumerate(tables):
-        head = [" ".join(c.lower().split()) for c in rows[0]]
+        head = [_flat(c) for c in rows[0]]
         found = {}
-        for field, words in keywords.items():
+        for name, words in keywords.items():
             at = next((i for w in words for i, c in enumerate(head) if w in c), None)
             if at is not None:
-                found[field] = at
-        if best[0] < 0 or len(found) > len(best[1]):
+                found[name] = at
+        if len(found) > len(best[1]):
             best = (k, found)
     return best
 
 
-def best_tables(pages: DataFrame, id_col: str, html_col: str, keywords: dict[str, list[str]]) -> DataFrame:
-    """id, n_tables, n_rows (below the header) and missing (fields without a column, comma-joined) of each page's best table."""
+def records(tables: list[list[list[str]]], keywords: dict[str, list[str]], names: tuple[str, ...]) -> list[dict[str, str]]:
+    """The rows of the best table by field, in lower case and with single blanks; of fields in ``names`` the first line only.
+
+    Cells that a row lacks are empty; rows without any text are left out.
+    """
+    k, found = chosen(tables, keywords)
+    out = []
+    for r in tables[k][1:] if k >= 0 else []:
+        cell = {f: r[i] if i < len(r) else "" for f, i in found.items()}
+        row = {f: _flat(x.split("\n")[0] if f in names else x) for f, x in cell.items()}
+        if r and any(row.values()):
+            out.append(row)
+    return out
+
+
+def _per_page(pages: DataFrame, id_col: str, html_col: str, rows_of: Callable[[object, str | None], list[tuple]], columns: str) -> DataFrame:
+    """Each page's rows, made in the tasks that read it."""
+    own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for key, html in zip(pdf["id"], pdf["html"], strict=True):
-                tables = tables_of(html)
-                k, found = chosen(tables, keywords)
-                out.append((key, len(tables), len(tables[k]) - 1 if k >= 0 else 0, ",".join(f for f in keywords if f not in found)))
-            yield pd.DataFrame(out, columns=["id", "n_tables", "n_rows", "missing"])
+            yield pd.DataFrame([(key, *r) for key, html in zip(pdf["id"], pdf["html"], strict=True) for r in rows_of(key, html)], columns=names)
+
+    return own.mapInPandas(run, f"id {dict(own.dtypes)['id']}, {columns}").withColumnRenamed("id", id_col)
+
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n_tables int, n_rows int, missing string").withColumnRenamed("id", id_col)
+def best_tables(pages: DataFrame, id_col: str, html_col: str, keywords: dict[str, list[str]], names: tuple[str, ...] = ("name", "covered_by", "released_by")) -> DataFrame:
+    """id, n_tables, n_rows (with text, below the header) and missing (fields without a column, comma-joined) of each page's best table."""
+
+    def rows_of(key: object, html: str | None) -> list[tuple]:
+        tables = tables_of(html)
+        _, found = chosen(tables, keywords)
+        return [(len(tables), len(records(tables, keywords, names)), ",".join(f for f in keywords if f not in found))]
+
+    return _per_page(pages, id_col, html_col, rows_of, "n_tables int, n_rows int, missing string")
+
+
+def table_rows(pages: DataFrame, id_col: str, html_col: str, keywords: dict[str, list[str]], names: tuple[str, ...] = ("name", "covered_by", "released_by")) -> DataFrame:
+    """id, row_no and a column for each field: the rows of each page's best table; null where it has no such column."""
+    fields = list(keywords)
+
+    def rows_of(key: object, html: str | None) -> list[tuple]:
+        return [(n, *(r.get(f) for f in fields)) for n, r in enumerate(records(tables_of(html), keywords, names))]
+
+    return _per_page(pages, id_col, html_col, rows_of, ", ".join(["row_no int", *(f"{f} string" for f in fields)]))
 
 
 def hours_rows(pages: DataFrame, id_col: str, html_col: str, name: list[str], worked: list[str]) -> DataFrame:
     """id, name, hours of each page's hours table; cells without a total (no-shows) have no row; a page without the columns is an error."""
+    wanted = {"name": name, "worked": worked}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out = []
-            for key, html in zip(pdf["id"], pdf["html"], strict=True):
-                tables = tables_of(html)
-                k, found = chosen(tables, {"name": name, "worked": worked})
-                if len(found) < 2:
-                    raise ValueError(f"page {key}: no table with a name and a worked column")
-                out += [(key, r[found["name"]].split("\n")[0].strip(), r[found["worked"]]) for r in tables[k][1:] if len(r) > max(found.values())]
-            yield pd.DataFrame(out, columns=["id", "name", "cell"])
+    def rows_of(key: object, html: str | None) -> list[tuple]:
+        tables = tables_of(html)
+        if len(chosen(tables, wanted)[1]) < 2:
+            raise ValueError(f"page {key}: no table with a name and a worked column")
+        return [(r["name"], r["worked"]) for r in records(tables, wanted, ("name",))]
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    cells = rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, name string, cell string")
-    return cells.select(F.col("id").alias(id_col), title_case(normal(F.col("name"))).alias("name"), hours_total(F.col("cell")).alias("hours")).where("hours IS NOT NULL")
+    cells = _per_page(pages, id_col, html_col, rows_of, "name string, cell string")
+    return cells.select(id_col, title_case(F.col("name")).alias("name"), hours_total(F.col("cell")).alias("hours")).where("hours IS NOT NULL AND name <> ''")
 
 
-def nearest(marks: DataFrame, heads: DataFrame, id_col: str, at: str, place: str, order: str) -> DataFrame:
-    """Each mark with the ``order`` of the head nearest by place, the first of equals.
+def nearest(marks: DataFrame, heads: DataFrame, id_col: str, at: str, place: str, order: str, page: str) -> DataFrame:
+    """Each mark with the ``order`` of the head of its page nearest by place, the first of equals; marks of a page without heads are left out.
 
-    Heads are the handful of headers of one page: they are folded into one array row, not joined pair by pair.
+    The handful of headers of a page are folded into one array, which meets the page's marks in an equi-join.
     """
-    all_ = heads.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(place).alias("p")))).alias("heads__"))
+    own = heads.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(place).alias("p")))).alias("heads__"))
     best = F.array_min(F.transform("heads__", lambda h: F.struct(F.abs(h["p"] - F.col(at)).alias("d"), h["o"].alias("o"))))
-    return marks.crossJoin(F.broadcast(all_)).select(id_col, best["o"].alias(order))
+    return marks.join(own, page).select(id_col, best["o"].alias(order))
 
 
 def pickups(texts: DataFrame, names: DataFrame, marker: list[str], week_start: str) -> DataFrame:

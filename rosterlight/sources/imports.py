@@ -10,7 +10,7 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +28,12 @@ def _required(df: DataFrame, columns: tuple[str, ...]) -> None:
         raise ValueError("missing columns: " + ", ".join(missing))
 
 
-def tickets(spark: SparkSession, path: str) -> DataFrame:
-    """The ticket export as typed rows, one per distinct content; rows without a creation time or duration are left out."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def tickets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The ticket export as typed rows, one per distinct content; rows without a creation time or duration are left out.
+
+    With ``multi_line`` cells may hold line feeds, and a file is read by one task; exports without such cells can be split.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     _required(raw, TICKET_COLUMNS)
     get = lambda c: blank_to_null(F.col(f"`{c}`")) if c in raw.columns else F.lit(None).cast("string")
     when = lambda c: F.to_timestamp_ntz(get(c), F.lit("M/d/yyyy H:mm"))
@@ -47,27 +50,37 @@ def row_hash_of(columns: list[str]) -> Column:
     return row_hash([f"`{c}`" for c in columns])
 
 
-def numbered_rows(spark: SparkSession, path: str, header: bool) -> DataFrame:
-    """file, line_no, cells (and with a header, as the first line's names): CSV records in file order."""
+def numbered_rows(spark: SparkSession, path: str | list[str], header: bool) -> DataFrame:
+    """file, line_no, cells: CSV records in file order.  With a header cells is a map by the column names of the record's own file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    kind = pa.map_(pa.string(), pa.string()) if header else pa.list_(pa.string())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline="")))
-                yield pd.DataFrame({"file": name, "line_no": range(len(rows)), "cells": rows}, columns=["file", "line_no", "cells"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")))
+                if header:
+                    names = [c.strip() for c in rows[0]] if rows else []
+                    rows = [list(dict(zip(names, r, strict=False)).items()) for r in rows]
+                for i in range(0, len(rows), 10_000):
+                    some = rows[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(range(i, i + len(some)), pa.int64()), pa.array(some, kind)], ["file", "line_no", "cells"])
 
-    return files.mapInPandas(run, "file string, line_no long, cells array<string>")
+    return files.mapInArrow(run, f"file string, line_no long, cells {'map<string,string>' if header else 'array<string>'}")
 
 
 def timesheet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """sessions, breaks and no_shows of a block-structured timesheet export (22 columns by place).
+    """sessions, breaks, no_shows, people and rows of a block-structured timesheet export (22 columns by place).
 
-    A named row with both times opens a session and owns the break rows below it; a no-show or repeated session owns
+    people are the names with a role; rows counts the session rows, repeated ones too.  A file without a header row is an
+    error.  A named row with both times opens a session and owns the break rows below it; a no-show or repeated session owns
     none.  Rows of totals and titles do not end a block.  Break times are stamped with the clock-in day.
     """
     cell = lambda k: F.coalesce(F.trim(F.get("cells", F.lit(k))), F.lit(""))
-    rows = numbered_rows(spark, path, False).where(F.size("cells") > 19).withColumn("name", cell(0))
+    every = numbered_rows(spark, path, False).withColumn("name", cell(0))
+    if bad := every.groupBy("file").agg(F.max((F.col("name") == "Name").cast("int")).alias("ok")).where("ok = 0").take(1):
+        raise ValueError(f"not a timesheet export, no header row: {bad[0].file}")
+    rows = every.where(F.size("cells") > 19)
     for p in SKIPPED_PREFIXES:
         rows = rows.where(~F.col("name").startswith(p))
     stamp = lambda day, time: F.to_timestamp_ntz(F.nullif(F.concat_ws(" ", day, F.upper(time)), F.lit(" ")), F.lit("MMMM d yyyy h:mma"))
@@ -87,27 +100,29 @@ def timesheet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     breaks = parts.join(sessions.select("file", "session_line", "name", "clock_in", "day"), ["file", "session_line"])
     breaks = breaks.select("name", "clock_in", stamp(F.col("day"), F.col("b1")).alias("break_start"), stamp(F.col("day"), F.col("b2")).alias("break_end"), (~F.col("break_type").contains("Unpaid")).alias("paid"))
     gone = rows.where("name <> '' AND clock_in IS NULL AND reason <> ''").select("name", F.to_date("day", "MMMM d yyyy").alias("date"), "reason").distinct()
-    return {"sessions": sessions.drop("session_line", "day", "file"), "breaks": breaks, "no_shows": gone}
+    people = rows.where("name <> '' AND role <> ''").groupBy("name").agg(F.max(F.nullif("payroll_id", F.lit(""))).alias("payroll_id"))
+    counted = shifts.agg(F.count(F.lit(1)).alias("session_rows"))
+    return {"sessions": sessions.drop("session_line", "day", "file"), "breaks": breaks, "no_shows": gone, "people": people, "rows": counted}
 
 
-def team(spark: SparkSession, path: str) -> DataFrame:
-    """name, location, payroll_id, role of each named row of a team export; unnamed rows below it fill its blanks.
+def team(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """name, location, payroll_id, role of each named row of a team export; unnamed rows below it fill its payroll id.
 
-    The first location and the first role win; further locations are counted in ``more_locations``.
+    Columns are looked up by the header of each file.  Location and role are those of the named row; ``more_rows`` counts
+    the rows below it, whose locations are listed in ``other_locations`` but not applied.
     """
     rows = numbered_rows(spark, path, True)
-    heads = rows.where("line_no = 0").select("cells").limit(1).collect()
-    names = [c.strip() for c in heads[0]["cells"]] if heads else []
-    missing = [c for c in TEAM_COLUMNS if c not in names]
-    if missing:
-        raise ValueError("missing columns: " + ", ".join(missing))
-    cell = lambda c: F.coalesce(F.trim(F.get("cells", F.lit(names.index(c)))), F.lit("")) if c in names else F.lit("")
-    body = rows.where("line_no > 0").select("file", "line_no", F.trim(F.concat_ws(" ", cell("First Name"), cell("Last Name"))).alias("name"), cell("Location").alias("location"), cell("Payroll ID").alias("payroll_id"), cell("Role Name").alias("role"))
+    lacking = F.array_except(F.array(*map(F.lit, TEAM_COLUMNS)), F.map_keys("cells"))
+    if bad := rows.where("line_no = 0").select("file", lacking.alias("m")).where(F.size("m") > 0).take(1):
+        raise ValueError(f"missing columns in {bad[0].file}: " + ", ".join(bad[0].m))
+    cell = lambda c: F.coalesce(F.trim(F.try_element_at("cells", F.lit(c))), F.lit(""))
+    body = rows.where("line_no > 0").select("file", "line_no", (cell("First Name") != "").alias("named"), F.trim(F.concat_ws(" ", cell("First Name"), cell("Last Name"))).alias("name"), cell("Location").alias("location"), cell("Payroll ID").alias("payroll_id"), cell("Role Name").alias("role"))
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    owned = body.withColumn("owner", F.last(F.when(F.col("name") != "", F.col("line_no")), ignorenulls=True).over(order)).where("owner IS NOT NULL")
-    first = lambda c: F.min(F.when(F.col(c) != "", F.struct("line_no", c)))[c]
-    locations = F.count_distinct(F.nullif("location", F.lit("")))
-    return owned.groupBy("file", "owner").agg(first("name").alias("name"), first("location").alias("location"), first("payroll_id").alias("payroll_id"), first("role").alias("role"), F.greatest(locations - 1, F.lit(0)).cast("int").alias("more_locations")).drop("file", "owner")
+    owned = body.withColumn("owner", F.last(F.when(F.col("named"), F.col("line_no")), ignorenulls=True).over(order)).where("owner IS NOT NULL")
+    head = lambda c: F.max(F.when(F.col("line_no") == F.col("owner"), F.nullif(F.col(c), F.lit("")))).alias(c)
+    pay = F.min(F.when(F.col("payroll_id") != "", F.struct("line_no", "payroll_id")))["payroll_id"]
+    more = F.collect_set(F.when(F.col("line_no") > F.col("owner"), F.nullif(F.col("location"), F.lit(""))))
+    return owned.groupBy("file", "owner").agg(head("name"), head("location"), pay.alias("payroll_id"), head("role"), F.count_if(F.col("line_no") > F.col("owner")).cast("int").alias("more_rows"), F.sort_array(more).alias("other_locations")).drop("file", "owner")
 
 
 def roster_json(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.temporal import small, with_until
+from ..sources.sinks import current, first_by, upserted, written
 
 
 def hourly_adherence(tickets: DataFrame, sla: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -24,3 +26,21 @@ def hourly_adherence(tickets: DataFrame, sla: DataFrame, late: str = "2 hours")
 def once_each(tickets: DataFrame, late: str = "1 day") -> DataFrame:
     """A stream without repeats of a row_hash within the watermark: the effect of insert-if-absent."""
     return tickets.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["row_hash"])
+
+
+def upserted_batches(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str) -> DataStreamWriter:
+    """A writer that upserts each micro-batch of ``stream`` into the table at ``table``: one row per key, the first in ``order``.
+
+    A batch that is run again after a failure changes nothing: its rows lose or tie against themselves.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        old = current(batch.sparkSession, table)
+        written(upserted(old, batch, keys, order) if old is not None else first_by(batch, keys, order), table)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def status_row(progress: list[dict], at: str, error: str | None = None) -> dict[str, object]:
+    """What a sync's status row says of a streaming query's progress reports: when, whether it went well, rows read, last batch."""
+    return {"attempted_at": at, "ok": error is None, "error": error or "", "rows": sum(p.get("numInputRows", 0) for p in progress), "last_batch": max((p["batchId"] for p in progress), default=-1)}
