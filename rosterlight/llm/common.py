@@ -74,6 +74,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def making_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its own columns of these names renamed, so that they can be added."""
+    for name in names:
+        for own in [c for c in df.columns if c.lower() == name.lower()]:
+            df = df.withColumnRenamed(own, free_name(df, own + "_"))
+    return df
+
+
 def apart(key: Column) -> Column:
     """Always 0, to group by beside ``key``: what is grouped by both is dealt anew in a join on ``key`` alone, and only a side
     that is dealt anew lets adaptive execution split the other side's hot keys."""

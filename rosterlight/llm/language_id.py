@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import making_room
 from .kernels import mix, slices, text_buffers
 
 DIMS = 4096
 ORDERS = (2, 3)
 UNKNOWN = "und"
-MOST_LANGUAGES = 500
+MOST_CENTROIDS = 2000
 BANDS = 14  # of lengths: powers of two of the count of n-grams
 LOW, SHARE, LEAST_PIECES = 0.02, 0.7, 30
 
@@ -146,21 +147,24 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 def fit(rows: DataFrame, per_language: int = 600, clusters: int = 4) -> Model:
     """Learns from ``rows`` (id, text, lang); rows with a null lang or a text without a letter are passed over.
 
-    Counts cover all rows.  The centroids of a language come from about ``per_language`` of its rows (the bound of the
-    sample: a hash of id and text decides, at a rate of per_language over the language's count).
+    Counts cover all rows.  The centroids of a language come from about ``per_language`` of its distinct rows, those with
+    the smallest hashes of id and text (the bound of the sample).  Repeated rows count once, so a language with fewer
+    distinct rows than that has them all, and none can be left without a sample.  The model holds ``clusters`` centroids a
+    language, fewer where there are more than ``MOST_CENTROIDS`` in all, but one at least: 16 KB a centroid.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    draw = F.xxhash64("id", "text")
+    # one row a language: the labels of a corpus, not its documents
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(draw, 0.02).alias("n")).collect()}
     if not sizes:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, BANDS)))
     n, df = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     names = sorted(sizes)
-    rate = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / sizes[k]))])[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.ceil(rate * (1 << 20)))
-    sample = sample.dropDuplicates(["id", "text"]).select("lang", "text")  # repeated rows share a hash
+    clusters = max(1, min(clusters, MOST_CENTROIDS // len(names)))
+    rates = rows.sparkSession.createDataFrame([(k, float(min(1.0, per_language / max(1, sizes[k])))) for k in names], "lang string, rate double")
+    unit = (draw.cast("double") / 2.0**64) + 0.5
+    sample = rows.join(F.broadcast(rates), "lang").where(unit <= F.col("rate")).dropDuplicates(["id", "text", "lang"]).select("lang", "text")
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("text")
@@ -182,8 +186,10 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
 
     A null text and one without a letter are ``und`` with score 0 and rejected, as is every text if nothing was learned.
     Else lang_pred is the nearest language even where ``rejected`` is true.  Ties go to the language that sorts first.
+    A column of ``docs`` that has one of these names comes out with an underscore behind it.
     """
     place = [c.lower() for c in docs.columns].index(text_col.lower())
+    docs = making_room(docs, lang, score, rejected)
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes) + f", `{lang}` string, `{score}` double, `{rejected}` boolean"
     names = [*docs.columns, lang, score, rejected]
 
@@ -219,6 +225,6 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
 
 
 def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with predictions of a model learned from the rows where ``learn`` holds; lang and id are no inputs of a prediction."""
+    """``docs`` with the columns of ``predicted``, by a model learned from the rows where ``learn`` holds; lang and id are no inputs of a prediction."""
     model = fit(docs.where(learn).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")))
     return predicted(docs, model, text_col)

@@ -53,3 +53,56 @@ def test_a_language_left_out_is_rejected_more_than_learned_ones(spark):
     learned = language_id.fit(docs.where("doc_id % 3 <> 0 AND lang <> 'de'").withColumnRenamed("doc_id", "id"))
     r = {r.out: r.gone for r in language_id.predicted(docs.where("doc_id % 3 = 0"), learned).groupBy((F.col("lang") == "de").alias("out")).agg(F.avg(F.col("rejected").cast("int")).alias("gone")).collect()}
     assert r[False] < 0.01 and r[True] > 0.8, r
+
+
+def test_predictions_match_brute_force(spark):
+    """Vectors, cosines, nearest centroid and rejection, by a plain loop over each text's n-grams."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from rosterlight.llm.kernels import mix
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    learned = language_id.fit(docs.where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "id"))
+    odd = spark.createDataFrame([(-1, "the " * 40_000, None), (-2, "É", None), (-3, "a", None), (-4, "12 ab 34", None)], "doc_id long, text string, lang string")
+    rows = docs.where("doc_id % 3 = 0").limit(150).union(odd).collect()
+    got = {r.doc_id: r for r in language_id.predicted(spark.createDataFrame(rows, docs.schema), learned).collect()}
+    for r in rows:
+        raw = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in (r.text or "").encode())
+        code = b" " + raw + b" "
+        while b"  " in code:
+            code = code.replace(b"  ", b" ")
+        grams = Counter(code[i : i + k] for k in language_id.ORDERS for i in range(len(code) - k + 1))
+        slots = Counter()
+        for g, n in grams.items():
+            slots[int(mix(np.array([int.from_bytes(bytes([len(g)]) + g, "big")], np.uint64))[0]) >> 52] += n
+        v = {s: math.log1p(n) * float(learned.idf[s]) for s, n in slots.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        cosines = [sum(x / length * float(c[s]) for s, x in v.items()) for c in learned.centroids]
+        best = max(range(len(cosines)), key=lambda j: (cosines[j], -j))
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].rejected) == ("und", True)
+            continue
+        assert got[r.doc_id].lang_pred == learned.languages[learned.owner[best]]
+        assert abs(got[r.doc_id].score - min(1, max(0, cosines[best]))) < 1e-4
+        band = min(int(math.log2(max(1, sum(slots.values())))), language_id.BANDS - 1)
+        limit = float(learned.least[best, band])
+        assert abs(cosines[best] - limit) < 1e-4 or got[r.doc_id].rejected == (cosines[best] < limit)
+
+
+def test_a_language_of_copies_keeps_its_centroid_and_many_labels_are_learned(spark):
+    en = spark.range(600).select("id", F.concat(F.lit("the cat and the dog number "), F.col("id"), F.lit(" went home")).alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(5000).select(F.lit(7).cast("long").alias("id"), F.lit("und die Katze geht heim").alias("text"), F.lit("xx").alias("lang"))
+    learned = language_id.fit(en.union(copies))
+    assert {learned.languages[k] for k in learned.owner} == {"en", "xx"}
+    many = spark.range(1400).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"), F.concat(F.lit("l"), F.col("id") % 700).alias("lang"))
+    learned = language_id.fit(many)
+    assert len(set(learned.owner)) == 700 and len(learned.owner) <= language_id.MOST_CENTROIDS
+
+
+def test_ties_go_to_the_first_language_and_own_columns_keep_their_values(spark):
+    df = spark.createDataFrame([(i, "same words in both tongues here", x, 5.0) for i, x in enumerate(["zz", "aa"] * 5)], "doc_id long, text string, lang string, score double")
+    got = language_id.identified(df, F.lit(True)).collect()
+    assert {r.lang_pred for r in got} == {"aa"} and all(r["score_"] == 5.0 and r["score"] > 0.99 for r in got)
