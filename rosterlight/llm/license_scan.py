@@ -52,8 +52,41 @@ TEMPLATES = (
         " either version 3 of the license or <<beginOptional>>at your option<<endOptional>> any later version",
     ),
     ("gpl-2", "licensed under the gnu general public license <<beginOptional>>version<<endOptional>> <<alt>>2<<or>>v2<<endAlt>> <<beginOptional>>or <<alt>>later<<or>>any later version<<endAlt>><<endOptional>>"),
-    ("cc-by-nc", "licensed under <<beginOptional>>a<<endOptional>> <<alt>>cc by nc<<or>>creative commons attribution noncommercial<<or>>creative commons attribution non commercial<<endAlt>> <<beginOptional>><<alt>>4<<or>>3<<or>>2<<endAlt>> <<alt>>0<<or>>5<<endAlt>><<endOptional>>"),
-    ("cc-by", "licensed under <<beginOptional>>a<<endOptional>> <<alt>>cc by<<or>>creative commons attribution<<endAlt>> <<alt>>4<<or>>3<<or>>2<<endAlt>> <<alt>>0<<or>>5<<endAlt>>"),
+    (
+        "gpl-2",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license <<alt>>version 2 as published by the free software foundation"
+        "<<or>>as published by the free software foundation <<alt>>version 2 of the license<<or>>either version 2 of the license or <<beginOptional>>at your option<<endOptional>> any later version<<endAlt>><<endAlt>>",
+    ),
+    (
+        "lgpl",
+        "is free software you can redistribute it and or modify it under the terms of the gnu <<alt>>lesser<<or>>library<<endAlt>> general public license as published by the free software foundation"
+        " either version <<alt>>2<<or>>2 1<<or>>3<<endAlt>> of the license or <<beginOptional>>at your option<<endOptional>> any later version",
+    ),
+    ("lgpl", "licensed under the gnu <<alt>>lesser<<or>>library<<endAlt>> general public license <<beginOptional>><<beginOptional>>version<<endOptional>> <<alt>>2<<or>>2 1<<or>>v2 1<<or>>3<<or>>v3<<endAlt>><<endOptional>>"),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license <<alt>>v<<or>>version<<endAlt>> 2 0 if a copy of the mpl was not distributed with this file"
+        " you can obtain one at <<var;words=3-8>>",
+    ),
+    ("mpl-2", "licensed under the mozilla public license <<beginOptional>>version<<endOptional>> <<alt>>2<<or>>v2<<endAlt>> <<beginOptional>>0<<endOptional>>"),
+    (
+        "cc-by-sa",
+        "licensed under <<beginOptional>><<alt>>a<<or>>the<<endAlt>><<endOptional>> <<alt>>cc by sa<<or>>creative commons attribution sharealike<<or>>creative commons attribution share alike<<endAlt>>"
+        " <<beginOptional>><<alt>>4<<or>>3<<or>>2<<endAlt>> <<alt>>0<<or>>5<<endAlt>> <<beginOptional>><<alt>>international<<or>>unported<<endAlt>><<endOptional>><<endOptional>>",
+    ),
+    (
+        "cc-by-nc",
+        "licensed under <<beginOptional>><<alt>>a<<or>>the<<endAlt>><<endOptional>> <<alt>>cc by nc<<or>>creative commons attribution noncommercial<<or>>creative commons attribution non commercial<<endAlt>>"
+        " <<beginOptional>><<alt>>4<<or>>3<<or>>2<<endAlt>> <<alt>>0<<or>>5<<endAlt>><<endOptional>>",
+    ),
+    (
+        "cc-by",
+        "licensed under <<beginOptional>><<alt>>a<<or>>the<<endAlt>><<endOptional>> <<alt>>cc by<<or>>creative commons attribution<<endAlt>> <<alt>>4<<or>>3<<or>>2<<endAlt>> <<alt>>0<<or>>5<<endAlt>>"
+        " <<beginOptional>><<alt>>international<<or>>unported<<endAlt>><<endOptional>>",
+    ),
+    ("cc0", "<<alt>>licensed<<or>>released<<endAlt>> under <<beginOptional>>the<<endOptional>> <<alt>>cc0<<or>>creative commons zero<<endAlt>> <<beginOptional>>1 0 <<beginOptional>>universal<<endOptional>><<endOptional>>"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("bsd", "<<alt>>licensed<<or>>released<<endAlt>> under the <<beginOptional>><<alt>>2<<or>>3<<or>>simplified<<or>>new<<or>>modified<<endAlt>> <<beginOptional>>clause<<endOptional>><<endOptional>> bsd <<beginOptional>><<alt>>2<<or>>3<<endAlt>> clause<<endOptional>> license"),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"

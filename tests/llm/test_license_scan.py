@@ -54,3 +54,29 @@ def test_malformed_templates_are_errors():
     for bad in ("<<beginOptional>> a", "a <<endAlt>>", "<<beginOptional>>a<<endOptional>>", "<<var;words=1-2>> a", "a <<huh>>"):
         with pytest.raises((ValueError, IndexError)):
             ls.compiled("x", bad)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2"),
+        ("It is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "gpl-2"),
+        ("It is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.", "lgpl"),
+        ("Licensed under the GNU Lesser General Public License v3.", "lgpl"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2"),
+        ("Text is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("licensed under the Creative Commons Attribution-NonCommercial 4.0 licence", "cc-by-nc"),
+        ("Released under CC0 1.0 Universal", "cc0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("Licensed under the 3-Clause BSD License", "bsd"),
+        ("Licensed under the GNU Affero something", ""),
+        ("free software under the terms of the GNU Lesser General Public License", ""),
+    ],
+)
+def test_wordings_with_their_regions_are_accepted(text, label):
+    import pyarrow as pa
+
+    scanner = ls.Scanner(ls.PHRASES, ls.TEMPLATES)
+    (_, _, found), *_ = list(scanner.scan(pa.array(["x " + text + " y"])))
+    assert {x for _, _, x in found} == ({label} if label else set())
