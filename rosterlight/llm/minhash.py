@@ -15,17 +15,19 @@ Documents with one and the same shingle set are one node throughout; copies are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, stored
+from .common import apart, dropped, stored
 from .kernels import chained, mix, row_shingles, signed
 
 BINS = 128
 BAND = 4  # bins; 32 bands: a pair of similarity 0.8 shares none with probability 5e-8
+MARKS = 16  # longs of parity marks of a set, a power of two
 _TRIES = 256
 
 
@@ -129,17 +131,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return similar(pairs.join(left, "b").join(right, "a"), words, percent)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (id, root): each linked id with the smallest id that it reaches.
 
-    Each round points every node at its smallest neighbour, follows pointers twice and contracts the links; the links
-    left halve at least about, and a star is done in one round.  Rounds are written, so that none depends on the last.
+    Each round points every node at its smallest neighbour, follows pointers twice and contracts the links, so every node
+    that still has a link meets another; the nodes with links at least halve, and a star is done in one round.  Rounds
+    are written, so that none depends on the last, and the tables of the round before deleted.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     roots = None
-    for _ in range(rounds):
-        if not edges.take(1):
-            break
+    while edges.take(1):
+        old = [edges] if roots is None else [edges, roots]
         both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a")))
         up = both.groupBy("id", apart(F.col("id"))).agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to"))
         for _ in range(2):
@@ -156,8 +158,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             on = up.select(F.col("id").alias(end), F.col("to").alias("next"))
             edges = edges.join(on, end).drop(end).withColumnRenamed("next", end)
         edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    else:
-        raise RuntimeError(f"links left after {rounds} rounds")
+        for table in (*old, up):
+            dropped(table)
     return roots if roots is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
@@ -165,7 +167,9 @@ def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, root, text) -> candidate pairs (a, b) of different roots, none missing that has the similarity.
 
     Shingles are ordered by how many of ``nodes`` hold them, so what is a text's own comes first and bounds what it can
-    share.  A posting with one root gives no pair.  Texts of one id are sets of their own, and repeats of a set count once.
+    share.  A posting with one root gives no pair.  Two more bounds, both exact, hold pairs back before they are emitted:
+    what can follow the first common shingle, and the parity marks of either set, which tell a lower bound of the
+    shingles that only one of them has.  Texts of one id are sets of their own, and repeats of a set count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +190,27 @@ def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
     seen = cut.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), (F.min("root") != F.max("root")).alias("several"))
     whole = cut.join(seen, "sh").groupBy("id", "root", "n", "s1", "s2").agg(F.sort_array(F.collect_set(F.struct("df", "sh", "several"))).alias("l"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    post = whole.select("id", "root", "n", F.posexplode(F.slice("l", F.lit(1), first.cast("int"))).alias("i", "x")).where("x.several").select("id", "root", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("x.sh").alias("sh"))
+    whole = whole.withColumns({f"m{w}": _parity(F.col("l.sh"), w) for w in range(MARKS)})
+    marks = [f"m{w}" for w in range(MARKS)]
+    post = whole.select("id", "root", "n", *marks, F.posexplode(F.slice("l", F.lit(1), first.cast("int"))).alias("i", "x")).where("x.several")
+    post = post.select("id", "root", "n", *marks, (F.col("n") - F.col("i")).alias("rest"), F.col("x.sh").alias("sh"))
     x, y = post.alias("x"), post.alias("y")
     # at their first common shingle two sets can share no more than what follows it in either
     fits = F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    pairs = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.id") < F.col("y.id")) & fits)
+    # a shingle in one set only flips one mark, so at least as many shingles differ as marks do
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in marks])
+    close = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    pairs = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.id") < F.col("y.id")) & fits & close)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _parity(shingles: Column, word: int) -> Column:
+    """64 of the marks of a set: each shingle flips the one that its last bits name."""
+    mine = F.filter(shingles, lambda s: F.shiftright(s, 6).bitwiseAND(F.lit(MARKS - 1)) == word)
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, s: a.bitwiseXOR(bit(s)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id that it reaches, its own included), kept (it is that id).
 

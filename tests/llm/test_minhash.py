@@ -124,3 +124,35 @@ def test_repeated_rows_with_links_that_stars_miss_match_brute_force(spark):
             rows += [(family * 100 + k, " ".join(copy))] * rnd.choice([1, 2, 9])
             rows += [(family * 100 + k, "  ".join(copy).upper())] * rnd.choice([0, 2])
     assert found(spark, rows) == brute(rows, 4, 80)
+
+
+def test_a_family_just_under_the_threshold_gives_few_candidates(spark):
+    """300 texts that are alike in 80 of 120 words and unlike in places of their own choice."""
+    rnd = random.Random(2)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(120)]
+        for k in rnd.sample(range(120), 10):
+            words[k] = f"alt{k}"
+        rows.append((i, i, " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, root long, text string")
+    got = {tuple(r) for r in minhash.prefix_pairs(df, 4, 80).collect()}
+    sets = [shingle_set(t, 4) for *_, t in rows]
+    links = {(i, j) for j in range(300) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links <= got and len(got) < 300 * 299 / 2 / 20
+
+
+def test_marks_never_hide_a_link(spark):
+    rnd = random.Random(4)
+    rows = []
+    for family in range(10):
+        base = [f"f{family}w{k}" for k in range(rnd.choice([8, 60, 2500]))]
+        for k in range(6):
+            words = list(base)
+            for j in rnd.sample(range(len(base)), rnd.randrange(1 + len(base) // 20)):
+                words[j] = f"n{k}{j}"
+            rows.append((family * 10 + k, family * 10 + k, " ".join(words)))
+    got = {tuple(r) for r in minhash.prefix_pairs(spark.createDataFrame(rows, "id long, root long, text string"), 4, 80).collect()}
+    sets = {i: shingle_set(t, 4) for i, _, t in rows}
+    links = {(i, j) for j in sets for i in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(links) > 20 and links <= got
