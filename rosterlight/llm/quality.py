@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, making_room
 
 # The characters that separate words, and those counted as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -85,8 +85,9 @@ def judged(docs: DataFrame, text_col: str = "text", most_lost: float = 0.5, min_
 
     Null text is an empty one: no words, base_failed.  kept is false for base_failed documents and for those whose
     failing lines hold more than ``most_lost`` of their non-blank characters.  Repeated rows get equal verdicts, an
-    empty table gives an empty one, and an own column of ``docs`` named quality is an error that Spark names.
+    empty table gives an empty one, and an own column of ``docs`` named quality comes out as quality_.
     """
+    docs = making_room(docs, "quality") if text_col.lower() != "quality" else docs
     t, words, lines, good, win, order, at = (free_name(docs, x) for x in ("t_", "words_", "lines_", "good_", "win_", "order_", "at_"))
     c = F.col
     step = docs.withColumn(t, F.coalesce(docs[text_col], F.lit("")))

@@ -46,3 +46,10 @@ def test_clean_texts_stay_and_junk_goes(spark):
 def test_no_python_on_the_executors(spark):
     plan = quality.report(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_judged_renames_a_column_of_its_own_name_and_takes_empty_tables(spark):
+    df = spark.createDataFrame([(1, "some words", "own")], "doc_id long, text string, quality string")
+    row = quality.judged(df).first()
+    assert (row["quality_"], row["quality"]["n_words"]) == ("own", 2)
+    assert quality.report(df.limit(0)).count() == quality.judged(df.limit(0)).count() == 0
