@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import making_room
+
 # The published pre-token pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,6 +78,8 @@ class Bpe:
         self.doubled = regex.compile(r"\s\s").search
         self.head: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.n_head: dict[str, int] = {}
+        self.n_spaced: dict[str, int] = {}
         self.pretokens: dict[str, bytes] = {}  # of texts that are cut by the pattern
 
     def _table(self) -> None:
@@ -258,6 +262,29 @@ class Bpe:
                 ids = self._by_pattern(t) if c is None else feed.join([b"".join([head[line[0]], *map(get, line[1:])]) for line in c])
                 yield np.frombuffer(ids, np.uint32)
 
+    def count_batch(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text: the sums over the remembered pieces, without putting the ids together."""
+        out: list[int] = []
+        for first in range(0, len(texts), 1 << 14):
+            some = texts[first : first + (1 << 14)]
+            if len(self.n_head) + len(self.n_spaced) > REMEMBERED:
+                self.n_head.clear()
+                self.n_spaced.clear()
+            cut = [[line.split(" ") for line in t.split("\n")] if self._plain(t) else None for t in some]
+            heads = {line[0] for c in cut for line in c or ()}
+            spaced: set[str] = set()
+            for c in cut:
+                for line in c or ():
+                    spaced.update(line[1:])
+            for known, lead, pieces in ((self.n_head, "", heads), (self.n_spaced, " ", spaced)):
+                fresh: dict[str, bytes] = {}
+                self._learn(fresh, lead, pieces.difference(known))
+                known.update((p, len(ids) // 4) for p, ids in fresh.items())
+            head, get = self.n_head, self.n_spaced.__getitem__
+            for t, c in zip(some, cut, strict=True):
+                out.append(len(self._by_pattern(t)) // 4 if c is None else len(c) - 1 + sum([head[line[0]] + sum(map(get, line[1:])) for line in c]))
+        return out
+
     def _by_pattern(self, text: str) -> bytes:
         out = []
         for part in self.split_special.split(text) if self.split_special else [text]:
@@ -309,7 +336,11 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 
 def decoded(tokens: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """``tokens`` with ids replaced by its text column; null ids give an empty text, an id outside the vocabulary is an error."""
+    """``tokens`` with ids replaced by its text column; null ids give an empty text, an id outside the vocabulary is an error.
+
+    A column of ``tokens`` named text comes out as text_.  An empty table gives an empty one.
+    """
+    tokens = making_room(tokens, "text") if ids_col.lower() != "text" else tokens
     rest = [c for c in tokens.columns if c != ids_col]
     rows = tokens.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("ids_"))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "ids_") + ", text string"

@@ -34,12 +34,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits of every document, their places a function of its id and length: an insertion, a removal, a replacement."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    state = token_counts.trees(docs, public_tokenizers.path(BYTE_BPE))
-    size = F.aggregate("leaves", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     place = lambda k: F.pmod(F.coalesce("doc_id", F.lit(0)) * k, size + 1)
     edit = lambda at, remove, insert: F.struct(at.alias("place"), F.lit(remove).cast("long").alias("remove"), F.lit(insert).alias("insert"))
     edits = F.array(edit(place(7919), 0, " an inserted clause, "), edit(place(104729), 12, ""), edit(place(1299709), 5, "it's\n2024"))
-    after = token_counts.edited(state.withColumn("edits", edits), public_tokenizers.path(BYTE_BPE))
+    after = token_counts.edited_texts(docs.withColumn("edits", edits), public_tokenizers.path(BYTE_BPE))
     return after.select("doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_leaves", "n_encoded")
 
 

@@ -22,6 +22,7 @@ def test_ids_and_texts_are_the_library_s():
         want = library.encode(t, add_special_tokens=False).ids
         assert ids.tolist() == want, t
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False) == t
+    assert own.count_batch(texts(1, 1500)) == [len(x) for x in own.encode_batch(texts(1, 1500))] == bpe.Bpe(PATH).count_batch(texts(1, 1500))
 
 
 def test_matrix_lists_and_heap_agree():
@@ -48,3 +49,10 @@ def test_bytes_that_are_no_text_decode_to_replacement_marks():
     ids = [i for i in range(94, 256)]
     for i in ids:
         assert own.decode(__import__("numpy").array([i])) == library.decode([i], skip_special_tokens=False)
+
+
+def test_empty_tables_and_a_column_named_text(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encoded(none, PATH).count() == bpe.round_trip_digests(none, PATH).count() == bpe.decoded(bpe.encoded(none, PATH), PATH).count() == 0
+    both = bpe.decoded(bpe.encoded(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH).withColumn("text", F.lit("own")), PATH).first()
+    assert (both["text"], both["text_"]) == ("a b", "own")
