@@ -30,14 +30,15 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK_DOCS = 4000
 ISLANDS = 2
-POPULATION = 8
-OFFSPRING = 8
+POPULATION = 6
+OFFSPRING = 6
 GENERATIONS = 40
 EPOCHS = 2
 ELITE = 2  # packings of an island that go to the next one
 INJECTED = (0.1, 0.5)  # share of the well-filled bins that a crossover injects
 EMPTIED = 0.1  # at most this share of the emptiest bins is dissolved with them
 WELL_FILLED = 0.985  # of the capacity: bins that crossover may inject, and that the second round leaves alone
+MOST_TASKS = 10_000
 REMEMBERED = 500_000
 
 
@@ -260,6 +261,8 @@ def evolved(sizes: np.ndarray, capacity: int, seed: int, people: list[np.ndarray
             child = crossed(scored[i][2], scored[j][2], sizes, capacity, rng)
             scored.append((fitness(child, sizes, capacity), len(people) + born, child))
             born += 1
+            if scored[-1][0][0] <= least:
+                break
         scored = sorted(scored, key=lambda x: x[:2])[:population]
     return [p for _, _, p in scored], first, born
 
@@ -278,7 +281,8 @@ def _islands(items: DataFrame, n: int, capacity: int, block_docs: int) -> DataFr
         "block", F.col("x.rid").alias("rids"), F.col("x.length").alias("sizes"), F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), none.alias("people"), none.alias("guests"),
         zero.alias("best_fit"), zero.alias("started"), zero.alias("crossovers"),
     )
-    state = state.repartition("block", "island")
+    state = state.repartition(min(MOST_TASKS, max(1, blocks * ISLANDS // 2)), "block", "island")
+    finished = None
     own = ["block", "island", "rids", "sizes", "people", "bins", "bound", "best_fit", "started", "crossovers"]
 
     for epoch in range(EPOCHS):
@@ -300,10 +304,14 @@ def _islands(items: DataFrame, n: int, capacity: int, block_docs: int) -> DataFr
             state.mapInPandas(run, "block long, island int, rids array<bigint>, sizes array<bigint>, people array<array<int>>, bins long, bound long, best_fit long, started long, crossovers long"), "islands"
         )
         if epoch + 1 < EPOCHS:
-            # the best of each island go to the next one of the block
+            # blocks of which no island has proved its packing best go on; the best of each island go to the next one
+            open_ = state.groupBy("block").agg(F.min(F.col("bins") - F.col("bound")).alias("over")).where("over > 0").select("block")
+            rest = state.join(open_, "block", "left_anti")
+            finished = rest if finished is None else finished.unionByName(rest)
+            state = state.join(open_, "block", "left_semi")
             sent = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("people", 1, ELITE).alias("guests"))
-            state = state.drop("bins", "bound").join(sent, ["block", "island"])
-    return state
+            state = state.drop("bins", "bound").join(sent, ["block", "island"]).repartition(min(MOST_TASKS, max(1, blocks * ISLANDS // 2)), "block", "island")
+    return state if finished is None else state.unionByName(finished)
 
 
 def _best(islands: DataFrame) -> DataFrame:
