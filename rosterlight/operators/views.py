@@ -29,6 +29,18 @@ def schedule_view(shifts: DataFrame, requirements: DataFrame, assignments: DataF
     )
 
 
+def schedule_detail(shifts: DataFrame, assignments: DataFrame, missing: DataFrame, warned: DataFrame) -> DataFrame:
+    """One row per week: its shifts, assignments, open slots and warnings as ordered arrays (empty, not null)."""
+    week = shifts.select("shift_id", "week")
+    nested = lambda df, cols, name: df.groupBy("week").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    out = nested(shifts, ["date", "start_min", "shift_id", "end_min"], "shifts")
+    parts = [(assignments.join(week, "shift_id"), ["shift_id", "employee_id", "fills_level_id", "manual"], "assignments"), (missing.join(week, "shift_id"), ["shift_id", "level_id", "missing"], "unfilled"), (warned, ["employee_id", "kind", "day", "message"], "warnings")]
+    for df, cols, name in parts:
+        own = nested(df, cols, name)
+        out = out.join(own, "week", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out
+
+
 def day_view(roster: DataFrame, breaks: DataFrame) -> DataFrame:
     """Roster entries with their breaks in order of start."""
     own = breaks.groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct("start_min", "end_min", "kind"))).alias("breaks"))

@@ -17,7 +17,7 @@ from ..sources import html_tables, imports, sinks
 from ..sources.testviews import START, Views
 from ..streaming import adherence
 from . import applied, sync
-from .queries import _ENTITLED, _planned, query
+from .queries import _ENTITLED, _OWN, _WARNED, _WARNINGS, _WORKED, _planned, query
 
 _DAY = "CAST(clock_in AS DATE)"
 
@@ -398,8 +398,53 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.current(spark, f"{state}/table")
 
 
+def _drained(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """What a stream appends once all there is has been read."""
+    state = scratch(spark, "stream")
+    rows.writeStream.format("parquet").option("path", f"{state}/out").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{state}/out")
+
+
+def _ticket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    return rows.select(F.col("event_id").alias("ticket_id"), F.col("ts").cast("timestamp").alias("created_at"), F.floor(F.col("value") * 6).cast("int").alias("completion_seconds"), (F.col("event_type") == "error").alias("recalled"))
+
+
+@query(
+    """, live AS (SELECT date_trunc('hour', created_at) AS h, completion_seconds <= coalesce((SELECT s.target_seconds FROM sla s WHERE s.effective_from <= CAST(t.created_at AS DATE) ORDER BY s.effective_from DESC LIMIT 1), 300) AS ok FROM tickets t WHERE NOT recalled)
+    SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour_start, count(*) AS tickets, count(*) FILTER (ok) AS on_time FROM live WHERE h + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM tickets WHERE NOT recalled) - INTERVAL 2 HOUR GROUP BY h"""
+)
+def stream_hourly_adherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that the watermark has closed, each ticket judged by the target of its day."""
+    got = _drained(adherence.hourly_adherence(_ticket_stream(spark, sf_dir), Views(spark, sf_dir).sla), spark)
+    return got.select(F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "tickets", "on_time")
+
+
+@query(" SELECT ticket_id FROM tickets")
+def stream_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ticket arrives twice and is taken once."""
+    rows = _ticket_stream(spark, sf_dir).withColumn("row_hash", F.col("ticket_id").cast("string"))
+    return _drained(adherence.once_each(rows.union(rows)), spark).select("ticket_id")
+
+
 # filters and views
 
+@query(
+    f"""{_WORKED}{_OWN}{_WARNED}, warned AS ({_WARNINGS})
+    SELECT CAST(w.week AS VARCHAR) AS week, (SELECT count(*) FROM shifts s WHERE s.week = w.week) AS n_shifts, (SELECT count(*) FROM own o WHERE o.week = w.week) AS n_assignments,
+           (SELECT count(*) FROM (SELECT s.week FROM requirements r JOIN shifts s USING (shift_id) LEFT JOIN assignments a ON a.shift_id = r.shift_id AND a.fills_level_id = r.level_id GROUP BY s.week, r.shift_id, r.level_id, r.count HAVING count(a.employee_id) < r.count) u WHERE u.week = w.week) AS n_unfilled,
+           (SELECT count(*) FROM warned x WHERE x.week = w.week) AS n_warnings, (SELECT min(s.shift_id) FROM shifts s WHERE s.week = w.week) AS first_shift FROM (SELECT DISTINCT week FROM shifts) w"""
+)
+def schedule_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week with its shifts, assignments, open slots and warnings as ordered arrays; here their sizes and the first shift."""
+    v = Views(spark, sf_dir)
+    warned = rules.warning_messages(rules.warnings(v.assignments, v.shifts, v.employees, rules.worked_dates(v.sessions, v.assignments, v.shifts)), v.employees)
+    rows = views.schedule_detail(v.shifts, v.assignments, rules.unfilled(v.requirements, v.assignments), warned)
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return rows.select(F.col("week").cast("string").alias("week"), size("shifts"), size("assignments"), size("unfilled"), size("warnings"), F.element_at("shifts", 1)["shift_id"].alias("first_shift"))
+
+
 @query(" SELECT shift_id, CAST(date AS VARCHAR) AS date FROM shifts WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-17'")
 def week_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven days from any date on, in order."""

@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterlight.operators import ratings, rules, scheduling, temporal
 from rosterlight.plans import queries
+from rosterlight.sources.testviews import Views
 
 T = dt.datetime
 
@@ -19,6 +22,10 @@ def tables(spark, tickets, sessions, breaks, sla=((300, 0.9, dt.date(2000, 1, 1)
     }
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_edges_of_sessions_and_breaks_are_half_open(spark):
     at = [(9, 0), (12, 0), (10, 0), (10, 59), (11, 0), (8, 59)]
     tickets = [(i, T(2026, 6, 2, h, m), 200, False) for i, (h, m) in enumerate(at)] + [(9, T(2026, 6, 2, 9, 30), 200, True)]
@@ -38,24 +45,60 @@ def test_overlapping_and_midnight_sessions_and_future_goals(spark):
     assert [(r.tickets, r.on_floor_adherence, r.shifts_hit_target, r.shifts_total) for r in r] == [(4, 1.0, 2, 2)]
 
 
-def test_shared_hours_separate_people_and_shrink_keeps_the_sign(spark):
-    tickets, sessions = [], []
-    for d in range(10):
-        sessions.append((d, 1 + d % 2, 1, T(2026, 6, 1 + d, 9), T(2026, 6, 1 + d, 12)))
-        tickets += [(d * 10 + i, T(2026, 6, 1 + d, 9 + i, 5), 200 if d % 2 == 0 else 400, False) for i in range(3)]
-    x = tables(spark, tickets, sessions, [])
-    r = {r.employee_id: r for r in ratings.ranked(ratings.ratings(**x, start="2026-06-01", end="2026-06-30")).collect()}
-    assert r[1].raw_plus_minus > 40 and r[2].raw_plus_minus < -40
-    assert 0 < r[1].plus_minus < r[1].raw_plus_minus and r[2].raw_plus_minus < r[2].plus_minus < 0
-    assert ratings.what_if(x["tickets"], 250, "2026-06-01", "2026-06-30").first().adherence == 0.5
-    assert ratings.what_if(x["tickets"], 250, "2027-06-01", "2027-06-30").first().adherence == 0.0
-    assert ratings.ratings(**{**x, "tickets": x["tickets"].limit(0)}, start="2026-06-01", end="2026-06-30").count() == 0
+def test_ratings_match_a_plain_loop(spark):
+    """Random crews, sessions, breaks and tickets, everything counted by hand."""
+    rnd = random.Random(11)
+    day = lambda d, h, m=0: T(2027, 1, 4) + dt.timedelta(days=d, hours=h, minutes=m)
+    sessions = [(k, rnd.randrange(5), 1, day(d := rnd.randrange(6), h := rnd.randrange(5, 20)), day(d, h + rnd.randrange(1, 9), 30)) for k in range(40)]
+    breaks = [(k, s[3] + dt.timedelta(minutes=20), s[3] + dt.timedelta(minutes=45)) for k, s in enumerate(sessions) if k % 3 == 0]
+    tickets = [(i, day(rnd.randrange(6), rnd.randrange(24), rnd.randrange(60)), rnd.choice([100, 200, 400, 900]), rnd.random() < 0.1) for i in range(500)]
+    x = tables(spark, tickets, sessions, breaks)
+    live = [(t, a, int(s <= 300)) for t, a, s, gone in tickets if not gone]
+    hour = {h: [ok for _, a, ok in live if a.hour == h] for h in range(24)}
+    hits = {}
+    for k, e, _, start, end in sessions:
+        for _, a, ok in live:
+            if start <= a < end and not any(b == k and f <= a < u for b, f, u in breaks):
+                hits.setdefault(e, {}).setdefault(k, []).append((ok, sum(hour[a.hour]) / len(hour[a.hour])))
+    got = {r.employee_id: r for r in ratings.ratings(**x, start="2027-01-04", end="2027-01-10", shrink=50).collect()}
+    assert set(got) == set(hits)
+    for e, own in hits.items():
+        flat = [h for s in own.values() for h in s]
+        n, actual, expected = len(flat), sum(ok for ok, _ in flat) / len(flat), sum(b for _, b in flat) / len(flat)
+        assert (got[e].tickets, got[e].shifts_total) == (n, len(own))
+        assert got[e].shifts_hit_target == sum(sum(ok for ok, _ in s) / len(s) >= 0.9 for s in own.values())
+        assert abs(got[e].raw_plus_minus - 100 * (actual - expected)) < 0.006 and abs(got[e].plus_minus - 100 * (actual - expected) * n / (n + 50)) < 0.006
+    assert ratings.ratings(**{**x, "tickets": x["tickets"].limit(0)}, start="2027-01-04", end="2027-01-10").count() == 0
+    assert ratings.what_if(x["tickets"], 250, "2029-06-01", "2029-06-30").first().adherence == 0.0
+
+
+def test_range_join_is_an_equi_join_and_ratings_scan_once(spark):
+    x = tables(spark, [(1, T(2026, 6, 2, 9), 1, False)], [(1, 1, 1, T(2026, 6, 2, 8), T(2026, 6, 2, 10))], [])
+    joined = temporal.point_in_interval(x["tickets"], x["sessions"], "created_at", "clock_in", "clock_out")
+    assert "NestedLoop" not in plan_of(joined) and "Cartesian" not in plan_of(joined)
+    v = Views(spark, "/root/testdata/sf0.001")
+    plan = plan_of(ratings.ratings(v.tickets, v.sessions, v.breaks, v.levels, v.employee_levels, v.sla, "2024-01-03", "2024-01-27"))
+    assert plan.count("hour__") and plan.count("sum(on_time") <= 6
+
 
+def test_interval_join_keeps_stores_apart_and_crosses_midnight(spark):
+    points = spark.createDataFrame([(1, "a", T(2026, 1, 1, 23, 59)), (2, "a", T(2026, 1, 2, 0, 0)), (3, "b", T(2026, 1, 2, 0, 0)), (4, "a", T(2026, 1, 2, 1, 0))], "p long, store string, at timestamp_ntz")
+    spans = spark.createDataFrame([(7, "a", T(2026, 1, 1, 23, 30), T(2026, 1, 2, 1, 0)), (8, "b", T(2026, 1, 2, 2), T(2026, 1, 2, 1))], "i long, store string, s timestamp_ntz, e timestamp_ntz")
+    assert sorted((r.p, r.i) for r in temporal.point_in_interval(points, spans, "at", "s", "e", ("store",)).collect()) == [(1, 7), (2, 7)]
 
-def test_range_join_is_an_equi_join(spark):
-    x = tables(spark, [(1, T(2026, 6, 2, 9), 1, False)], [(1, 1, 1, T(2026, 6, 2, 8), T(2026, 6, 2, 10))], [])
-    plan = temporal.point_in_interval(x["tickets"], x["sessions"], "created_at", "clock_in", "clock_out")._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+@pytest.mark.parametrize("kind", ["long", "date"])
+def test_as_of_is_the_same_by_broadcast_and_by_value(spark, kind, monkeypatch):
+    rnd = random.Random(3)
+    base = dt.date(2024, 1, 1)
+    at = lambda n: base + dt.timedelta(days=n) if kind == "date" else n
+    left = spark.createDataFrame([(i, at(rnd.randrange(400))) for i in range(300)] + [(999, None)], f"i long, a {kind}")
+    right = spark.createDataFrame([(at(n), n * 7) for n in sorted(rnd.sample(range(20, 400), 60))], f"s {kind}, v long")
+    small = sorted(map(str, temporal.asof_join(left, right, F.col("l.a"), "s").select("i", "v").collect()))
+    monkeypatch.setattr(temporal, "is_small", lambda df: False)
+    large = temporal.asof_join(left, right, F.col("l.a"), "s")
+    assert "NestedLoop" not in plan_of(large) and sorted(map(str, large.select("i", "v").collect())) == small
+    assert large.columns == ["i", "a", "s", "v"]
 
 
 def test_windows_that_touch_merge(spark):
@@ -63,34 +106,77 @@ def test_windows_that_touch_merge(spark):
     assert sorted(tuple(r) for r in temporal.merged_windows(df, ["employee_id", "weekday"], "s", "e").collect()) == [(1, 0, 300, 500), (1, 0, 501, 600), (2, 0, 1, 2)]
 
 
-def test_entitlement(spark):
-    roster = spark.createDataFrame([(1, 0, 120), (2, 0, 330), (3, 0, 480), (4, 0, 210)], "entry_id int, start_min int, end_min int")
-    rule = spark.createDataFrame([(210, 1, 0), (361, 2, 1)], "min_shift_minutes int, rest_breaks int, meal_breaks int")
-    got = {r.entry_id: (r.rest_breaks, r.meal_breaks) for r in rules.entitled(roster, rule).collect()}
-    assert got == {1: (0, 0), 2: (1, 0), 3: (2, 1), 4: (1, 0)}
+RULES = [(150, 1, 0), (260, 0, 1), (400, 2, 1), (700, 3, 0)]
 
 
-def test_break_plans_keep_every_rule(spark):
-    d = dt.date(2026, 6, 15)
-    roster = spark.createDataFrame([(1, d, 390, 870), (2, d, 390, 870), (3, d, 540, 870), (4, d, 720, 840), (5, d, 720, 1080)], "entry_id int, date date, start_min int, end_min int")
-    rule = spark.createDataFrame([(210, 1, 0), (361, 2, 1)], "min_shift_minutes int, rest_breaks int, meal_breaks int")
-    costs = spark.range(288).select(F.col("id").cast("int").alias("slot"), (F.col("id") % 7).cast("int").alias("cost"))
-    plan = scheduling.plan_breaks(roster, rule, costs).collect()
-    count = {k: sum(r.entry_id == k for r in plan) for k in range(1, 6)}
-    assert count == {1: 3, 2: 3, 3: 1, 4: 0, 5: 1} and all(r.coupled for r in plan)
-    shift = {r.entry_id: r for r in roster.collect()}
-    busy = set()
+def rule_table(spark):
+    return spark.createDataFrame(RULES, "min_shift_minutes int, rest_breaks int, meal_breaks int")
+
+
+def test_entitlement_is_that_of_the_longest_rule_reached(spark):
+    roster = spark.createDataFrame([(n, 100, 100 + n) for n in range(1, 900, 13)] + [(n, 0, n) for n in (150, 259, 260, 400)], "entry_id int, start_min int, end_min int")
+    for r in rules.entitled(roster, rule_table(spark)).collect():
+        reached = [x[1:] for x in RULES if x[0] <= r.end_min - r.start_min]
+        assert (r.rest_breaks, r.meal_breaks) == (reached[-1] if reached else (0, 0))
+
+
+@pytest.mark.parametrize(("seed", "concurrent"), [(1, 1), (2, 2), (3, 3)])
+def test_break_plans_of_random_rosters_keep_every_rule(spark, seed, concurrent):
+    rnd = random.Random(seed)
+    days = [dt.date(2025, 2, d) for d in (3, 4)]
+    rows = [(i, rnd.choice(["s1", "s2"]), rnd.choice(days), s := rnd.randrange(200, 700), s + rnd.randrange(60, 640)) for i in range(16)]
+    roster = spark.createDataFrame(rows, "entry_id int, store string, date date, start_min int, end_min int")
+    costs = spark.range(288).select(F.col("id").cast("int").alias("slot"), (F.col("id") * 5 % 23).cast("int").alias("cost"))
+    plan = scheduling.plan_breaks(roster, rule_table(spark), costs, rest_minutes=12, meal_minutes=25, edge=40, gap=60, concurrent=concurrent, meal_by=290).collect()
+    shift, want = {r[0]: r for r in rows}, {r.entry_id: (r.rest_breaks, r.meal_breaks) for r in rules.entitled(roster, rule_table(spark)).collect()}
+    assert {r.status for r in plan} <= {"optimal", "feasible"} and {r.entry_id for r in plan} == {i for i, (a, b) in want.items() if a + b}
+    busy = {}
     for r in plan:
-        s = shift[r.entry_id]
-        assert s.start_min + 45 <= r.start_min and r.end_min <= s.end_min - 45
-        assert r.end_min - r.start_min == (10 if r.kind == "rest" else 30) and r.paid == (r.kind == "rest")
-        assert r.kind == "rest" or r.start_min <= s.start_min + 300
-        minutes = set(range(r.start_min, r.end_min))
-        assert not minutes & busy
-        busy |= minutes
-    for k in (1, 2):
-        own = sorted((r.start_min, r.end_min) for r in plan if r.entry_id == k)
-        assert all(b[0] - a[1] >= 90 for a, b in zip(own, own[1:], strict=False))
+        _, store, date, start, end = shift[r.entry_id]
+        assert (r.store, r.date, r.end_min - r.start_min, r.paid) == (store, date, 12 if r.kind == "rest" else 25, r.kind == "rest")
+        assert start + 40 <= r.start_min and r.end_min <= end - 40 and r.start_min % 5 == 0 and 0 <= r.bound <= r.cost
+        assert r.kind == "rest" or r.start_min <= start + 290
+        for m in range(r.start_min, r.end_min):
+            busy[store, date, m] = busy.get((store, date, m), 0) + 1
+    assert max(busy.values()) <= concurrent
+    for i in want:
+        own = sorted((r.start_min, r.end_min) for r in plan if r.entry_id == i)
+        assert all(b[0] - a[1] >= 60 for a, b in zip(own, own[1:], strict=False))
+
+
+def test_days_without_a_plan_stand_at_their_anchors(spark):
+    d = dt.date(2025, 2, 3)
+    roster = spark.createDataFrame([(i, d, 480, 480 + 165) for i in range(40)] + [(99, dt.date(2025, 2, 4), 480, 700)], "entry_id int, date date, start_min int, end_min int")
+    costs = spark.range(288).select(F.col("id").cast("int").alias("slot"), F.lit(1).alias("cost"))
+    got = scheduling.plan_breaks(roster, rule_table(spark), costs).collect()
+    assert {(r.date, r.status) for r in got} == {(d, "infeasible"), (dt.date(2025, 2, 4), "optimal")}
+    alone = {(r.entry_id, r.k, r.kind, r.start_min, r.end_min) for r in scheduling.anchored_breaks(roster, rule_table(spark)).collect() if r.entry_id != 99}
+    assert {(r.entry_id, r.k, r.kind, r.start_min, r.end_min) for r in got if r.entry_id != 99} == alone and len(alone) == 40
+
+
+def test_weeks_keep_days_in_a_row_and_stores_apart(spark):
+    """Seven days of one shift each for one person who worked the two days before; two stores ask for the same level."""
+    monday = dt.date(2025, 9, 1)
+    shifts = spark.createDataFrame([(s * 10 + d, f"s{s}", monday, monday + dt.timedelta(days=d), 600, 840) for s in (1, 2) for d in range(7)], "shift_id int, store string, week date, date date, start_min int, end_min int")
+    need = shifts.select("shift_id", F.lit(4).alias("level_id"), F.lit(1).alias("count"))
+    people = spark.createDataFrame([(1, True, 4, 2400, None), (2, True, 4, 2400, 480)], "employee_id long, active boolean, level_id int, max_week_minutes int, target_week_minutes int")
+    candidates = shifts.select("shift_id", F.lit(4).alias("level_id"), F.when(F.col("store") == "s1", 1).otherwise(2).cast("long").alias("employee_id"))
+    history = spark.createDataFrame([(1, monday - dt.timedelta(days=k)) for k in (1, 2)], "employee_id long, day date")
+    none = spark.createDataFrame([], "shift_id int, employee_id long, fills_level_id int")
+    rated, weights = spark.createDataFrame([], "employee_id long, plus_minus double"), spark.createDataFrame([], "shift_id int, weight int")
+    got = scheduling.assign_weeks(candidates, shifts, need, people, rules.conflict_edges(shifts.drop("store")), history, rated, weights, none).collect()
+    worked = {s: sorted((r.shift_id % 10) for r in got if r.store == s) for s in ("s1", "s2")}
+    assert all(r.is_optimal for r in got) and len(worked["s1"]) == 6 and len(worked["s2"]) == 6
+    runs = [-2, -1, *worked["s1"]]
+    assert max(sum(d - k in runs for k in range(7)) for d in range(7)) <= 6 and worked["s1"] != list(range(6))
+
+
+@pytest.mark.parametrize("most", [0, 1, 6, 7, 15])
+def test_history_meets_the_weeks_it_can_touch(spark, most):
+    days = [dt.date(2025, 9, 1) + dt.timedelta(days=k) for k in range(9)]
+    got = {(r.day, r.week) for r in rules.by_week(spark.createDataFrame([(1, d) for d in days], "employee_id long, day date"), most).collect()}
+    mondays = [dt.date(2025, 8, 25) + dt.timedelta(days=7 * k) for k in range(8)]
+    assert got == {(d, w) for d in days for w in mondays if w - dt.timedelta(days=most) <= d < w}
 
 
 def test_carry_crosses_ranges_and_covers_every_row(spark):
@@ -104,6 +190,13 @@ def test_carry_crosses_ranges_and_covers_every_row(spark):
     assert len(got) == len(rows) and {tuple(r) for r in got} == want
 
 
-def test_carry_forward_all_has_an_owner_row_for_every_ticket(spark):
-    got = queries.QUERIES["carry_forward_all"](spark, "/root/testdata/sf0.01")
-    assert got.count() == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count() > queries.QUERIES["carry_forward"](spark, "/root/testdata/sf0.01").count()
+def test_carry_forward_has_an_owner_row_for_every_ticket(spark):
+    got = queries.QUERIES["carry_forward"](spark, "/root/testdata/sf0.01")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
+
+
+def test_suggestions_come_in_order_with_their_reasons(spark):
+    got = queries.QUERIES["suggestions"](spark, "/root/testdata/sf0.001").collect()
+    key = [(r.shift_id, r.level_id, r.softness, -(r.rating or 0.0), r.employee_id) for r in got]
+    assert key == sorted(key) and all(r.reason and r.employee_name for r in got)
+    assert all((r.softness == -1) == r.reason.startswith("Eligible") for r in got)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from rosterlight.sources import sinks
 from rosterlight.sources.testviews import Views
 from rosterlight.streaming import adherence
 
@@ -32,3 +33,18 @@ def test_repeated_files_add_nothing(spark, tmp_path):
         t.write.mode("append").parquet(str(tmp_path / "d"))
     stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "d"))
     assert drained(spark, adherence.once_each(stream), "once").count() == t.count()
+
+
+def test_batches_are_upserted_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = [("a", 1, 10), ("b", 1, 20), ("a", 2, 30), ("c", 1, 40), ("a", 3, 5)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "key string, version int, value int").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, version int, value int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for checkpoint in ("c1", "c2"):  # the second run reads everything again
+        q = adherence.upserted_batches(stream, str(tmp_path / "table"), ["key"], [F.desc("version")], str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = {r.key: (r.version, r.value) for r in sinks.current(spark, str(tmp_path / "table")).collect()}
+        assert got == {"a": (3, 5), "b": (1, 20), "c": (1, 40)}
+    status = adherence.status_row([p if isinstance(p, dict) else {"numInputRows": p.numInputRows, "batchId": p.batchId} for p in q.recentProgress], "2025-05-05")
+    assert status["ok"] and status["rows"] >= 5 and status["error"] == ""
+    assert adherence.status_row([], "2025-05-05", "lost") == {"attempted_at": "2025-05-05", "ok": False, "error": "lost", "rows": 0, "last_batch": -1}

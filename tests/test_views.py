@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterlight.operators import views
-from rosterlight.plans.sync import Source, refreshed
+from rosterlight.plans.sync import Source, load_config, refreshed
 
 
 def test_moves_stay_in_the_shift(spark):
@@ -43,3 +44,26 @@ def test_latest_hours_ignore_case(spark):
     rows = [("Ada", dt.date(2026, 6, 1), dt.date(2026, 6, 7), 5.0), ("ADA", dt.date(2026, 6, 8), dt.date(2026, 6, 14), 6.0)]
     df = spark.createDataFrame(rows, "employee_name string, period_start date, period_end date, hours double")
     assert [r.hours for r in views.latest_hours(df).collect()] == [6.0]
+
+
+def test_thresholds_that_repeat_and_negative_counts_are_invalid(spark):
+    df = spark.createDataFrame([(100, 1), (100, 2), (200, -1), (300, 0), (None, 1)], "least int, n int")
+    good, bad = views.split_valid(df, ("n",), "least")
+    assert sorted((r.least or -1) for r in good.collect()) == [-1, 300] and bad.count() == 3
+
+
+def test_windows_filters_and_lists(spark):
+    df = spark.createDataFrame([(1, "b", 5), (2, "A", 5), (3, "c", 7)], "employee_id int, name string, n int")
+    assert [r.employee_id for r in views.listed(df, "employees").collect()] == [2, 1, 3]
+    assert views.filtered(df, n=5, name=None).count() == 2 and views.filtered(df).count() == 3
+    day = lambda s: F.lit(s).cast("date")
+    r = spark.range(1).select(*views.default_window(day("2025-03-10"), 30), *views.default_window(day("2025-03-10"), 30, day("2025-01-01"), F.lit(None).cast("date"))).first()
+    assert [str(x) for x in r] == ["2025-02-08", "2025-03-10", "2025-01-01", "2025-03-10"]
+
+
+def test_scrape_configuration(tmp_path):
+    (tmp_path / "c.json").write_text('{"hours": {"url": "https://x", "columns": {"name": ["crew"]}}}')
+    assert load_config(str(tmp_path / "c.json"))["hours"]["columns"] == {"name": ["crew"]}
+    (tmp_path / "d.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        load_config(str(tmp_path / "d.json"))
