@@ -43,7 +43,7 @@ def asof_join(left: DataFrame, right: DataFrame, at: Column, start: str, keys: t
     by value, so no plan holds a nested loop over a large side.
     """
     if not keys and not is_small(right):
-        return _asof_by_value(left, right, at, start)
+        return asof_by_value(left, right, at, start)
     spans = with_until(right, start, list(keys), "until__")
     spans = spans if keys else F.broadcast(spans)
     hit = (F.col(f"r.{start}") <= at) & (F.col("r.until__").isNull() | (at < F.col("r.until__")))
@@ -59,7 +59,8 @@ def _number(c: Column, kind: str) -> Column:
     return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c.cast("long")
 
 
-def _asof_by_value(left: DataFrame, right: DataFrame, at: Column, start: str) -> DataFrame:
+def asof_by_value(left: DataFrame, right: DataFrame, at: Column, start: str) -> DataFrame:
+    """``asof_join`` without keys for a large ``right``: its rows are carried along the distinct values of ``at``, which then meet ``left``."""
     kind = dict(right.dtypes)[start]
     added = [c for c in right.columns if c not in left.columns]
     rows = left.alias("l").withColumn("at__", _number(at, kind))
@@ -70,11 +71,6 @@ def _asof_by_value(left: DataFrame, right: DataFrame, at: Column, start: str) ->
     return rows.join(held, "at__", "left").select(*left.columns, *[F.col(f"got__.{c}").alias(c) for c in added])
 
 
-def by_day(df: DataFrame, start: str, end: str, day: str = "day") -> DataFrame:
-    """Each interval once for every calendar day that it touches."""
-    return df.withColumn(day, F.explode(F.sequence(F.to_date(start), F.to_date(end))))
-
-
 def hour_number(c: Column) -> Column:
     """Hours since 1970 of the wall clock."""
     return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) * 24 + F.hour(c)

@@ -532,7 +532,7 @@ def as_of_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest of many steps at or before a number."""
     t = Views(spark, sf_dir).tickets
     steps = t.where("ticket_id % 2 = 0").select(F.col("ticket_id").alias("step"), F.col("ticket_id").alias("at"))
-    return temporal._asof_by_value(t.select("ticket_id", "items"), steps, F.col("l.items") * 100, "at").select("ticket_id", "step")
+    return temporal.asof_by_value(t.select("ticket_id", "items"), steps, F.col("l.items") * 100, "at").select("ticket_id", "step")
 
 
 @query(f" SELECT t.ticket_id, s.session_id FROM tickets t JOIN sessions s ON s.clock_in <= t.created_at AND t.created_at < s.clock_out AND s.employee_id % 3 = t.ticket_id % 3 WHERE t.created_at >= DATE '{START}'")
