@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, lm, minhash, packing, quality, token_counts, warc
+from . import bpe, exact_dedup, language_id, license_scan, lm, minhash, packing, quality, token_counts, token_files, vector_codes, warc, whitening
 from .common import id_fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -68,6 +68,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~found["train"]).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -79,8 +91,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }
 
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Every vector part is held against every entry: right at the size of the SQL check, not a way to do the work."""
+    nearest = """
+        a{k} AS (SELECT r, p, min((d, e)) AS m FROM (SELECT r, parts.p, e, list_sum(list_transform(list_zip(a, z), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d
+                 FROM parts JOIN c{k} ON c{k}.p = parts.p) GROUP BY r, p),"""
+    moved = """
+        t{k} AS (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS z FROM (SELECT p, m[2] AS e, i, sum(a[i])::DOUBLE AS s, count(*) AS n
+                 FROM a{k} JOIN parts USING (r, p), range(1, (SELECT max(len(a)) FROM parts) + 1) AS x(i) GROUP BY ALL) GROUP BY p, e),
+        c{j} AS (SELECT p, e, coalesce(t{k}.z, c{k}.z) AS z FROM c{k} LEFT JOIN t{k} USING (p, e)),"""
+    return f"""
+        WITH kept AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS v FROM embeddings
+                      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        parts AS (SELECT r, vec_id, p, v[1 + p * len(v) // 16 : (p + 1) * len(v) // 16] AS a FROM kept, range(16) AS x(p)),
+        c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, a AS z FROM parts QUALIFY e < 64),{"".join(nearest.format(k=k) + moved.format(k=k, j=k + 1) for k in range(rounds))}{nearest.format(k=rounds)}
+        coded AS (SELECT r, string_agg(format('{{:02x}}', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY r),
+        books AS (SELECT sha256(string_agg(x.z, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(z, ',') AS z FROM c{rounds}) AS x)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (r), books
+    """
+
+
 _BLANK = r"[ \t-\r]"
 
 SQL: dict[str, str] = {
@@ -110,6 +147,7 @@ SQL: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM f
     """,
+    "op12_vector_codes": _lloyd_sql(vector_codes.ROUNDS),
     "op9_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT r, unnest(l) AS word, generate_subscripts(l, 1) AS p
