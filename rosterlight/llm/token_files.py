@@ -44,24 +44,12 @@ def id_width(vocabulary: str) -> int:
     return 2 if loaded(vocabulary).model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, crc, ids (binary, little-endian, ``id_width`` bytes each): each text (null: empty) with the end id behind it."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    kind = "<u2" if id_width(vocabulary) == 2 else "<u4"
-    end = np.uint32(END_ID).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = loaded(vocabulary)
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                whole = [raw + end for raw in tokens.encode_batch(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in whole], pa.int64()), pa.array([zlib.crc32(x) for x in whole], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype(kind).tobytes() for x in whole], pa.binary())],
-                    ["id", "n", "crc", "ids"],
-                )
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, crc long, ids binary")
+def _encoded(texts: pa.Array, vocabulary: str, width: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs of rows with the ids of their texts, each with the end id behind it, as the bytes that go to a file."""
+    tokens, end = loaded(vocabulary), np.uint32(END_ID).tobytes()
+    for i in range(0, len(texts), 512):
+        some = [raw + end for raw in tokens.encode_batch(texts.slice(i, 512).to_pylist())]
+        yield i, i + len(some), some if width == 4 else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in some]
 
 
 class _Writer:
@@ -74,12 +62,12 @@ class _Writer:
         self.names = fs.open_output_stream(f"{root}/{self.name}.docs.part", compression=None)
         self.docs = pa.ipc.new_file(self.names, pa.schema([("id", kind)]))
 
-    def add(self, doc_ids: pa.Array, lengths: np.ndarray, ids: pa.Array) -> None:
+    def add(self, doc_ids: pa.Array, ids: list[bytes]) -> None:
         self.docs.write_batch(pa.RecordBatch.from_arrays([doc_ids], ["id"]))
-        for raw in ids:
-            self.ids.write(raw.as_buffer())
-        self.ends.append(self.total + np.cumsum(lengths).astype("<u8"))
-        self.total += int(lengths.sum())
+        ends = self.total + np.cumsum([len(x) // self.width for x in ids]).astype("<u8")
+        self.ids.write(b"".join(ids))
+        self.ends.append(ends)
+        self.total = int(ends[-1])
 
     def close(self, part: int) -> dict:
         places = np.concatenate(self.ends)
@@ -98,30 +86,29 @@ def written(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id
     """Writes ``docs`` to ``folder`` in ascending order of id; returns the table of the files, also stored there as ``files``.
 
     The table: name, part, documents, ids, width, first_document and first_id (how many come before the file).  Ranges of
-    ids come from Spark's sample of the keys, one file a range; equal ids stand in order of their ids' checksum and length,
-    null ids first.  Rows that repeat id and text are kept, next to each other, in one file however many they are (the
-    task streams them).  A file is counted only if its task's result is, so what a lost task leaves behind is never read.
-    An empty table has no files.
+    ids come from Spark's sample of the keys, one file a range of about ``file_bytes`` of text; equal ids stand in order of
+    their texts' hash, null ids first.  Rows that repeat id and text are kept, next to each other, in one file however many
+    they are (the task streams them).  A file is counted only if its task's result is, so what a lost task leaves behind
+    is never read.  An empty table has no files.
     """
     spark = docs.sparkSession
     width = id_width(vocabulary)
-    rows = stored(encoded(docs, vocabulary, id_col, text_col), "encoded")
-    total = (rows.agg(F.sum("n")).first()[0] or 0) * width
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = max(1, math.ceil(total / file_bytes), min(cores, total // (_PER_TASK << 20)))
-    order = ["id", "crc", "n"]
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(files, "id", "hash").sortWithinPartitions("id", "hash").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
+            if out is None and b.num_rows:
                 fs, root = filesystem(folder)
                 fs.create_dir(root, recursive=True)
                 out = _Writer(fs, root, width, b.schema.field(0).type)
-            out.add(b.column(0), b.column(1).to_numpy(), b.column(3))
+            for first, last, ids in _encoded(b.column(1), vocabulary, width):
+                out.add(b.column(0).slice(first, last - first), ids)
         if out is not None:
             yield pa.RecordBatch.from_pylist([out.close(TaskContext.get().partitionId())], pa.schema([("name", pa.string()), ("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("width", pa.int32())]))
 

@@ -13,8 +13,11 @@ from rosterlight.llm import token_files
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 @pytest.fixture(scope="module")
