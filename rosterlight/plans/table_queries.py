@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import rules, scheduling, temporal, views
-from ..sources import html_tables, imports, sinks
+from ..sources import html_tables, imports, sinks, tables
 from ..sources.testviews import START, Views
 from ..streaming import adherence
 from . import applied, sync
@@ -253,8 +253,8 @@ def sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError("session expired")
 
     hours = v.sessions.select("session_id", "employee_id")
-    tables = {"hours": hours.where("session_id % 2 = 0"), "swaps": v.people}
-    after, status = sync.refreshed(spark, tables, [sync.Source("swaps", broken, ["e"], [F.col("e")]), sync.Source("hours", lambda: hours, ["session_id"], [F.col("employee_id")])], "2024-02-01")
+    before = {"hours": hours.where("session_id % 2 = 0"), "swaps": v.people}
+    after, status = sync.refreshed(spark, before, [sync.Source("swaps", broken, ["e"], [F.col("e")]), sync.Source("hours", lambda: hours, ["session_id"], [F.col("employee_id")])], "2024-02-01")
     n = lambda name: after[name].agg(F.count(F.lit(1)).alias(f"{name}_after"))
     return status.select("attempted_at", "ok", "error", F.col("rows")["hours"].alias("hours_rows"), F.col("rows")["swaps"].alias("swaps_rows")).crossJoin(n("hours")).crossJoin(n("swaps"))  # one row each
 
@@ -383,9 +383,9 @@ def new_level_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def swapped_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written, read, upserted into itself and swapped."""
     s, path = Views(spark, sf_dir).sessions.select("session_id"), scratch(spark, "table")
-    sinks.written(s.withColumn("version", F.lit(1)), path)
-    sinks.written(sinks.upserted(sinks.current(spark, path), s.where("session_id % 2 = 0").withColumn("version", F.lit(2)), ["session_id"], [F.desc("version")]), path)
-    return sinks.current(spark, path)
+    tables.written(s.withColumn("version", F.lit(1)), path)
+    tables.written(sinks.upserted(tables.current(spark, path), s.where("session_id % 2 = 0").withColumn("version", F.lit(2)), ["session_id"], [F.desc("version")]), path)
+    return tables.current(spark, path)
 
 
 @query(" SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type AS station, max(event_id) AS last_ticket FROM events GROUP BY ALL")
@@ -395,7 +395,16 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).parquet(path + "*").select(F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("station"), F.col("event_id").alias("last_ticket"))
     adherence.upserted_batches(rows, f"{state}/table", ["day", "station"], [F.desc("last_ticket")], f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return sinks.current(spark, f"{state}/table")
+    return tables.current(spark, f"{state}/table")
+
+
+@query(" SELECT ticket_id FROM tickets")
+def stream_ingested_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ticket arrives in one stream and, under another checkpoint, once more: the table holds it once."""
+    state = scratch(spark, "stream")
+    for run in ("first", "again"):
+        adherence.ingested_once(_ticket_stream(spark, sf_dir), f"{state}/table", ["ticket_id"], [F.col("created_at")], f"{state}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return tables.current(spark, f"{state}/table").select("ticket_id")
 
 
 def _drained(rows: DataFrame, spark: SparkSession) -> DataFrame:

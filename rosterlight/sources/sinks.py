@@ -1,58 +1,16 @@
 """Write semantics as DataFrame transformations: what a table holds after an insert, upsert, replacement or patch.
 
-Parquet has no MERGE, so a write reads the old table, merges, writes a new version and swaps (``written``); never the
-files it reads.
+Parquet has no MERGE, so a write reads the old table, merges and commits a new version (``tables``); never the files it
+reads.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.temporal import small
 
-_CURRENT = "current.txt"
-
-
-def _fs(spark: SparkSession, path: str) -> tuple[object, Callable[[str], object]]:
-    """The file system of a table and a maker of paths in it: any that Spark can write to."""
-    new = spark._jvm.org.apache.hadoop.fs.Path
-    return new(path).getFileSystem(spark._jsc.hadoopConfiguration()), new
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table that was last ``written`` to ``path``; None if there is none."""
-    fs, new = _fs(spark, path)
-    if not fs.exists(new(f"{path}/{_CURRENT}")):
-        return None
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{_CURRENT}').first()[0]}")
-
-
-def written(df: DataFrame, path: str, keep: int = 2) -> DataFrame:
-    """Writes ``df`` as the new version of the table at ``path`` and swaps it in; older versions than the last ``keep`` go.
-
-    ``df`` may be made from the current version: its files stay until the new one is whole, and a write that fails leaves
-    it in place.  The swap is the rename of a file that names the version.
-    """
-    spark = df.sparkSession
-    fs, new = _fs(spark, path)
-    held = sorted((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(new(path)) if s.getPath().getName().startswith("v-")) if fs.exists(new(path)) else []
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    mark = new(f"{path}/next-{version}")
-    out = fs.create(mark)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(new(f"{path}/{_CURRENT}"), False)
-    fs.rename(mark, new(f"{path}/{_CURRENT}"))
-    for _, old in held[: max(0, len(held) - keep + 1)]:
-        fs.delete(new(f"{path}/{old}"), True)
-    return spark.read.parquet(f"{path}/{version}")
-
-
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``."""
     return df.withColumn("n__", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n__ = 1").drop("n__")

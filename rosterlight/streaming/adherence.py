@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.temporal import small, with_until
-from ..sources.sinks import current, first_by, upserted, written
+from ..sources.tables import BUCKETS, inserted_into, upserted_into
 
 
 def hourly_adherence(tickets: DataFrame, sla: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -24,19 +24,32 @@ def hourly_adherence(tickets: DataFrame, sla: DataFrame, late: str = "2 hours")
 
 
 def once_each(tickets: DataFrame, late: str = "1 day") -> DataFrame:
-    """A stream without repeats of a row_hash within the watermark: the effect of insert-if-absent."""
+    """A stream without repeats of a row_hash within the watermark; ``ingested_once`` has no such limit."""
     return tickets.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["row_hash"])
 
 
-def upserted_batches(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str) -> DataStreamWriter:
+def ingested_once(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """A writer that adds to the table at ``table`` the rows of ``stream`` whose key it does not hold, however long ago that came.
+
+    A micro-batch meets the keys of the buckets that it touches, and writes only what is new.  The commit that adds a
+    batch also records its number, so a batch repeated after a crash, and a file that comes again, add nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        inserted_into(batch, table, keys, order, (checkpoint, number), buckets)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def upserted_batches(stream: DataFrame, table: str, keys: list[str], order: list[Column], checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
     """A writer that upserts each micro-batch of ``stream`` into the table at ``table``: one row per key, the first in ``order``.
 
-    A batch that is run again after a failure changes nothing: its rows lose or tie against themselves.
+    A micro-batch reads and writes the buckets that its keys touch, and its number is part of the commit: run again after
+    a failure it changes nothing.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        old = current(batch.sparkSession, table)
-        written(upserted(old, batch, keys, order) if old is not None else first_by(batch, keys, order), table)
+        upserted_into(batch, table, keys, order, (checkpoint, number), buckets)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 

@@ -1,6 +1,8 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from rosterlight.sources import sinks
+from rosterlight.sources import tables
 from rosterlight.sources.testviews import Views
 from rosterlight.streaming import adherence
 
@@ -43,8 +45,27 @@ def test_batches_are_upserted_and_a_repeated_batch_changes_nothing(spark, tmp_pa
     for checkpoint in ("c1", "c2"):  # the second run reads everything again
         q = adherence.upserted_batches(stream, str(tmp_path / "table"), ["key"], [F.desc("version")], str(tmp_path / checkpoint)).trigger(availableNow=True).start()
         q.awaitTermination()
-        got = {r.key: (r.version, r.value) for r in sinks.current(spark, str(tmp_path / "table")).collect()}
+        got = {r.key: (r.version, r.value) for r in tables.current(spark, str(tmp_path / "table")).collect()}
         assert got == {"a": (3, 5), "b": (1, 20), "c": (1, 40)}
     status = adherence.status_row([p if isinstance(p, dict) else {"numInputRows": p.numInputRows, "batchId": p.batchId} for p in q.recentProgress], "2025-05-05")
     assert status["ok"] and status["rows"] >= 5 and status["error"] == ""
     assert adherence.status_row([], "2025-05-05", "lost") == {"attempted_at": "2025-05-05", "ok": False, "error": "lost", "rows": 0, "last_batch": -1}
+
+
+def test_a_file_that_comes_again_after_a_week_adds_nothing(spark, tmp_path):
+    """Beyond any watermark, in the same stream and in a new one."""
+    rows = "row_hash string, created_at timestamp, n int"
+    put = lambda *r: spark.createDataFrame(list(r), rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    day = lambda d: dt.datetime(2024, 1, d)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(rows).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        adherence.ingested_once(stream, str(tmp_path / "table"), ["row_hash"], [F.col("n")], str(tmp_path / checkpoint), 4).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.row_hash, r.n) for r in tables.current(spark, str(tmp_path / "table")).collect())
+
+    put(("a", day(1), 1), ("b", day(1), 2), ("b", day(1), 3))
+    assert run("c1") == [("a", 1), ("b", 2)]
+    put(("c", day(9), 4))
+    put(("a", day(1), 5), ("b", day(1), 6))  # a week late
+    assert run("c1") == [("a", 1), ("b", 2), ("c", 4)]
+    assert run("c2") == [("a", 1), ("b", 2), ("c", 4)]
