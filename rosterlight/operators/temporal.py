@@ -7,12 +7,17 @@ other rows, and no bucket grows with the number of days.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a configuration table may be broadcast; it is counted, not assumed.
 SMALL_ROWS = 10_000
 
+#: Rows of a range that a prefix scan carries in one task, and the most ranges that it makes.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 65_536
+
 
 _COUNTED: dict[tuple[str, int], bool] = {}
 
@@ -59,15 +64,16 @@ def _number(c: Column, kind: str) -> Column:
     return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c.cast("long")
 
 
-def asof_by_value(left: DataFrame, right: DataFrame, at: Column, start: str) -> DataFrame:
-    """``asof_join`` without keys for a large ``right``: its rows are carried along the distinct values of ``at``, which then meet ``left``."""
+def asof_by_value(left: DataFrame, right: DataFrame, at: Column, start: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``asof_join`` without keys for a large ``right``: its rows are carried along the distinct values of ``at`` by a
+    prefix scan (``carried_by_range``), and the values then meet ``left`` in an equi-join.  Of rows with equal ``start`` one stays."""
     kind = dict(right.dtypes)[start]
     added = [c for c in right.columns if c not in left.columns]
     rows = left.alias("l").withColumn("at__", _number(at, kind))
     steps = right.select(_number(F.col(start), kind).alias("at__"), F.struct(*added).alias("v__")).where("at__ IS NOT NULL")
     values = steps.union(rows.select("at__", F.lit(None).cast(steps.schema["v__"].dataType)).where("at__ IS NOT NULL").distinct())
-    values = values.groupBy("at__").agg(F.max("v__").alias("v__")).withColumn("k__", F.lit(0))
-    held = carried_by_range(values, F.col("v__"), "at__", "k__", "got__").select("at__", "got__")
+    values = values.groupBy("at__").agg(F.max("v__").alias("v__"))
+    held = carried_by_range(values, F.col("v__"), "at__", None, "got__", range_rows).select("at__", "got__")
     return rows.join(held, "at__", "left").select(*left.columns, *[F.col(f"got__.{c}").alias(c) for c in added])
 
 
@@ -105,19 +111,50 @@ def carried(value: Column, order: str, keys: list[str]) -> Column:
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def carried_by_range(df: DataFrame, value: Column, order: str, key: str, name: str, width: int = 4096) -> DataFrame:
-    """``df`` with ``name``: the last non-null ``value`` of its key at or before a row, in the whole-number column ``order``.
+def range_bounds(df: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> list[float]:
+    """Ascending values of the number column ``order`` that cut ``df`` into ranges of about ``range_rows`` rows.
 
-    A key is cut into ranges of ``width`` places, so that one that holds most rows fills many tasks.  Only the last value
-    of each range goes through the window over a whole key; it fills the head of the ranges behind it.
+    Runs a job: rows are counted, and where one range is not enough, quantiles are taken from a sketch.  Any bounds give
+    right results; these give even tasks wherever the values lie.  Rows of one value stay together.
+    """
+    n = df.where(F.col(order).isNotNull()).count()
+    parts = min(MOST_RANGES, math.ceil(n / range_rows))
+    if parts <= 1:
+        return []
+    shares = F.split(F.lit(",".join(str(i / parts) for i in range(1, parts))), ",").cast("array<double>")
+    return sorted(set(df.agg(F.percentile_approx(order, shares, 10 * parts)).first()[0]))
+
+
+def range_number(c: Column, bounds: list[float], kind: str) -> Column:
+    """How many of the ascending ``bounds`` are at or below ``c``, by binary search in one constant array; 0 for a null."""
+    if not bounds:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= len(bounds)) & (F.get(held, n + step - 1) <= c), n + step).otherwise(n))
+
+
+def carried_by_range(df: DataFrame, value: Column, order: str, key: str | None, name: str, range_rows: int = RANGE_ROWS, descending: bool = False, bounds: list[float] | None = None) -> DataFrame:
+    """``df`` with ``name``: the last non-null ``value`` of its key at or before a row, in the number column ``order``.
+
+    A prefix scan in two levels.  ``order`` is cut into ranges of about equal numbers of rows (``range_bounds``, unless
+    they are given), so a key that holds most rows, and values that lie anywhere, fill many tasks alike.  Inside a range
+    the value is carried by a window; of each range only the last value goes on, and a window over one row a range and
+    key fills the heads of the ranges behind it.  Without ``key`` the table is one run.  ``descending`` carries the other
+    way.  Rows without an order are a range of their own, before the others.
     """
-    rows = df.withColumns({"value__": value, "range__": F.floor(F.col(order) / width)})
-    w = Window.partitionBy(key, "range__").orderBy(order)
-    own = rows.withColumn("own__", F.last("value__", ignorenulls=True).over(w))
-    ends = rows.groupBy(key, "range__").agg(F.max_by("value__", F.when(F.col("value__").isNotNull(), F.col(order))).alias("end__"))
-    before = Window.partitionBy(key).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
-    heads = ends.select(F.col(key).alias("key__"), F.col("range__").alias("of__"), F.last("end__", ignorenulls=True).over(before).alias("head__"))
-    got = own.join(heads, own[key].eqNullSafe(F.col("key__")) & own["range__"].eqNullSafe(F.col("of__")), "left")
+    bounds = range_bounds(df, order, range_rows) if bounds is None else bounds
+    direction = F.desc_nulls_last if descending else F.asc_nulls_first
+    number = F.when(F.col(order).isNotNull(), range_number(F.col(order), bounds, dict(df.dtypes)[order])).otherwise(-1)
+    rows = df.withColumns({"value__": value, "range__": number})
+    keys = [key] if key else []
+    own = rows.withColumn("own__", F.last("value__", ignorenulls=True).over(Window.partitionBy(*keys, "range__").orderBy(direction(order))))
+    pick = F.min_by if descending else F.max_by
+    at = F.when(F.col("value__").isNotNull(), F.coalesce(order, F.lit(0).cast(dict(df.dtypes)[order])))
+    ends = rows.groupBy(*keys, "range__").agg(pick("value__", at).alias("end__"))
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy(direction("range__")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select(*[F.col(k).alias("key__") for k in keys], F.col("range__").alias("of__"), F.last("end__", ignorenulls=True).over(before).alias("head__"))
+    got = own.join(heads, [own["range__"] == heads["of__"], *[own[k].eqNullSafe(heads["key__"]) for k in keys]], "left")
     return got.withColumn(name, F.coalesce("own__", "head__")).select(*df.columns, name)
 
 

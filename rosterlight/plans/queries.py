@@ -237,12 +237,6 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.carried_by_range(t, F.when(F.col("items") % 5 == 0, F.col("ticket_id")), "ticket_id", "station", "owner").select("ticket_id", "owner")
 
 
-@query(" SELECT ticket_id, last_value(CASE WHEN items % 5 = 0 THEN ticket_id END IGNORE NULLS) OVER (PARTITION BY station ORDER BY ticket_id) AS owner FROM tickets")
-def carry_forward_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``carry_forward`` by one window a station, for stations that fit a task."""
-    return Views(spark, sf_dir).tickets.select("ticket_id", temporal.carried(F.when(F.col("items") % 5 == 0, F.col("ticket_id")), "ticket_id", ["station"]).alias("owner"))
-
-
 _OPEN = """,
     have AS (SELECT shift_id, fills_level_id AS level_id, count(*) AS n FROM assignments GROUP BY ALL),
     open AS (SELECT r.shift_id, r.level_id, CAST(r.count - coalesce(h.n, 0) AS INTEGER) AS missing FROM requirements r LEFT JOIN have h USING (shift_id, level_id) WHERE r.count > coalesce(h.n, 0))"""

@@ -544,6 +544,15 @@ def as_of_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.asof_by_value(t.select("ticket_id", "items"), steps, F.col("l.items") * 100, "at").select("ticket_id", "step")
 
 
+@query(" SELECT t.ticket_id, (SELECT max(o.created_at) FROM tickets o WHERE o.created_at <= t.created_at - INTERVAL 90 MINUTE AND o.items % 4 = 1)::VARCHAR AS before FROM tickets t")
+def as_of_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of many timestamps an hour and a half before each of many others, in ranges of some thousand values."""
+    t = Views(spark, sf_dir).tickets
+    steps = t.where("items % 4 = 1").select("created_at", F.col("created_at").alias("before"))
+    got = temporal.asof_by_value(t.select("ticket_id", F.col("created_at").alias("at")), steps, F.col("l.at") - F.expr("INTERVAL '90' MINUTE"), "created_at", range_rows=5000)
+    return got.select("ticket_id", F.regexp_replace(F.col("before").cast("string"), r"(\.\d*?)0+$", "$1").alias("before"))
+
+
 @query(f" SELECT t.ticket_id, s.session_id FROM tickets t JOIN sessions s ON s.clock_in <= t.created_at AND t.created_at < s.clock_out AND s.employee_id % 3 = t.ticket_id % 3 WHERE t.created_at >= DATE '{START}'")
 def on_floor_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets meet the sessions of their own store only."""

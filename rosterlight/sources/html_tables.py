@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hours_total, title_case
+from ..operators.temporal import RANGE_ROWS, carried_by_range, range_bounds
 
 
 class _Tables(HTMLParser):
@@ -136,14 +137,25 @@ def hours_rows(pages: DataFrame, id_col: str, html_col: str, name: list[str], wo
     return cells.select(id_col, title_case(F.col("name")).alias("name"), hours_total(F.col("cell")).alias("hours")).where("hours IS NOT NULL AND name <> ''")
 
 
-def nearest(marks: DataFrame, heads: DataFrame, id_col: str, at: str, place: str, order: str, page: str) -> DataFrame:
-    """Each mark with the ``order`` of the head of its page nearest by place, the first of equals; marks of a page without heads are left out.
+def nearest(marks: DataFrame, heads: DataFrame, ids: str | list[str], at: str, place: str, order: str, page: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Each mark (its columns ``ids``) with the ``order`` of the head of its page nearest by place; of equally near ones the lowest.
 
-    The handful of headers of a page are folded into one array, which meets the page's marks in an equi-join.
+    Two prefix scans over the distinct places of heads and marks find the last head at or before each mark and the first
+    at or after it, whatever number of heads a page has.  Marks without a place, and marks of a page without heads, are
+    left out; heads without a place count for nothing.
     """
-    own = heads.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(place).alias("p")))).alias("heads__"))
-    best = F.array_min(F.transform("heads__", lambda h: F.struct(F.abs(h["p"] - F.col(at)).alias("d"), h["o"].alias("o"))))
-    return marks.join(own, page).select(id_col, best["o"].alias(order))
+    ids = [ids] if isinstance(ids, str) else ids
+    head = heads.where(F.col(place).isNotNull()).select(F.col(page).alias("page__"), F.col(place).cast("double").alias("x__"), F.col(order).alias("o__"))
+    mark = marks.where(F.col(at).isNotNull()).select(*ids, F.col(page).alias("page__"), F.col(at).cast("double").alias("x__"))
+    none = F.lit(None).cast(head.schema["o__"].dataType)
+    places = head.union(mark.select("page__", "x__", none).distinct()).groupBy("page__", "x__").agg(F.min("o__").alias("o__"))
+    value = F.when(F.col("o__").isNotNull(), F.struct("x__", "o__"))
+    bounds = range_bounds(places, "x__", range_rows)
+    both = carried_by_range(places, value, "x__", "page__", "before__", bounds=bounds)
+    both = carried_by_range(both, value, "x__", "page__", "after__", bounds=bounds, descending=True)
+    near = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.x__") - F.col("x__")).alias("d"), F.col(f"{side}.o__").alias("o")))
+    best = both.select("page__", "x__", F.least(near("before__"), near("after__"))["o"].alias(order)).where(F.col(order).isNotNull())
+    return mark.join(best, ["page__", "x__"]).select(*ids, order)
 
 
 def pickups(texts: DataFrame, names: DataFrame, marker: list[str], week_start: str) -> DataFrame:
@@ -152,11 +164,12 @@ def pickups(texts: DataFrame, names: DataFrame, marker: list[str], week_start: s
     Pages with fewer than two day headers give nothing.  A header's day is its rank by x.  One row per name and date.
     """
     t = F.trim("text")
+    across, down = Window.partitionBy("page").orderBy("x"), Window.partitionBy("page").orderBy("y", "name")
     heads = texts.where(t.rlike(r"(?i)^(sun|mon|tue|wed|thu|fri|sat)\w*,?\s*\d{1,2}$"))
-    heads = heads.groupBy("page").agg(F.sort_array(F.collect_list("x")).alias("heads")).where(F.size("heads") >= 2)
+    heads = heads.join(heads.groupBy("page").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "page").select("page", "x", (F.row_number().over(across) - 1).alias("day"))
     own = names.select(F.lower(F.trim("name")).alias("k"), "name").dropDuplicates(["k"])
-    rows = texts.join(own, F.lower(t) == F.col("k")).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("y", "name"))).alias("rows"))
-    marks = texts.where(F.exists(F.array(*map(F.lit, marker)), lambda m: F.lower("text").contains(m))).join(heads, "page").join(rows, "page")
-    day = F.array_min(F.transform("heads", lambda h, i: F.struct(F.abs(h - F.col("x")).alias("d"), i.alias("i"))))["i"]
-    who = F.array_min(F.transform("rows", lambda r, i: F.struct(F.abs(r["y"] - F.col("y")).alias("d"), i.alias("i"), r["name"].alias("name"))))["name"]
-    return marks.select("page", who.alias("name"), F.date_add(F.lit(week_start).cast("date"), day).alias("date")).distinct()
+    rows = texts.join(own, F.lower(t) == F.col("k")).select("page", "y", "name").withColumn("row", F.row_number().over(down))
+    marks = texts.where(F.exists(F.array(*map(F.lit, marker)), lambda m: F.lower("text").contains(m))).select("page", "x", "y").distinct()
+    day = nearest(marks, heads, ["page", "x", "y"], "x", "x", "day", "page")
+    who = nearest(day, rows, ["page", "day"], "y", "y", "row", "page").join(rows.select("page", "row", "name"), ["page", "row"])
+    return who.select("page", "name", F.date_add(F.lit(week_start).cast("date"), F.col("day")).alias("date")).distinct()

@@ -1,11 +1,14 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rosterlight.operators import ratings, rules, scheduling, temporal
 from rosterlight.plans import queries
+from rosterlight.sources import html_tables
 from rosterlight.sources.testviews import Views
 
 T = dt.datetime
@@ -186,10 +189,61 @@ def test_carry_crosses_ranges_and_covers_every_row(spark):
         last[k] = v if v is not None else last.get(k)
         want.add((i, k, last[k]))
     df = spark.createDataFrame(rows, "id long, k string, v long")
-    got = temporal.carried_by_range(df, F.col("v"), "id", "k", "owner", width=16).select("id", "k", "owner").collect()
+    got = temporal.carried_by_range(df, F.col("v"), "id", "k", "owner", range_rows=16).select("id", "k", "owner").collect()
     assert len(got) == len(rows) and {tuple(r) for r in got} == want
 
 
+def test_carry_goes_both_ways(spark):
+    rows = [(i * i / 7, "k", i if i % 5 == 2 else None) for i in range(200)]
+    df = spark.createDataFrame([*rows, (None, "k", None), (None, "j", 9)], "at double, k string, v long")
+    got = {r.at: r.o for r in temporal.carried_by_range(df, F.col("v"), "at", "k", "o", range_rows=20, descending=True).where("k = 'k'").collect()}
+    assert got == {None: 2, **{at: next((v for _, _, v in rows[i:] if v is not None), None) for i, (at, _, _) in enumerate(rows)}}
+
+
+def test_range_numbers_count_the_bounds(spark):
+    df = spark.createDataFrame([(x,) for x in (None, -3.0, 0.0, 1.0, 1.5, 99.0)], "x double")
+    for bounds in ([], [1.0], [0.0, 1.0, 2.0], [float(i) for i in range(1000)]):
+        got = {r.x: r.n for r in df.select("x", temporal.range_number(F.col("x"), bounds, "double").alias("n")).collect()}
+        assert got == {x: sum(b <= x for b in bounds) if x is not None else 0 for x in got}
+
+
+def test_as_of_of_two_large_timestamp_sides_fills_many_tasks_evenly(spark):
+    """Most timestamps lie in one hour of a year; microseconds are all distinct."""
+    rnd = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    when = sorted({start + dt.timedelta(microseconds=rnd.randrange(3_600_000_000 if rnd.random() < 0.9 else 31_000_000_000_000)) for _ in range(20_000)})
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(when[::2])], "i long, t timestamp_ntz")
+    right = spark.createDataFrame([(t, i) for i, t in enumerate(when[1::2])], "from_ timestamp_ntz, v long")
+    got = {r.i: r.v for r in temporal.asof_by_value(left, right, F.col("l.t"), "from_", range_rows=1000).collect()}
+    assert got == {i: i - 1 if i else None for i in range(len(when[::2]))}
+    values = left.select(F.unix_micros(F.col("t").cast("timestamp")).alias("at")).union(right.select(F.unix_micros(F.col("from_").cast("timestamp"))))
+    bounds = temporal.range_bounds(values, "at", 1000)
+    sizes = [r["count"] for r in values.groupBy(temporal.range_number(F.col("at"), bounds, "bigint")).count().collect()]
+    assert 18 <= len(sizes) <= 21 and max(sizes) < 1500  # rows of a task; the only window without a key has one row for each
+
+
+def test_the_plan_of_a_scan_has_windows_over_ranges_only(spark):
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
+    plan = temporal.carried_by_range(df, F.col("v"), "id", None, "o", range_rows=500)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+    assert len(windows) == 2
+    assert sum("end__" in w for w in windows) == 1  # over the ends of ranges
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nearest_head_of_a_page_with_very_many(spark):
+    rng = np.random.default_rng(4)
+    place, at = np.round(rng.uniform(0, 5000, 100_000), 2), np.round(rng.uniform(-10, 5010, 3000), 2)
+    heads = spark.createDataFrame(pd.DataFrame({"page": 1, "o": np.arange(len(place)), "x": place})).union(spark.createDataFrame([(2, 7, 1.0), (2, 5, 3.0), (2, 4, None), (3, 1, 0.0)], "page long, o long, x double"))
+    marks = spark.createDataFrame(pd.DataFrame({"m": np.arange(len(at)), "page": 1, "at": at})).union(spark.createDataFrame([(5000, 2, 2.0), (5001, 2, 1.5), (5002, 4, 1.0), (5003, 2, None)], "m long, page long, at double"))
+    got = {r.m: r.o for r in html_tables.nearest(marks, heads, "m", "at", "x", "o", "page", range_rows=9000).collect()}
+    want = {}
+    for m, a in enumerate(at):
+        d = np.abs(place - a)
+        want[m] = int(np.flatnonzero(d == d.min())[0])
+    assert got == {**want, 5000: 5, 5001: 7}
+
+
 def test_carry_forward_has_an_owner_row_for_every_ticket(spark):
     got = queries.QUERIES["carry_forward"](spark, "/root/testdata/sf0.01")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
