@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import asof_join, point_in_interval, small
@@ -91,7 +91,9 @@ def ratings(tickets: DataFrame, sessions: DataFrame, breaks: DataFrame, levels:
 
 
 def ranked(rated: DataFrame) -> DataFrame:
-    return rated.orderBy(F.desc("plus_minus"), "employee_id")
+    """``rated`` with its place, the best first, of equals the lower id; one row a person, so one task numbers them."""
+    order = [F.desc("plus_minus"), F.col("employee_id")]
+    return rated.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy("place")
 
 
 def what_if(tickets: DataFrame, target: int, start: str, end: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import asof_join, day_runs, merged_windows, small
@@ -20,13 +20,44 @@ def conflicting(a: str, b: str, week: Column, rest: int) -> Column:
     return (at(b, "start_min") < at(a, "end_min") + pad) & (at(a, "start_min") < at(b, "end_min") + pad)
 
 
+def shared_store(*tables: DataFrame) -> list[str]:
+    """The store key, if all tables have one: people and shifts of different stores then never meet."""
+    return ["store"] if all("store" in t.columns for t in tables) else []
+
+
+def conflict_spans(shifts: DataFrame, rest: int = 480) -> DataFrame:
+    """For each shift the later shifts that nobody can do beside it, as two runs of places: one row a shift, no pairs.
+
+    (store,) week, shift_id, place, same_until, next_from, next_until.  Shifts of a week (of a store) are numbered in order
+    of date, start and id.  Those that clash with a shift and come after it are the ones of its date up to
+    ``same_until``, which start before it ends, and those of other dates from ``next_from`` to ``next_until``, which start
+    less than ``rest`` minutes after it.  One sweep over starts, ends and padded ends counts the starts before each end.
+    """
+    keys = [*shared_store(shifts), "week"]
+    start, end = absolute(F.col("week"), F.col("date"), F.col("start_min")), absolute(F.col("week"), F.col("date"), F.col("end_min"))
+    own = Window.partitionBy(*keys)
+    rows = shifts.select(*keys, "date", "shift_id", start.alias("s"), end.alias("e"), F.row_number().over(own.orderBy("date", "start_min", "shift_id")).alias("place"))
+    rows = rows.withColumn("last", F.max("place").over(Window.partitionBy(*keys, "date")))
+    event = lambda at, is_start, role: F.struct(at.alias("at"), F.lit(is_start).alias("is_start"), F.lit(role).alias("role"))
+    events = rows.withColumn("x", F.explode(F.array(event(F.col("s"), 1, "start"), event(F.col("e"), 0, "same"), event(F.col("e") + rest, 0, "next"))))
+    # an end at a start's minute comes first: the two touch and do not overlap
+    counted = events.withColumn("before", F.sum("x.is_start").over(own.orderBy("x.at", "x.is_start").rowsBetween(Window.unboundedPreceding, 0)))
+    of = lambda role: F.max(F.when(F.col("x.role") == role, F.col("before"))).cast("int")
+    spans = counted.groupBy(*keys, "shift_id", "place", "last").agg(of("same").alias("same"), of("next").alias("next_until"))
+    return spans.select(*keys, "shift_id", "place", F.least("same", "last").alias("same_until"), (F.col("last") + 1).alias("next_from"), "next_until")
+
+
 def conflict_edges(shifts: DataFrame, rest: int = 480) -> DataFrame:
-    """a, b: pairs of shifts of one week (a < b) that nobody can do both.  Pads stay below a day, so neighbours in days suffice."""
-    near = shifts.withColumn("day", F.explode(F.array("date", F.date_add("date", 1))))
-    ours = shifts.withColumn("day", F.explode(F.array("date", F.date_add("date", 1))))
-    pairs = near.alias("a").join(ours.alias("b"), (F.col("a.day") == F.col("b.day")) & (F.col("a.week") == F.col("b.week")) & (F.col("a.shift_id") < F.col("b.shift_id")))
-    hit = pairs.where(conflicting("a", "b", F.col("a.week"), rest))
-    return hit.select(F.col("a.shift_id").alias("a"), F.col("b.shift_id").alias("b")).distinct()
+    """a, b: pairs of shifts of one week (a < b; of one store, where shifts have one) that nobody can do both.
+
+    The spans of ``conflict_spans`` written out: an equi-join by place, which makes no pair that is not in the result.
+    """
+    spans = conflict_spans(shifts, rest)
+    keys = [*shared_store(shifts), "week"]
+    run = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    later = F.concat(run(F.col("place") + 1, F.col("same_until")), run(F.col("next_from"), F.col("next_until")))
+    pairs = spans.select(*keys, F.col("shift_id").alias("x"), F.explode(later).alias("place")).join(spans.select(*keys, "place", F.col("shift_id").alias("y")), [*keys, "place"])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def entitled(roster: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,10 +92,12 @@ def available_pairs(pairs: DataFrame, availability: DataFrame, time_off: DataFra
 def feasible_pairs(employees: DataFrame, shifts: DataFrame, requirements: DataFrame, availability: DataFrame, time_off: DataFrame, manual: DataFrame, rest: int = 480) -> DataFrame:
     """employee_id, shift_id, level_id that a solver may use: level wanted, available, no clash with a manual pick.
 
-    ``employees`` has their level_id of the week; ``manual`` the manual assignments (employee_id, shift_id).
+    ``employees`` has their level_id of the week; ``manual`` the manual assignments (employee_id, shift_id).  Where shifts
+    and employees both have a store, people meet the shifts of their own store only.
     """
+    store = shared_store(shifts, employees)
     wanted = requirements.where(F.col("count") > 0).select("shift_id", "level_id").distinct()
-    pairs = shifts.join(wanted, "shift_id").join(employees.where("active").select("employee_id", "level_id"), "level_id")
+    pairs = shifts.join(wanted, "shift_id").join(employees.where("active").select("employee_id", "level_id", *store), ["level_id", *store])
     pairs = available_pairs(pairs, availability, time_off)
     picked = manual.join(shifts, "shift_id")
     clash = (F.col("s.employee_id") == F.col("m.employee_id")) & (F.col("s.week") == F.col("m.week")) & ((F.col("s.shift_id") == F.col("m.shift_id")) | conflicting("s", "m", F.col("s.week"), rest))
@@ -140,17 +173,19 @@ def suggestions(slots: DataFrame, shifts: DataFrame, employees: DataFrame, level
     Hard exclusions: inactive, level that does not count or is lower, on the shift already, time off, clash with an own
     shift.  Flags: 0 covering down, 1 overtime of week or day, 2 too many days in a row, 3 outside availability; softness
     is the highest flag, -1 without any, and ``reason`` joins what they say.  ``employees`` has name, active, level_id and
-    max_week_minutes; ``ratings`` plus_minus and tickets (null and 0 for who has none).  In order of slot, softness,
-    rating (null as 0, best first) and id.
+    max_week_minutes; ``ratings`` plus_minus and tickets (null and 0 for who has none).  Where shifts and employees both
+    have a store, only people of the slot's store are asked.  In order of slot, softness, rating (null as 0, best first)
+    and id; ``place`` numbers the candidates of a slot in that order.
     """
+    store = shared_store(shifts, employees)
     lv = levels.select(F.col("level_id"), "level_name", "rank", "counts_for_rating")
     people = employees.where("active").join(small(lv), "level_id").where("counts_for_rating")
-    people = people.select("employee_id", F.col("name").alias("employee_name"), F.col("level_id").alias("own_level"), "level_name", F.col("rank").alias("own_rank"), "max_week_minutes")
+    people = people.select(*store, "employee_id", F.col("name").alias("employee_name"), F.col("level_id").alias("own_level"), "level_name", F.col("rank").alias("own_rank"), "max_week_minutes")
     open_ = slots.join(shifts, "shift_id").join(small(lv.select("level_id", "rank")), "level_id").withColumn("minutes", F.col("end_min") - F.col("start_min"))
     # at most as many ranks as levels: an equi-join on every rank that covers the slot's
     ranks = lv.select(F.col("rank").alias("own_rank")).distinct()
     reach = open_.join(small(ranks), F.col("own_rank") >= F.col("rank"))
-    pairs = reach.join(people, "own_rank").where((F.col("own_level") == F.col("level_id")) | (F.col("own_rank") > F.col("rank")))
+    pairs = reach.join(people, ["own_rank", *store]).where((F.col("own_level") == F.col("level_id")) | (F.col("own_rank") > F.col("rank")))
     mine = assignments.join(shifts, "shift_id").select("employee_id", "shift_id", "week", "date", "start_min", "end_min")
     clash = (F.col("p.employee_id") == F.col("m.employee_id")) & (F.col("p.week") == F.col("m.week")) & ((F.col("p.shift_id") == F.col("m.shift_id")) | conflicting("m", "p", F.col("p.week"), rest))
     pairs = free_pairs(pairs, time_off).alias("p").join(mine.alias("m"), clash, "left_anti")
@@ -179,4 +214,6 @@ def suggestions(slots: DataFrame, shifts: DataFrame, employees: DataFrame, level
     rated = ratings.select("employee_id", F.col("plus_minus").alias("rating"), "tickets")
     out = pairs.withColumns({"softness": softness, "reason": reason}).join(rated, "employee_id", "left")
     out = out.select("shift_id", "level_id", "employee_id", "employee_name", "level_name", "softness", "reason", "run_days", "rating", F.coalesce("tickets", F.lit(0)).cast("long").alias("tickets"))
-    return out.orderBy("shift_id", "level_id", "softness", F.desc(F.coalesce("rating", F.lit(0.0))), "employee_id")
+    order = ["softness", F.desc(F.coalesce("rating", F.lit(0.0))), "employee_id"]
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy("shift_id", "level_id").orderBy(*order)))
+    return out.orderBy("shift_id", "level_id", *order)

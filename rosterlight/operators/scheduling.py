@@ -21,14 +21,15 @@ def solved_weeks(candidates: DataFrame, shifts: DataFrame, requirements: DataFra
     The objective is 1e6 for each fill, plus the rating in tenths times the shift's demand weight, less everybody's distance
     from their target minutes.  ``bound`` is a value that no plan exceeds; is_optimal says that the plan reaches it.  A
     part of a group that shares no person and no slot with others is searched alone, exactly up to a number of nodes.
-    ``shifts`` may have a store; groups are then those of a store, and people and slots of stores are never mixed.
+    ``conflicts`` are the ``conflict_spans`` of the shifts.  ``shifts`` may have a store; groups are then those of a store,
+    and people and slots of stores are never mixed.
     """
     store = [c for c in ("store",) if c in shifts.columns]
     keys = [*store, "week", "level_id"]
     rated = ratings.select("employee_id", F.col("plus_minus").alias("rating"))
     size = requirements.groupBy("shift_id", "level_id").agg(F.sum("count").alias("cap"))
     have = manual.groupBy("shift_id", F.col("fills_level_id").alias("level_id")).agg(F.count(F.lit(1)).alias("filled"))
-    clash = conflicts.select(F.col("a").alias("shift_id"), F.col("b").alias("other")).union(conflicts.select("b", "a")).groupBy("shift_id").agg(F.collect_set("other").alias("clash"))
+    clash = conflicts.select("shift_id", F.struct("place", "same_until", "next_from", "next_until").alias("clash"))
     fixed = manual.join(shifts, "shift_id").groupBy("employee_id", "week").agg(F.collect_list(F.struct(F.datediff("date", "week").alias("d"), (F.col("end_min") - F.col("start_min")).alias("m"))).alias("fixed"))
     past = by_week(history, max_consecutive).groupBy("employee_id", "week").agg(F.collect_set(F.datediff("day", "week")).alias("past"))
     rows = (
@@ -62,7 +63,7 @@ def solved_weeks(candidates: DataFrame, shifts: DataFrame, requirements: DataFra
                     past = set(map(int, r["past"])) if r["past"] is not None else set()
                     people[r["employee_id"]] = Person(max(int(r["max_week_minutes"]), total), int(r["target"]), {d: max(max_day, m) for d, m in day.items()}, set(day), past, total, dict(day))
             room = {r["shift_id"]: int(r["room"]) for r in own}
-            clashes = {r["shift_id"]: set(r["clash"]) if r["clash"] is not None else set() for r in own}
+            clashes = {r["shift_id"]: tuple(r["clash"][k] for k in ("place", "same_until", "next_from", "next_until")) for r in own if r["clash"] is not None}
             week = Week([Pick(r["employee_id"], r["shift_id"], int(r["d"]), int(r["m"]), int(r["quality"])) for r in own], people, room, clashes, max_day, max_consecutive)
             plan, score, top = best_week(week)
             picks += [{"employee_id": p.employee, "shift_id": p.shift} for p in plan]

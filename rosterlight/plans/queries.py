@@ -54,7 +54,7 @@ def _ratings(v: Views) -> DataFrame:
     return ratings.ratings(v.tickets, v.sessions, v.breaks, v.levels, v.employee_levels, v.sla, START, END)
 
 
-@query(f"{_RATED} SELECT * FROM rated")
+@query(f"{_RATED} SELECT *, CAST(row_number() OVER (ORDER BY plus_minus DESC, employee_id) AS INTEGER) AS place FROM rated")
 def rating_plus_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.ranked(_ratings(Views(spark, sf_dir)))
 
@@ -167,9 +167,43 @@ _EDGES = """,
               AND y.s < x.e + CASE WHEN x.date = y.date THEN 0 ELSE 480 END AND x.s < y.e + CASE WHEN x.date = y.date THEN 0 ELSE 480 END)"""
 
 
-@query(f"{_EDGES} SELECT * FROM edges")
+#: Orders as shifts: a store by customer, a start by order number.  They grow with the tables.
+_ORDER_SHIFTS = """,
+    oshifts AS (SELECT o_orderkey AS shift_id, o_custkey % 40 AS store, date_trunc('week', o_orderdate)::DATE AS week, CAST(o_orderdate AS DATE) AS date, CAST(300 + o_orderkey * 37 % 900 AS INTEGER) AS start_min,
+                CAST(300 + o_orderkey * 37 % 900 + 120 + o_orderkey % 5 * 60 AS INTEGER) AS end_min, o_orderstatus AS status FROM orders)"""
+
+
+def order_shifts(v: Views) -> DataFrame:
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    start = 300 + key * 37 % 900
+    return v.table("orders").select(
+        key.alias("shift_id"), (F.col("o_custkey") % 40).alias("store"), F.date_trunc("week", day).cast("date").alias("week"), day.alias("date"),
+        start.cast("int").alias("start_min"), (start + 120 + key % 5 * 60).cast("int").alias("end_min"), F.col("o_orderstatus").alias("status"),
+    )
+
+
+_ORDER_EDGES = _EDGES.replace("FROM shifts", "FROM oshifts").replace("x.week = y.week AND", "x.week = y.week AND x.store = y.store AND")
+
+
+@query(f"{_ORDER_SHIFTS}{_ORDER_EDGES} SELECT * FROM edges")
 def shift_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.conflict_edges(Views(spark, sf_dir).shifts)
+    """Pairs of shifts of a store and week that nobody can do both."""
+    return rules.conflict_edges(order_shifts(Views(spark, sf_dir)))
+
+
+@query(f"""{_ORDER_SHIFTS}{_ORDER_EDGES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY store, week ORDER BY date, start_min, shift_id) AS place FROM oshifts)
+    SELECT n.store, n.week, n.shift_id, CAST(place AS INTEGER) AS place, (SELECT count(*) FROM edges WHERE a = n.shift_id OR b = n.shift_id) AS clashes FROM numbered n""", dates=("week",))
+def conflict_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shift with its place and with how many it clashes: those of its own runs, and those in whose runs it stands."""
+    spans = rules.conflict_spans(order_shifts(Views(spark, sf_dir)))
+    run = lambda low, high: F.greatest(high - low + 1, F.lit(0))
+    later = spans.select("store", "week", "shift_id", "place", (run(F.col("place") + 1, F.col("same_until")) + run(F.col("next_from"), F.col("next_until"))).alias("n"))
+    mark = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("n"))
+    edge = lambda low, high: spans.where(low <= high).select("store", "week", F.explode(F.array(mark(low, 1), mark(high + 1, -1))).alias("x"))
+    marks = edge(F.col("place") + 1, F.col("same_until")).union(edge(F.col("next_from"), F.col("next_until")))
+    both = marks.select("store", "week", "x.at", "x.n", F.lit(None).cast("long").alias("shift_id"), F.lit(0).alias("later")).union(later.select("store", "week", F.col("place").alias("at"), F.lit(0).alias("n"), "shift_id", F.col("n").alias("later")))
+    open_ = F.sum("n").over(Window.partitionBy("store", "week").orderBy("at"))
+    return both.select("store", "week", "shift_id", F.col("at").cast("int").alias("place"), (open_ + F.col("later")).alias("clashes")).where("shift_id IS NOT NULL")
 
 
 _FEASIBLE = f"""{_CAN}{_EDGES},
@@ -300,7 +334,8 @@ def warning_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(CASE WHEN away THEN 3 WHEN run_days > 6 THEN 2 WHEN per_week OR per_day THEN 1 WHEN down THEN 0 ELSE -1 END AS INTEGER) AS softness,
            coalesce(nullif(concat_ws('; ', CASE WHEN down THEN 'Higher level covering down' END, CASE WHEN per_week THEN 'Would exceed their weekly hours cap (overtime)' END, CASE WHEN per_day THEN 'Would exceed 8h that day (overtime)' END,
              CASE WHEN run_days > 6 THEN 'Would be consecutive day #' || run_days || ' (limit 6)' END, CASE WHEN away THEN 'Outside their submitted availability' END), ''), 'Eligible now (schedule changed since last solve)') AS reason,
-           run_days, r.plus_minus AS rating, coalesce(r.tickets, 0) AS tickets
+           run_days, r.plus_minus AS rating, coalesce(r.tickets, 0) AS tickets, CAST(row_number() OVER (PARTITION BY f.shift_id, f.level_id
+             ORDER BY CASE WHEN away THEN 3 WHEN run_days > 6 THEN 2 WHEN per_week OR per_day THEN 1 WHEN down THEN 0 ELSE -1 END, coalesce(r.plus_minus, 0) DESC, f.employee_id) AS INTEGER) AS place
     FROM flags f JOIN levels l ON l.level_id = f.own_level LEFT JOIN rated r USING (employee_id)"""
 )
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,7 +457,7 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _assigned(v: Views) -> DataFrame:
     manual = v.assignments.where("manual")
     weights = demand.shift_weights(v.shifts, demand.hourly_averages(v.tickets))
-    return scheduling.assign_weeks(_feasible(v), v.shifts, v.requirements, v.employees, rules.conflict_edges(v.shifts), _worked_before(v), _ratings(v), weights, manual)
+    return scheduling.assign_weeks(_feasible(v), v.shifts, v.requirements, v.employees, rules.conflict_spans(v.shifts), _worked_before(v), _ratings(v), weights, manual)
 
 
 def _worked_before(v: Views) -> DataFrame:

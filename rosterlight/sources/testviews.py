@@ -19,6 +19,7 @@ WEEKS = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22"]
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         self.events = ev
         self.tickets = ev.select(

@@ -167,13 +167,66 @@ def test_weeks_keep_days_in_a_row_and_stores_apart(spark):
     history = spark.createDataFrame([(1, monday - dt.timedelta(days=k)) for k in (1, 2)], "employee_id long, day date")
     none = spark.createDataFrame([], "shift_id int, employee_id long, fills_level_id int")
     rated, weights = spark.createDataFrame([], "employee_id long, plus_minus double"), spark.createDataFrame([], "shift_id int, weight int")
-    got = scheduling.assign_weeks(candidates, shifts, need, people, rules.conflict_edges(shifts.drop("store")), history, rated, weights, none).collect()
+    got = scheduling.assign_weeks(candidates, shifts, need, people, rules.conflict_spans(shifts), history, rated, weights, none).collect()
     worked = {s: sorted((r.shift_id % 10) for r in got if r.store == s) for s in ("s1", "s2")}
     assert all(r.is_optimal for r in got) and len(worked["s1"]) == 6 and len(worked["s2"]) == 6
     runs = [-2, -1, *worked["s1"]]
     assert max(sum(d - k in runs for k in range(7)) for d in range(7)) <= 6 and worked["s1"] != list(range(6))
 
 
+def random_shifts(spark, n, stores, seed, busy=1440):
+    rnd = random.Random(seed)
+    monday = dt.date(2025, 9, 1)
+    rows = []
+    for i in range(n):
+        day, start = rnd.randrange(10), rnd.randrange(0, busy)
+        rows.append((i, rnd.randrange(stores), monday + dt.timedelta(days=day - day % 7), monday + dt.timedelta(days=day), start, min(1440, start + rnd.randrange(1, 600))))
+    return rows, spark.createDataFrame(rows, "shift_id int, store int, week date, date date, start_min int, end_min int")
+
+
+@pytest.mark.parametrize(("rest", "seed"), [(480, 1), (0, 2), (1439, 3), (2000, 4)])
+def test_conflicts_equal_a_look_at_every_pair(spark, rest, seed):
+    rows, df = random_shifts(spark, 120, 2, seed)
+    for stored in (df, df.drop("store")):
+        want = set()
+        for a in rows:
+            for b in rows:
+                if a[0] < b[0] and a[2] == b[2] and (a[1] == b[1] or "store" not in stored.columns):
+                    s, e, t, u = ((x[3] - x[2]).days * 1440 + m for x in (a, b) for m in x[4:])
+                    pad = 0 if a[3] == b[3] else rest
+                    if t < e + pad and s < u + pad:
+                        want.add((a[0], b[0]))
+        got = [tuple(r) for r in rules.conflict_edges(stored, rest).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_conflict_spans_are_one_row_a_shift_however_many_clash(spark):
+    """All 2,000 shifts of a day clash with each other: 2,000 rows, and no join in the plan."""
+    day = dt.date(2025, 9, 1)
+    df = spark.createDataFrame([(i, day, day, 600 + i % 60, 900) for i in range(2000)], "shift_id int, week date, date date, start_min int, end_min int")
+    spans = rules.conflict_spans(df)
+    assert spans.count() == 2000 and "Join" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    assert spans.where("same_until = 2000").count() == 2000
+    assert rules.conflict_edges(df).count() == 1999 * 1000
+
+
+def test_people_meet_the_shifts_of_their_own_store(spark):
+    _, shifts = random_shifts(spark, 60, 3, 7)
+    need = shifts.select("shift_id", F.lit(1).alias("level_id"), F.lit(1).alias("count"))
+    people = spark.createDataFrame([(e, True, 1, e % 3, f"P{e}", 2400) for e in range(9)], "employee_id long, active boolean, level_id int, store int, name string, max_week_minutes int")
+    windows = spark.createDataFrame([], "employee_id long, weekday int, start_min int, end_min int")
+    off = spark.createDataFrame([], "employee_id long, start_date date, end_date date")
+    none = spark.createDataFrame([], "employee_id long, shift_id int, fills_level_id int")
+    pairs = rules.feasible_pairs(people, shifts, need, windows, off, none.drop("fills_level_id"))
+    store = {r.shift_id: r.store for r in shifts.collect()}
+    assert {(r.employee_id, r.shift_id) for r in pairs.collect()} == {(e, s) for e in range(9) for s in store if e % 3 == store[s]}
+    levels = spark.createDataFrame([(1, "B2", 50, True)], "level_id int, level_name string, rank int, counts_for_rating boolean")
+    rated = spark.createDataFrame([(4, 2.5, 7)], "employee_id long, plus_minus double, tickets long")
+    got = rules.suggestions(need.select("shift_id", "level_id"), shifts, people, levels, none, windows, off, spark.createDataFrame([], "employee_id long, day date"), rated).collect()
+    assert {(r.employee_id, r.shift_id) for r in got} == {(e, s) for e in range(9) for s in store if e % 3 == store[s]}
+    assert {(r.employee_id, r.place) for r in got if store[r.shift_id] == 1} == {(4, 1), (1, 2), (7, 3)}
+
+
 @pytest.mark.parametrize("most", [0, 1, 6, 7, 15])
 def test_history_meets_the_weeks_it_can_touch(spark, most):
     days = [dt.date(2025, 9, 1) + dt.timedelta(days=k) for k in range(9)]
