@@ -12,18 +12,12 @@ Tables = dict[str, DataFrame]
 
 
 def _people(employees: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The employees after an import, and the incoming rows (name, payroll_id, ...) with employee_id and found_by.
-
-    A name is looked up as it is, then the payroll id; who is found by neither is new.  A payroll id fills a blank one.
-    """
-    who = sinks.resolved(incoming.select("name", "payroll_id").distinct(), employees)
-    who = who.withColumn("employee_id", F.coalesce(F.col("employee_id").cast("long"), sinks.surrogate(F.col("name"))))
-    fill = who.where("payroll_id IS NOT NULL").groupBy("employee_id").agg(F.min("payroll_id").alias("new_id"))
-    old = employees.join(fill, "employee_id", "left").withColumn("payroll_id", F.coalesce("payroll_id", "new_id")).drop("new_id")
-    born = who.where("found_by = 'new'").groupBy("employee_id").agg(F.min("name").alias("name"), F.min("payroll_id").alias("payroll_id"))
-    ids = who.select(F.col("name").alias("n__"), F.col("payroll_id").alias("p__"), "employee_id", "found_by")
-    met = incoming.join(ids, (F.col("name") == F.col("n__")) & F.col("payroll_id").eqNullSafe(F.col("p__"))).drop("n__", "p__")
-    return old.unionByName(born, allowMissingColumns=True), met
+    """The employees after an import of rows (name, payroll_id, file, line_no), and each name with employee_id and found_by."""
+    who = sinks.identified(incoming, employees, ["file", "line_no"])
+    fill = who.where("found_by = 'name' AND fills IS NOT NULL").select("employee_id", "fills")
+    old = employees.join(fill, "employee_id", "left").withColumn("payroll_id", F.coalesce("payroll_id", "fills")).drop("fills")
+    born = who.where("found_by = 'new'").select("employee_id", "name", F.col("fills").alias("payroll_id"))
+    return old.unionByName(born, allowMissingColumns=True), who.drop("fills")
 
 
 def timesheet_import(tables: Tables, parsed: Tables) -> tuple[Tables, DataFrame]:
@@ -36,7 +30,7 @@ def timesheet_import(tables: Tables, parsed: Tables) -> tuple[Tables, DataFrame]
     """
     out = dict(tables)
     out["employees"], known = _people(tables["employees"], parsed["people"])
-    ids = known.select("name", "employee_id").distinct()
+    ids = known.select("name", "employee_id")
     counts = F.col("level_name") != "Training"
     names = parsed["sessions"].select(F.col("role").alias("level_name"))
     out["levels"] = sinks.with_new_names(tables["levels"], names, "level_name", "level_id", {"rank": F.lit(0), "counts_for_rating": counts})
@@ -61,12 +55,15 @@ def team_import(tables: Tables, team: DataFrame, today: str, start: str = "2000-
     """``tables`` (employees with location, levels, employee_levels, locations) after a team export, and its report.
 
     Locations of every row are registered, that of the named row is applied.  A role sets the level of who has none by
-    ``today``, from ``start`` on; the level of others is kept and counted.  The report is one row: created, updated,
-    new_levels (sorted), additional_locations_skipped, levels_kept_unchanged.
+    ``today``, from ``start`` on; the level of others is kept and counted.  A name that its first row finds by payroll id
+    stays that person's in the rest of the upload.  The report is one row: created, updated, new_levels (sorted),
+    additional_locations_skipped, levels_kept_unchanged.
     """
     out = dict(tables)
     rows = team.where("name IS NOT NULL")
-    out["employees"], known = _people(tables["employees"], rows)
+    below = rows.where("named_payroll_id IS NULL AND payroll_id IS NOT NULL").select("name", "payroll_id", "file", F.col("payroll_line").alias("line_no"))
+    out["employees"], who = _people(tables["employees"], rows.select("name", F.col("named_payroll_id").alias("payroll_id"), "file", "line_no").union(below))
+    known = rows.join(who, "name")
     here = known.where("location IS NOT NULL").groupBy("employee_id").agg(F.min("location").alias("l__"))
     out["employees"] = out["employees"].join(here, "employee_id", "left").withColumn("location", F.coalesce("l__", "location")).drop("l__")
     places = rows.select("location").union(rows.select(F.explode("other_locations")))
@@ -78,7 +75,8 @@ def team_import(tables: Tables, team: DataFrame, today: str, start: str = "2000-
     rise = given.join(out["levels"].select("level_id", "level_name"), "level_name").select("employee_id", "level_id", F.lit(start).cast("date").alias("effective_from"))
     out["employee_levels"] = tables["employee_levels"].unionByName(rise)
     fresh = given.select("level_name").distinct().join(tables["levels"].select("level_name"), "level_name", "left_anti").agg(F.sort_array(F.collect_set("level_name")).alias("new_levels"))
-    people = known.select("employee_id", "found_by").distinct().agg(F.count_if(F.col("found_by") == "new").alias("created"), F.count_if(F.col("found_by") != "new").alias("updated"))
+    born = who.agg(F.count_if(F.col("found_by") == "new").alias("created"))
+    people = rows.agg(F.count(F.lit(1)).alias("n__")).crossJoin(born).select("created", (F.col("n__") - F.col("created")).alias("updated"))  # one row each
     more = rows.agg(F.coalesce(F.sum("more_rows"), F.lit(0)).cast("long").alias("additional_locations_skipped"))
     kept = roles.agg(F.count_if(F.col("held").isNotNull()).alias("levels_kept_unchanged"))
     return out, people.crossJoin(fresh).crossJoin(more).crossJoin(kept)  # one row each

@@ -72,7 +72,7 @@ def numbered_rows(spark: SparkSession, path: str | list[str], header: bool) -> D
 def timesheet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """sessions, breaks, no_shows, people and rows of a block-structured timesheet export (22 columns by place).
 
-    people are the names with a role; rows counts the session rows, repeated ones too.  A file without a header row is an
+    people are the names with a role, each with each of its payroll ids and the place where they first stand together; rows counts the session rows, repeated ones too.  A file without a header row is an
     error.  A named row with both times opens a session and owns the break rows below it; a no-show or repeated session owns
     none.  Rows of totals and titles do not end a block.  Break times are stamped with the clock-in day.
     """
@@ -100,7 +100,7 @@ def timesheet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     breaks = parts.join(sessions.select("file", "session_line", "name", "clock_in", "day"), ["file", "session_line"])
     breaks = breaks.select("name", "clock_in", stamp(F.col("day"), F.col("b1")).alias("break_start"), stamp(F.col("day"), F.col("b2")).alias("break_end"), (~F.col("break_type").contains("Unpaid")).alias("paid"))
     gone = rows.where("name <> '' AND clock_in IS NULL AND reason <> ''").select("name", F.to_date("day", "MMMM d yyyy").alias("date"), "reason").distinct()
-    people = rows.where("name <> '' AND role <> ''").groupBy("name").agg(F.max(F.nullif("payroll_id", F.lit(""))).alias("payroll_id"))
+    people = rows.where("name <> '' AND role <> ''").groupBy("name", F.nullif("payroll_id", F.lit("")).alias("payroll_id")).agg(F.min(F.struct("file", "line_no")).alias("at")).select("name", "payroll_id", "at.*")
     counted = shifts.agg(F.count(F.lit(1)).alias("session_rows"))
     return {"sessions": sessions.drop("session_line", "day", "file"), "breaks": breaks, "no_shows": gone, "people": people, "rows": counted}
 
@@ -108,6 +108,7 @@ def timesheet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def team(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name, location, payroll_id, role of each named row of a team export; unnamed rows below it fill its payroll id.
 
+    named_payroll_id is that of the named row itself, file and line_no are its place, payroll_line that of payroll_id.
     Columns are looked up by the header of each file.  Location and role are those of the named row; ``more_rows`` counts
     the rows below it, whose locations are listed in ``other_locations`` but not applied.
     """
@@ -122,7 +123,9 @@ def team(spark: SparkSession, path: str | list[str]) -> DataFrame:
     head = lambda c: F.max(F.when(F.col("line_no") == F.col("owner"), F.nullif(F.col(c), F.lit("")))).alias(c)
     pay = F.min(F.when(F.col("payroll_id") != "", F.struct("line_no", "payroll_id")))["payroll_id"]
     more = F.collect_set(F.when(F.col("line_no") > F.col("owner"), F.nullif(F.col("location"), F.lit(""))))
-    return owned.groupBy("file", "owner").agg(head("name"), head("location"), pay.alias("payroll_id"), head("role"), F.count_if(F.col("line_no") > F.col("owner")).cast("int").alias("more_rows"), F.sort_array(more).alias("other_locations")).drop("file", "owner")
+    line = F.min(F.when(F.col("payroll_id") != "", F.col("line_no"))).alias("payroll_line")
+    named = F.max(F.when(F.col("line_no") == F.col("owner"), F.nullif("payroll_id", F.lit("")))).alias("named_payroll_id")
+    return owned.groupBy("file", F.col("owner").alias("line_no")).agg(head("name"), head("location"), pay.alias("payroll_id"), head("role"), F.count_if(F.col("line_no") > F.col("owner")).cast("int").alias("more_rows"), F.sort_array(more).alias("other_locations"), named, line)
 
 
 def roster_json(spark: SparkSession, path: str) -> DataFrame:

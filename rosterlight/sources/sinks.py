@@ -80,9 +80,42 @@ def resolved(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("name", "payroll_id", F.coalesce("by_name", "by_pay").alias("employee_id"), by.alias("found_by"))
 
 
+def identified(incoming: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
+    """Who the names of an upload are, its rows being read in ``order``: name, employee_id, found_by, fills.
+
+    ``incoming`` has name and payroll_id, ``known`` the employees.  A name's first row decides for all its rows: it is the
+    person of that name, as written (of several the lowest id); else whoever holds the row's payroll id by then; else
+    somebody new.  A row's payroll id goes to its person if they hold none, so a person that a row above has created, or
+    given an id to, is found by the rows below.  ``fills`` is the payroll id that the person named so gets from the upload.
+
+    No row waits for another: only somebody found by name or created can come to hold an id, at the first row of the name
+    that has one, and of the names that first come with a certain id only the earliest can be new.  So the first holder
+    of each id is a minimum over known people and names, and the other names join it.
+    """
+    at, pay = F.struct(*order), F.nullif(F.trim("payroll_id"), F.lit(""))
+    rows = incoming.select("name", pay.alias("pay"), at.alias("t"))
+    some = F.when(F.col("pay").isNotNull(), F.col("t"))
+    names = rows.groupBy("name").agg(F.min("t").alias("t0"), F.min_by("pay", "t").alias("p0"), F.min(some).alias("t1"), F.min_by("pay", some).alias("p1"))
+    own = known.groupBy("name").agg(F.min(F.struct("employee_id", "payroll_id")).alias("k"))
+    names = names.join(own.select("name", F.col("k.employee_id").cast("long").alias("by_name"), F.col("k.payroll_id").alias("had")), "name", "left").withColumn("new_id", surrogate(F.col("name")))
+    fills = F.when((F.col("by_name").isNotNull() & F.col("had").isNull()) | (F.col("by_name").isNull() & F.col("p0").isNull()), F.col("p1"))
+    names = names.withColumn("fills", fills)
+    never = F.lit(None).cast(names.schema["t0"].dataType)
+    held = known.where("payroll_id IS NOT NULL").select(F.col("payroll_id").alias("p0"), F.struct(F.lit(0).alias("late"), never.alias("t"), F.col("employee_id").cast("long").alias("id")).alias("h"))
+    later = lambda p, t, who: F.struct(F.lit(1).alias("late"), F.col(t).alias("t"), who.alias("id")).alias("h")
+    given = names.where("fills IS NOT NULL").select(F.col("fills").alias("p0"), later("fills", "t1", F.coalesce("by_name", "new_id")))
+    first = names.where("by_name IS NULL AND p0 IS NOT NULL").select("p0", later("p0", "t0", F.col("new_id")))
+    holder = held.union(given).union(first).groupBy("p0").agg(F.min("h")["id"].alias("holder"))
+    out = names.join(holder, "p0", "left")
+    by_pay = F.when(F.col("p0").isNotNull(), F.col("holder"))
+    who = F.coalesce("by_name", by_pay, "new_id")
+    how = F.when(F.col("by_name").isNotNull(), "name").when(who != F.col("new_id"), "payroll").otherwise("new")
+    return out.select("name", who.alias("employee_id"), how.alias("found_by"), F.when(how == "new", F.col("p1")).when(how == "name", F.col("fills")).alias("fills"))
+
+
 def surrogate(name: Column) -> Column:
-    """A stable id of a natural key: the same in every run and task."""
-    return F.xxhash64(F.lower(F.trim(name)))
+    """A stable id of a natural key, as it is written: the same in every run and task."""
+    return F.xxhash64(F.trim(name))
 
 
 def with_new_names(dimension: DataFrame, names: DataFrame, key: str, id_col: str, defaults: dict[str, Column]) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,13 +123,63 @@ def test_timesheet_import_and_its_repeat(spark, tmp_path):
     assert tuple(applied.timesheet_import(kept, parsed)[1].first()) == (0, 7, 0, 0)
 
 
+def a_loop(known, rows):
+    """The rules row by row: people as [id, name, payroll id], new ones numbered in order."""
+    people, met, how = [list(k) for k in known], {}, {}
+    holders = [(k[2], k) for k in people if k[2]]  # in the order in which they came to hold their ids
+    for name, pay in rows:
+        if name in met:
+            who = met[name]
+        else:
+            who = min((p for p in people if p[1] == name), default=None)
+            found = "name"
+            if who is None and pay:
+                who, found = next((p for q, p in holders if q == pay), None), "payroll"
+            if who is None:
+                who, found = [len(people) + 1, name, None], "new"
+                people.append(who)
+            met[name], how[name] = who, found
+        if pay and not who[2]:
+            who[2] = pay
+            holders.append((pay, who))
+    return people, met, how
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_names_are_identified_as_row_by_row(spark, seed):
+    rnd = random.Random(seed)
+    names, pays = ["Bo", "bo", "Al", "Cy", "Di", "Ed", "Fay", "Gus"], ["1", "2", "3", "4"]
+    known = [(i + 1, n, rnd.choice([None, *pays])) for i, n in enumerate(rnd.sample(names, rnd.randrange(4)))]
+    rows = [(rnd.choice(names), rnd.choice([None, "", *pays])) for _ in range(rnd.randrange(1, 14))]
+    df = spark.createDataFrame([(n, p, "f", i) for i, (n, p) in enumerate(rows)], "name string, payroll_id string, file string, line_no long").repartition(3)
+    people, met, how = a_loop(known, rows)
+    after, who = applied._people(spark.createDataFrame(known, "employee_id long, name string, payroll_id string"), df)
+    got = {r.name: r for r in who.collect()}
+    assert {n: r.found_by for n, r in got.items()} == how
+    assert sorted((r.name, r.payroll_id) for r in after.collect()) == sorted((p[1], p[2]) for p in people) if all(p[2] for p in people) else sorted((r.name, r.payroll_id or "") for r in after.collect()) == sorted((p[1], p[2] or "") for p in people)
+    same = lambda of: sorted(sorted(n for n in met if of(n) == x) for x in {of(n) for n in met})
+    assert same(lambda n: got[n].employee_id) == same(lambda n: met[n][0])
+
+
+def test_two_new_names_of_one_payroll_id_are_one_person_and_case_counts(spark, tmp_path):
+    day = "March 9 2025"
+    line = lambda name, pay, start: row(c0=name, c1=day, c2=start, c3=day, c4="11:00PM", c9=pay, c10="Cook")
+    text = "\n".join([row(c0="Name"), line("Ann Lee", "500", "7:00AM"), line("Ann Lee-Roy", "500", "8:00AM"), line("Bo", "", "9:00AM"), line("bo", "", "10:00AM")]) + "\n"
+    after, report = applied.timesheet_import(tables(spark), imports.timesheet(spark, put(tmp_path / "s.csv", text)))
+    assert report.first().created == 4
+    fresh = {r.name: r.payroll_id for r in after["employees"].collect() if r.employee_id > 2 or r.employee_id < 0}
+    assert fresh == {"Ann Lee": "500", "Bo": None, "bo": None}
+    by = {r.employee_id: r.n for r in after["sessions"].groupBy("employee_id").agg(F.count("*").alias("n")).collect()}
+    assert sorted(by.values()) == [1, 1, 1, 2]
+
+
 def test_team_files_each_by_their_own_header(spark, tmp_path):
     one = "Role Name,Location,Last Name,First Name\nCook,Pier,Marsh,Gil\n,Dock,,\n,Quay,,\n"
     two = "﻿First Name,Last Name,Payroll ID,Role Name,Location\n,,lost,,Nowhere\nKit,,,Barista,\n,,91,,Dock\nHana,Ode,80,,Pier\n"
     put(tmp_path / "1.csv", one)
     put(tmp_path / "2.csv", two)
     team = imports.team(spark, str(tmp_path))
-    assert sorted(map(tuple, team.collect()), key=str) == sorted([("Gil Marsh", "Pier", None, "Cook", 2, ["Dock", "Quay"]), ("Kit", None, "91", "Barista", 1, ["Dock"]), ("Hana Ode", "Pier", "80", None, 0, [])], key=str)
+    assert sorted(map(tuple, team.select("name", "location", "payroll_id", "role", "more_rows", "other_locations").collect()), key=str) == sorted([("Gil Marsh", "Pier", None, "Cook", 2, ["Dock", "Quay"]), ("Kit", None, "91", "Barista", 1, ["Dock"]), ("Hana Ode", "Pier", "80", None, 0, [])], key=str)
     after, report = applied.team_import(tables(spark), team, "2025-06-01")
     assert tuple(report.first()) == (1, 2, ["Barista"], 3, 0)
     assert {(r.name, r.location, r.payroll_id) for r in after["employees"].collect()} == {("Gil Marsh", "Pier", None), ("H. Ode", "Pier", "80"), ("Kit", None, "91")}
