@@ -12,6 +12,7 @@ from ..functions import text
 from ..operators import demand, ratings, rules, scheduling, temporal, views
 from ..sources import html_tables, sinks, testviews
 from ..sources.testviews import END, START, Views
+from .shared import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,9 +340,9 @@ def warning_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM flags f JOIN levels l ON l.level_id = f.own_level LEFT JOIN rated r USING (employee_id)"""
 )
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = Views(spark, sf_dir)
+    v = Views(spark, sf_dir, kept)
     slots = rules.unfilled(v.requirements, v.assignments).select("shift_id", "level_id")
-    return rules.suggestions(slots, v.shifts, v.employees, v.levels, v.assignments, v.availability, v.time_off, _worked(v), _ratings(v))
+    return rules.suggestions(slots, v.shifts, v.employees, v.levels, v.assignments, v.availability, v.time_off, kept(_worked(v), "worked"), kept(_ratings(v), "ratings"))
 
 
 @query(f"{_ENTITLED}, grid2 AS (SELECT due.*, i FROM due, range(4) AS x(i)), " + """
@@ -466,7 +467,7 @@ def _worked_before(v: Views) -> DataFrame:
 
 @query()
 def assign_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assigned(Views(spark, sf_dir))
+    return _assigned(Views(spark, sf_dir, kept))
 
 
 @query(" SELECT 'violations' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'could be added', 0 UNION ALL SELECT 'not proved best', 0 UNION ALL SELECT 'wanted', CAST((SELECT sum(count) FROM requirements) AS BIGINT)")
@@ -474,12 +475,12 @@ def assign_week_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaches of any limit by the assigned weeks (level, availability, overlap and rest, minutes of day and week, days in a
     row, requirement), candidates that could still be added (an empty plan has many), plans not proved best, and the slots
     that picks, manual picks and open slots add up to."""
-    v = Views(spark, sf_dir)
-    got = _assigned(v)
+    v = Views(spark, sf_dir, kept)
+    got = kept(_assigned(v), "assigned")  # one search; the checks below read its rows
     manual = v.assignments.where("manual")
-    edges = rules.conflict_edges(v.shifts)
+    edges = kept(rules.conflict_edges(v.shifts), "edges")
     either = edges.union(edges.select("b", "a"))
-    feasible = _feasible(v)
+    feasible = kept(_feasible(v), "feasible")
     every = got.select("employee_id", "shift_id", "level_id").union(manual.select("employee_id", "shift_id", "fills_level_id"))
     timed = every.join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min"))
     fixed = manual.join(v.shifts, "shift_id").withColumn("m", F.col("end_min") - F.col("start_min"))
@@ -528,6 +529,44 @@ def plan_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planned(Views(spark, sf_dir))
 
 
+_ALONE = f"""{_ENTITLED}{_HOURLY},
+    costs AS (SELECT k AS slot, CAST(round_even(coalesce(average, 0) * 10, 0) AS BIGINT) AS cost FROM range(288) AS x(k) LEFT JOIN hourly ON hour = k * 5 // 60),
+    kinds(rests, meals, k, n, share) AS (VALUES (1, 0, 0, 10, 0.5), (2, 1, 0, 10, 0.25), (2, 1, 1, 30, 0.5), (2, 1, 2, 10, 0.75)),
+    planned AS (SELECT d.entry_id, d.date, k.k, k.n, CAST(ceil((d.start_min + 45) / 5.0) AS BIGINT) AS low, CAST(floor(CASE WHEN k.n = 30 THEN least(d.end_min - 45 - k.n, d.start_min + 300) ELSE d.end_min - 45 - k.n END / 5.0) AS BIGINT) AS high,
+                CAST(round_even((d.start_min + (d.end_min - d.start_min) * k.share) / 5, 0) AS BIGINT) AS anchor FROM due d JOIN kinds k ON k.rests = d.rest_breaks AND k.meals = d.meal_breaks),
+    open_ AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY k) AS r FROM planned WHERE low <= high),
+    starts AS (SELECT entry_id, date, r, n // 5 AS w, s, abs(s - anchor) + 10 * (SELECT sum(cost) FROM costs WHERE slot >= s AND slot < s + n // 5) AS price FROM (SELECT *, unnest(range(low, high + 1)) AS s FROM open_)),
+    one AS (SELECT entry_id, date, s, w, price FROM starts WHERE r = 1),
+    two AS (SELECT b.entry_id, b.date, b.s, b.w, b.price + min(a.price) AS price FROM starts b JOIN one a ON a.entry_id = b.entry_id AND a.s + a.w + 18 <= b.s WHERE b.r = 2 GROUP BY b.entry_id, b.date, b.s, b.w, b.price),
+    three AS (SELECT b.entry_id, b.date, b.s, b.w, b.price + min(a.price) AS price FROM starts b JOIN two a ON a.entry_id = b.entry_id AND a.s + a.w + 18 <= b.s WHERE b.r = 3 GROUP BY b.entry_id, b.date, b.s, b.w, b.price),
+    best AS (SELECT x.entry_id, x.date, min(x.price) AS price FROM (SELECT *, 1 AS r FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three) x
+             WHERE x.r = (SELECT max(o.r) FROM open_ o WHERE o.entry_id = x.entry_id) GROUP BY x.entry_id, x.date)"""
+
+
+@query(f"{_ALONE} SELECT date, CAST(sum(price) AS BIGINT) AS cost, true AS proved FROM best GROUP BY date", dates=("date",))
+def break_costs_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least cost of each day if any number may be on break at a time: entries then stand alone, and SQL can find their best."""
+    v = Views(spark, sf_dir)
+    plan = scheduling.plan_breaks(v.roster, v.rules, demand.slot_costs(demand.hourly_averages(v.tickets)), concurrent=1000)
+    return plan.groupBy("date").agg(F.max("cost").alias("cost"), (F.min("status") == "optimal").alias("proved"))
+
+
+@query(f"{_ALONE} SELECT date, true AS as_priced, true AS bounded, true AS within_a_hundredth FROM best GROUP BY date", dates=("date",))
+def break_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each day whether its cost is that of its breaks, no less than if entries stood alone, and within 1 % of the bound."""
+    v = Views(spark, sf_dir, kept)
+    costs = kept(demand.slot_costs(demand.hourly_averages(v.tickets)), "costs")
+    plan = kept(scheduling.plan_breaks(v.roster, v.rules, costs), "plan")
+    alone = scheduling.plan_breaks(v.roster, v.rules, costs, concurrent=1000).groupBy("date").agg(F.max("cost").alias("alone"))
+    share = F.when(F.col("kind") == "meal", 0.5).when(F.col("n") == 1, 0.5).when(F.col("k") == 0, 0.25).otherwise(0.75)
+    of = plan.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date", "entry_id"))).join(v.roster.select("entry_id", F.col("start_min").alias("from"), F.col("end_min").alias("until")), "entry_id")
+    far = F.abs(F.col("start_min") / 5 - F.bround((F.col("from") + (F.col("until") - F.col("from")) * share) / 5))
+    near = of.groupBy("date").agg(F.sum(far).cast("long").alias("far"))
+    slots = of.select("date", F.explode(F.sequence((F.col("start_min") / 5).cast("int"), (F.col("end_min") / 5).cast("int") - 1)).alias("slot")).join(costs, "slot").groupBy("date").agg(F.sum("cost").alias("taken"))
+    days = plan.groupBy("date").agg(F.max("cost").alias("cost"), F.max("bound").alias("bound")).join(near, "date").join(slots, "date").join(alone, "date")
+    return days.select("date", (F.col("cost") == 10 * F.col("taken") + F.col("far")).alias("as_priced"), ((F.col("alone") <= F.col("bound")) & (F.col("bound") <= F.col("cost"))).alias("bounded"), (F.col("cost") * 100 <= F.col("bound") * 101).alias("within_a_hundredth"))
+
+
 @query(f"{_ENTITLED}{_DUE_BREAKS} SELECT CAST(1 AS BIGINT) AS most, CAST(0 AS BIGINT) AS too_close, (SELECT count(*) FROM fits) AS breaks, CAST(0 AS BIGINT) AS alone, CAST(0 AS BIGINT) AS outside")
 def break_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all planned breaks: most people on break in a minute, gaps below 90 minutes, how many there are, how many stand

@@ -5,9 +5,6 @@ Exports are made from the tables first (``Exports``), so that the readers work o
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +15,11 @@ from ..sources.testviews import START, Views
 from ..streaming import adherence
 from . import applied, sync
 from .queries import _ENTITLED, _OWN, _WARNED, _WARNINGS, _WORKED, _planned, query
+from .shared import scratch
 
 _DAY = "CAST(clock_in AS DATE)"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``; a local one for a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{folder or tempfile.mkdtemp(prefix='rosterlight-')}/{name}-{uuid.uuid4().hex}"
-
-
 def put(df: DataFrame, name: str) -> str:
     """Lines of text (one string column) as files of a new folder."""
     path = scratch(df.sparkSession, name)

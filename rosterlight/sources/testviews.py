@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ WEEKS = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22"]
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: Callable[[DataFrame, str], DataFrame] = lambda df, name: df):
+        """``kept`` may write the two tables that most others are made from, so that a plan with many uses reads events once."""
         self.spark, self.dir = spark, sf_dir
         self.table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -26,11 +28,11 @@ class Views:
             F.col("event_id").alias("ticket_id"), F.col("ts").alias("created_at"), F.floor(F.col("value") * 6).cast("int").alias("completion_seconds"), (F.col("event_type") == "error").alias("recalled"),
             F.col("event_type").alias("station"), F.get_json_object("props", "$.k").cast("int").alias("items"),
         )
-        self.people = ev.select((F.col("user_id") % 25).alias("e")).distinct()
+        self.people = kept(ev.select((F.col("user_id") % 25).alias("e")).distinct(), "people")
         worked = ev.select((F.col("user_id") % 25).alias("e"), F.to_date("ts").alias("d")).distinct().where((F.col("e") * 7 + F.dayofmonth("d")) % 10 < 6)
         start = F.col("d").cast("timestamp_ntz") + F.make_dt_interval(hours=(6 + (F.col("e") * 3 + F.dayofmonth("d")) % 8).cast("int"))
         sessions = worked.select((F.col("e") * 1000 + F.dayofyear("d")).alias("session_id"), F.col("e").alias("employee_id"), (1 + F.col("e") % 8).cast("int").alias("level_id"), start.alias("clock_in"))
-        self.sessions = sessions.withColumn("clock_out", F.col("clock_in") + F.expr("INTERVAL '6' HOUR"))
+        self.sessions = kept(sessions.withColumn("clock_out", F.col("clock_in") + F.expr("INTERVAL '6' HOUR")), "sessions")
         self.breaks = self.sessions.where("employee_id % 2 = 0").select("session_id", (F.col("clock_in") + F.expr("INTERVAL '3' HOUR")).alias("break_start"), (F.col("clock_in") + F.expr("INTERVAL '4' HOUR")).alias("break_end"))
         self.levels = spark.createDataFrame(LEVELS, "level_id int, level_name string, rank int, counts_for_rating boolean")
         self.sla = spark.createDataFrame(SLAS, "target_seconds int, adherence_goal double, effective_from string").withColumn("effective_from", F.to_date("effective_from"))
