@@ -2,9 +2,9 @@
 
 Documents are cut into pieces of at most one sequence; full pieces need no packing.  The others are dealt by a hash into
 blocks of some thousand, and each block is evolved on several islands, one task row each.  An island starts from packings
-by best fit in random order, which waste some bins; crossover injects whole well-filled bins of one parent into the other,
-drops the bins that would hold a document twice, and best-fits the displaced documents in order of size.  After an epoch
-every island sends its elite to the next one of its block.  Plain best fit in order of size is computed as a yardstick
+by best fit in random orders, which waste some bins; crossover injects whole well-filled bins of one parent into the other,
+drops the bins that would hold a document twice, swaps displaced documents for smaller ones where that fills a bin better,
+and best-fits what is left in order of size.  After an epoch every island sends its elite to the next one of its block.  Plain best fit in order of size is computed as a yardstick
 only: an island that needs more bins than it goes on for longer.
 Documents of the badly filled bins of all blocks are pooled and packed again, so that blocks leave no ragged ends.
 """
@@ -16,6 +16,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,17 @@ OFFSPRING = 6
 GENERATIONS = 40
 EPOCHS = 2
 ELITE = 2  # packings of an island that go to the next one
-INJECTED = (0.1, 0.5)  # share of the well-filled bins that a crossover injects
+INJECTED = (0.1, 0.5)  # share of the bins that a crossover injects
+SPREAD = 0.02  # of the capacity: a bin emptier by so much is drawn e times less often
+SWAPPED = 150  # bins in which a crossover tries to replace documents
 EMPTIED = 0.1  # at most this share of the emptiest bins is dissolved with them
-WELL_FILLED = 0.985  # of the capacity: bins that crossover may inject, and that the second round leaves alone
+WELL_FILLED = 0.985  # of the capacity: bins that the second round leaves alone
 MOST_TASKS = 10_000
 REMEMBERED = 500_000
+#: By number of documents of a bin: the indexes of all sets of one, two and three of them.
+_SUBSETS = [[np.array(list(combinations(range(m), k)), np.int64).reshape(-1, k) for k in (1, 2, 3)] for m in range(13)]
+for _sets in _SUBSETS:
+    _sets[0] = _sets[0].ravel()
 
 
 # Texts of these characters alone, without two stops together, may be lower-cased whole and cut at stops and commas as at blanks.
@@ -182,10 +189,20 @@ def best_fit(order: np.ndarray, sizes: np.ndarray, bins: np.ndarray, loads: list
             mask |= 1 << left
 
 
-def seeded(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A packing to start from: best fit in random order, which leaves room for crossover to find."""
-    bins = np.full(len(sizes), -1, np.int64)
-    best_fit(rng.permutation(len(sizes)), sizes, bins, [], capacity)
+def seeded(sizes: np.ndarray, capacity: int, rng: np.random.Generator, kind: int = 0) -> np.ndarray:
+    """A packing to start from: best fit in random order, which leaves room for crossover to find.
+
+    So that packings differ in more than luck, ``kind`` 1 takes the documents over half a sequence first, and kind 2 an
+    order of size blurred by half of each size; both are random otherwise.
+    """
+    n = len(sizes)
+    order = rng.permutation(n)
+    if kind % 3 == 1:
+        order = order[np.argsort(2 * sizes[order] <= capacity, kind="stable")]
+    elif kind % 3 == 2:
+        order = np.argsort(-sizes * (1 + 0.5 * rng.standard_normal(n)), kind="stable")
+    bins = np.full(n, -1, np.int64)
+    best_fit(order, sizes, bins, [], capacity)
     return bins
 
 
@@ -210,18 +227,55 @@ def _numbered(bins: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, int]:
     return (np.cumsum(used) - 1)[bins[part]], int(used.sum())
 
 
+def replaced(child: np.ndarray, sizes: np.ndarray, loads: np.ndarray, capacity: int, rng: np.random.Generator) -> None:
+    """Swaps one to three documents of a bin for one displaced, larger one that fills it better; changes ``child`` and ``loads``.
+
+    Displaced documents (bin -1) thereby grow smaller, and are easier to place.  Bins with room are visited in random
+    order, ``SWAPPED`` at most; in each the swap that fills most is made.
+    """
+    free = np.flatnonzero(child < 0)
+    free = free[np.argsort(sizes[free], kind="stable")]
+    small = sizes[free]
+    by_bin = np.argsort(child, kind="stable")
+    heads = np.searchsorted(child[by_bin], np.arange(len(loads) + 1))
+    open_ = np.flatnonzero(loads < capacity)
+    for b in rng.permutation(open_)[:SWAPPED].tolist():
+        if not len(free):
+            return
+        own = by_bin[heads[b] : heads[b + 1]]
+        if len(own) > 12:
+            own = rng.choice(own, 12, replace=False)
+        room, m = capacity - int(loads[b]), len(own)
+        w = sizes[own]
+        sets = _SUBSETS[m]
+        out = np.concatenate([w, w[sets[1]].sum(1), w[sets[2]].sum(1)])
+        at = np.searchsorted(small, out + room, side="right") - 1
+        won = np.where(at >= 0, small[np.maximum(at, 0)] - out, 0)
+        k = int(won.argmax())
+        if won[k] <= 0:
+            continue
+        gone = own[sets[0][k : k + 1] if k < m else sets[1][k - m] if k < m + len(sets[1]) else sets[2][k - m - len(sets[1])]]
+        child[free[at[k]]] = b
+        child[gone] = -1
+        loads[b] += won[k]
+        free = np.r_[np.delete(free, at[k]), gone]
+        free = free[np.argsort(sizes[free], kind="stable")]
+        small = sizes[free]
+
+
 def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """A child of ``a`` with some well-filled bins of ``b`` whole.
 
-    Bins of ``a`` that hold an injected document go, as do a few of the emptiest; the documents displaced with them are
-    put back by best fit in order of size.
+    Bins of ``b`` are drawn by how well they fill, full ones most often.  Bins of ``a`` that hold an injected document go,
+    as do a few of the emptiest.  Documents displaced with them first replace smaller ones where that fills a bin better;
+    the rest is put back by best fit in order of size.
     """
     loads_b = np.bincount(b, sizes)
-    good = np.flatnonzero(loads_b >= WELL_FILLED * capacity)
-    if not len(good):
-        good = np.flatnonzero(loads_b >= np.quantile(loads_b, 0.75))
+    few = max(1, int(len(loads_b) * rng.uniform(*INJECTED)))
+    chance = np.exp((loads_b - capacity) / (SPREAD * capacity))
     taken = np.zeros(len(loads_b), bool)
-    taken[rng.choice(good, max(1, int(len(good) * rng.uniform(*INJECTED))), replace=False)] = True
+    # the largest of log(uniform) / weight: a weighted draw without repeats
+    taken[np.argpartition(np.log(rng.random(len(loads_b))) / chance, -few)[-few:]] = True
     injected = taken[b]
     loads = np.bincount(a, sizes)
     hit = np.zeros(len(loads), bool)
@@ -233,9 +287,10 @@ def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng:
     child[injected], more = _numbered(b, injected)
     child[injected] += k
     placed = child >= 0
-    filled = np.bincount(child[placed], sizes[placed], k + more).astype(int).tolist()
-    rest = np.flatnonzero(~placed)
-    best_fit(rest[np.argsort(-sizes[rest], kind="stable")], sizes, child, filled, capacity)
+    filled = np.bincount(child[placed], sizes[placed], k + more).astype(np.int64)
+    replaced(child, sizes, filled, capacity, rng)
+    rest = np.flatnonzero(child < 0)
+    best_fit(rest[np.argsort(-sizes[rest], kind="stable")], sizes, child, filled.tolist(), capacity)
     return child
 
 
@@ -247,7 +302,7 @@ def evolved(sizes: np.ndarray, capacity: int, seed: int, people: list[np.ndarray
     four times as many generations while it needs more than ``target`` bins.
     """
     rng = np.random.default_rng(seed)
-    people = [*people, *(seeded(sizes, capacity, rng) for _ in range(population - len(people)))]
+    people = [*people, *(seeded(sizes, capacity, rng, kind) for kind in range(population - len(people)))]
     scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
     first, born = scored[0][0][0], 0
     least = math.ceil(sizes.sum() / capacity)

@@ -73,7 +73,42 @@ def test_evolution_beats_best_fit_where_that_misses_the_optimum(k):
     assert packing.best_fit_decreasing(sizes, 4096) == 11 * k
     people, started, born = packing.evolved(sizes, 4096, 1, [])
     end = packing.fitness(people[0], sizes, 4096)[0]
-    assert 9 * k <= end <= started < 11 * k and born > 0
+    assert 9 * k <= end < started < 11 * k and born > 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossover_closes_most_of_the_gap_that_the_seeds_leave(seed):
+    """The optimum is 90, seeds need 95 and more."""
+    sizes = hard(10)
+    people, started, _ = packing.evolved(sizes, 4096, seed, [])
+    assert started >= 95 and packing.fitness(people[0], sizes, 4096)[0] <= 92
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_replacement_fills_bins_with_larger_documents(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(100, 2000, 400)
+    child = packing.seeded(sizes, 4096, rng, seed)
+    free = rng.permutation(400)[:60]
+    child[free] = -1
+    loads = np.bincount(child[child >= 0], sizes[child >= 0], child.max() + 1).astype(np.int64)
+    before, out = loads.copy(), sizes[child < 0].sum()
+    packing.replaced(child, sizes, loads, 4096, rng)
+    assert (loads >= before).all() and loads.max() <= 4096 and loads.sum() > before.sum()
+    assert (np.bincount(child[child >= 0], sizes[child >= 0], len(loads)) == loads).all()
+    assert out - sizes[child < 0].sum() == loads.sum() - before.sum() and (child < 0).sum() >= 60
+
+
+def test_guests_change_what_an_island_finds(spark, monkeypatch):
+    """The same islands, with elites sent to each other after the first epoch and without."""
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(hard(40))], "rid long, length long")
+    found = {}
+    for elite in (packing.ELITE, 0):
+        monkeypatch.setattr(packing, "ELITE", elite)
+        rows = packing._islands(df, 1200, 4096, 4000).collect()
+        assert len(rows) == packing.ISLANDS and all(r.bound <= r.bins <= r.started < r.best_fit for r in rows)
+        found[elite] = {r.island: r.people[0] for r in rows}
+    assert found[0] != found[packing.ELITE or 2]
 
 
 def test_crossover_lowers_the_number_of_bins():
