@@ -11,6 +11,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -53,13 +54,29 @@ def _clean(x: object) -> str:
     return re.sub(r"[\r\n]+", " ", str(x))
 
 
+_PAGE = "urn:x-page:"
+
+
+def _named(x: object) -> str:
+    """An id as a record id: percent-encoded, so that any text comes back as it was."""
+    return f"<{_PAGE}{quote(str(x), safe='')}>"
+
+
+def _name(field: str | None) -> str | None:
+    """The id in a record id; one of another writer as it stands, without its brackets."""
+    if field is None:
+        return None
+    inside = field[1:-1] if field.startswith("<") and field.endswith(">") else field
+    return unquote(inside[len(_PAGE) :]) if inside.startswith(_PAGE) else inside
+
+
 def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str, kind: str, refers_to: object) -> bytes:
-    """One record as a gzip member.  A null url has no WARC-Target-URI line."""
+    """One record as a gzip member.  A null url has no WARC-Target-URI line, a null id no WARC-Record-ID."""
     body = b"" if kind == "revisit" else _HTTP % len(payload) + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:x-page:{_clean(page_id)}>",
+        *([] if page_id is None else [f"WARC-Record-ID: {_named(page_id)}"]),
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -69,7 +86,7 @@ def record_bytes(page_id: object, url: str | None, payload: bytes, digest: str,
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:x-page:{_clean(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_named(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
 
@@ -151,13 +168,12 @@ def parse_record(raw: bytes) -> dict | None:
     body = raw[end + 4 : end + 4 + int(size)]
     if head.get("content-type", "").startswith("application/http"):
         body = body.partition(b"\r\n\r\n")[2]
-    named = re.compile(r"^<(?:urn:x-page:)?(.*)>$").sub
     return {
         "type": head.get("warc-type"),
-        "record_id": named(r"\1", head["warc-record-id"]) if "warc-record-id" in head else None,
+        "record_id": _name(head.get("warc-record-id")),
         "url": head.get("warc-target-uri"),
         "digest": head.get("warc-payload-digest", "").rpartition(":")[2] or None,
-        "refers_to": named(r"\1", head["warc-refers-to"]) if "warc-refers-to" in head else None,
+        "refers_to": _name(head.get("warc-refers-to")),
         "payload_bytes": int(head["x-payload-length"]) if head.get("x-payload-length", "").isdigit() else len(body),
         "payload": body,
     }

@@ -125,3 +125,13 @@ def test_repeated_response_rows_are_responses_too(spark):
     long = "b" * 150
     got = warc.page_report(rows(spark, [(1, "u", long), (1, "u", long), (2, "v", long)])).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_ids_of_any_text_come_back_as_they_were(spark):
+    ids = ["a b ", " c", "c\nd", "x>y<", "100%", "%41", "日本", "", None, "None", "urn:x-page:z"]
+    rows = [(i, "http://u", f"page {k} " + "z" * 200) for k, i in enumerate(ids)]
+    rows += [("zz", "http://u", rows[2][2]), ("zz " , "http://u", rows[4][2])]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    got = warc.page_report(df).collect()
+    assert sorted((r.page_id is None, r.page_id or "", r.record_type) for r in got) == sorted((i is None, i or "", "revisit" if i and i.startswith("zz") else "response") for i, _, _ in rows)
+    assert {r.page_id: r.refers_to for r in got if r.record_type == "revisit"} == {"zz": "c\nd", "zz ": "100%"}
