@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterlight.llm import exact_dedup, language_id, minhash, packing, quality
-from rosterlight.llm.common import id_fold, stored, table
+from rosterlight.llm.common import free_name, id_fold, stored, table
 from rosterlight.llm.queries import WORD_BPE
 
 WORDS, PERCENT = 5, 80
@@ -31,7 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(learn).select(docs["doc_id"].alias("id"), "text", "lang"))
     if not model.languages:
         return docs
-    return language_id.predicted(docs, model, lang="pred__", score="score__", rejected="rejected__").where("NOT rejected__").select(*docs.columns)
+    lang, score, rejected = (free_name(docs, c) for c in ("pred__", "score__", "rejected__"))
+    return language_id.predicted(docs, model, lang=lang, score=score, rejected=rejected).where(f"NOT `{rejected}`").select(*[f"`{c}`" for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

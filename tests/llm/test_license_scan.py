@@ -80,3 +80,7 @@ def test_wordings_with_their_regions_are_accepted(text, label):
     scanner = ls.Scanner(ls.PHRASES, ls.TEMPLATES)
     (_, _, found), *_ = list(scanner.scan(pa.array(["x " + text + " y"])))
     assert {x for _, _, x in found} == ({label} if label else set())
+
+
+def test_empty_table(spark):
+    assert ls.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0

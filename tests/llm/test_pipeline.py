@@ -59,6 +59,15 @@ def test_stages_keep_what_brute_force_keeps(spark):
     assert max(ends.values()) <= 4096
 
 
+def test_own_columns_named_like_those_of_a_stage_keep_their_values(spark):
+    rnd = random.Random(3)
+    rows = [(i, text(rnd, lang), lang, f"own {i}", float(i), i % 2 == 0) for i, lang in enumerate(["en", "de"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, pred__ string, score__ double, rejected__ boolean")
+    out = corpus_pipeline.language(spark, docs, "")
+    assert out.columns == docs.columns and out.count() > 20
+    assert all((r.pred__, r.score__, r.rejected__) == (f"own {r.doc_id}", float(r.doc_id), r.doc_id % 2 == 0) for r in out.collect())
+
+
 def test_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -68,7 +77,7 @@ def test_empty_corpus(spark):
 
 
 def test_every_operator_is_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
 
 
 def test_queries_cover_their_whole_tables(spark):
