@@ -43,10 +43,9 @@ EMPTIED = 0.1  # at most this share of the emptiest bins is dissolved with them
 WELL_FILLED = 0.985  # of the capacity: bins that the second round leaves alone
 MOST_TASKS = 10_000
 REMEMBERED = 500_000
-#: By number of documents of a bin: the indexes of all sets of one, two and three of them.
-_SUBSETS = [[np.array(list(combinations(range(m), k)), np.int64).reshape(-1, k) for k in (1, 2, 3)] for m in range(13)]
-for _sets in _SUBSETS:
-    _sets[0] = _sets[0].ravel()
+MEMBERS = 10  # documents of a bin that it looks at for that
+#: By number of documents: the indexes of all sets of two and of three of them.
+_SUBSETS = [[np.array(list(combinations(range(m), k)), np.int64).reshape(-1, k) for k in (2, 3)] for m in range(MEMBERS + 1)]
 
 
 # Texts of these characters alone, without two stops together, may be lower-cased whole and cut at stops and commas as at blanks.
@@ -64,62 +63,53 @@ def _chunks(text: str) -> list[str] | None:
     return None if letters & _ODD or "<|" in text else text.split()
 
 
-class WordTokens:
-    """A ``tokenizers`` vocabulary whose pre-tokens never hold white space: chunks between blanks are encoded once and remembered."""
+class WordTokens(dict):
+    """A ``tokenizers`` vocabulary whose pre-tokens never hold white space: a chunk between blanks -> the bytes of its ids.
+
+    A chunk is encoded when it is first asked for, and remembered.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.chunks: dict[str, bytes] = {}
         self.tokenize = self.model.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.stop = {p: self._raw([p])[0] for p in (".", ",")}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a lower-case word of Latin letters: one pre-token, which the vocabulary's model takes as it is."""
-        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Words of Latin letters are looked up in lower case and without a full stop or comma, as the vocabulary's own rules treat them."""
-        known, plain, other = self.chunks, [], []
-        for c in chunks:
-            if c.isascii() and c.isalpha() and c.islower():
-                known[c] = self._word(c)
-                continue
-            core, stop = (c[:-1], c[-1]) if c[-1] in self.stop else (c, "")
+        self.stop = {p: self._raw(p) for p in (".", ",")}
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Words of Latin letters are one pre-token, which the vocabulary's model takes as it is, in lower case and without a
+        full stop or comma behind, as the vocabulary's own rules treat them."""
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            ids = array("I", [t.id for t in self.tokenize(chunk)]).tobytes()
+        else:
+            core, stop = (chunk[:-1], chunk[-1]) if chunk[-1] in self.stop else (chunk, "")
             if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-                plain.append((c, core.lower(), stop))
+                word = core.lower()
+                if word == chunk:  # letters beyond ASCII, spelt in the vocabulary's letters for bytes
+                    ids = array("I", [t.id for t in self.tokenize("".join([self.letters[b] for b in word.encode()]))]).tobytes()
+                else:
+                    ids = self[word] + self.stop[stop] if stop else self[word]
             else:
-                other.append(c)
-        known.update(zip(other, self._raw(other), strict=True))
-        for c, core, stop in plain:
-            ids = known.get(core)
-            if ids is None:
-                ids = known[core] = self._word(core)
-            known[c] = ids + self.stop[stop] if stop else ids
+                ids = self._raw(chunk)
+        self[chunk] = ids
+        return ids
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as the bytes of unsigned 32-bit numbers."""
-        for first in range(0, len(texts), 512):
-            some = texts[first : first + 512]
-            cut = [_chunks(t) for t in some]
-            met: set[str] = set()
-            for c in cut:
-                met.update(c or ())
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            self._learn({c for c in met if c not in self.chunks})
-            get = self.chunks.__getitem__
-            for t, c in zip(some, cut, strict=True):
-                yield self._raw([t])[0] if c is None else b"".join(map(get, c))
+        get = self.__getitem__
+        for t in texts:
+            if len(self) > REMEMBERED:
+                self.clear()
+            chunks = _chunks(t)
+            yield self._raw(t) if chunks is None else b"".join(map(get, chunks))
 
 
 _LOADED: dict[str, WordTokens] = {}
@@ -230,37 +220,42 @@ def _numbered(bins: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, int]:
 def replaced(child: np.ndarray, sizes: np.ndarray, loads: np.ndarray, capacity: int, rng: np.random.Generator) -> None:
     """Swaps one to three documents of a bin for one displaced, larger one that fills it better; changes ``child`` and ``loads``.
 
-    Displaced documents (bin -1) thereby grow smaller, and are easier to place.  Bins with room are visited in random
-    order, ``SWAPPED`` at most; in each the swap that fills most is made.
+    Displaced documents (bin -1) thereby grow smaller, and are easier to place.  Of ``SWAPPED`` bins with room, drawn at
+    random, each makes the swap that fills it most; where several want the same document the first gets it, and the others
+    choose again.
     """
+    open_ = rng.permutation(np.flatnonzero(loads < capacity))[:SWAPPED]
+    by_bin = np.argsort(child, kind="stable")
+    heads = np.searchsorted(child[by_bin], np.r_[open_, open_ + 1]).reshape(2, -1)
+    count = np.minimum(heads[1] - heads[0], MEMBERS)
+    # the members of each bin, from a random one on where there are more than are looked at
+    first = heads[0] + (rng.random(len(open_)) * (heads[1] - heads[0] - count + 1)).astype(np.int64)
     free = np.flatnonzero(child < 0)
     free = free[np.argsort(sizes[free], kind="stable")]
-    small = sizes[free]
-    by_bin = np.argsort(child, kind="stable")
-    heads = np.searchsorted(child[by_bin], np.arange(len(loads) + 1))
-    open_ = np.flatnonzero(loads < capacity)
-    for b in rng.permutation(open_)[:SWAPPED].tolist():
-        if not len(free):
-            return
-        own = by_bin[heads[b] : heads[b + 1]]
-        if len(own) > 12:
-            own = rng.choice(own, 12, replace=False)
-        room, m = capacity - int(loads[b]), len(own)
+    for m in np.unique(count[count > 0]).tolist():
+        which = np.flatnonzero(count == m)
+        own = by_bin[first[which][:, None] + np.arange(m)]
         w = sizes[own]
-        sets = _SUBSETS[m]
-        out = np.concatenate([w, w[sets[1]].sum(1), w[sets[2]].sum(1)])
-        at = np.searchsorted(small, out + room, side="right") - 1
-        won = np.where(at >= 0, small[np.maximum(at, 0)] - out, 0)
-        k = int(won.argmax())
-        if won[k] <= 0:
-            continue
-        gone = own[sets[0][k : k + 1] if k < m else sets[1][k - m] if k < m + len(sets[1]) else sets[2][k - m - len(sets[1])]]
-        child[free[at[k]]] = b
-        child[gone] = -1
-        loads[b] += won[k]
-        free = np.r_[np.delete(free, at[k]), gone]
-        free = free[np.argsort(sizes[free], kind="stable")]
-        small = sizes[free]
+        out = np.concatenate([w, *(w[:, x].sum(2) for x in _SUBSETS[m])], axis=1)
+        limit = out + (capacity - loads[open_[which]])[:, None]
+        left = np.arange(len(which))
+        while len(left) and len(free):
+            small = sizes[free]
+            at = np.searchsorted(small, limit[left], side="right") - 1
+            won = np.where(at >= 0, small[np.maximum(at, 0)], 0) - out[left]
+            k = won.argmax(1)
+            rows = np.arange(len(left))
+            good = won[rows, k] > 0
+            left, k, want, won = left[good], k[good], at[rows, k][good], won[rows, k][good]
+            _, mine = np.unique(want, return_index=True)
+            for i in mine.tolist():
+                b, members = open_[which[left[i]]], own[left[i]]
+                gone = members[k[i]] if k[i] < m else members[_SUBSETS[m][0][k[i] - m]] if k[i] < m + len(_SUBSETS[m][0]) else members[_SUBSETS[m][1][k[i] - m - len(_SUBSETS[m][0])]]
+                child[free[want[i]]] = b
+                child[gone] = -1
+                loads[b] += won[i]
+            free = np.delete(free, want[mine])
+            left = np.delete(left, mine)
 
 
 def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
