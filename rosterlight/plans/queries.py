@@ -356,24 +356,24 @@ def break_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.anchored_breaks(v.roster, v.rules).drop("k")
 
 
-@query(" SELECT s.date + 28 AS date, s.start_min, s.end_min FROM shifts s WHERE s.week = DATE '2024-01-01' AND isodow(s.date) NOT IN (6, 7)", dates=("date",))
+@query(f"{_ORDER_SHIFTS} SELECT s.date + 364 AS date, s.start_min, s.end_min FROM oshifts s WHERE year(s.week) = 1997 AND s.store < 20 AND NOT EXISTS (SELECT 1 FROM oshifts t WHERE t.store = 21 AND t.date = s.date + 364)", dates=("date",))
 def copy_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A week's shifts four weeks on, except on days that have shifts already (here its weekend)."""
-    v = Views(spark, sf_dir)
-    there = v.shifts.where("week = '2024-01-01' AND weekday(date) >= 5").select(F.date_add("date", 28).alias("date"))
-    return sinks.copied_week(v.shifts.where("week = '2024-01-01'").select("date", "start_min", "end_min"), there, 28)
+    """The shifts of a year's weeks 52 weeks on, except on days that have shifts (of another store) already."""
+    s = order_shifts(Views(spark, sf_dir))
+    return sinks.copied_week(s.where("year(week) = 1997 AND store < 20").select("date", "start_min", "end_min"), s.where("store = 21"), 364)
 
 
 @query(
-    """, templates(weekday, block) AS (VALUES (0, 1), (2, 2), (6, 1)), blocks(block, start_min, end_min) AS (VALUES (1, 360, 660), (2, 900, 1260)),
-    weeks AS (SELECT DATE '2024-01-15' + CAST(k * 7 AS INTEGER) AS week FROM range(4) AS x(k))
-    SELECT week + weekday AS date, start_min, end_min FROM weeks, templates JOIN blocks USING (block) WHERE NOT EXISTS (SELECT 1 FROM shifts s WHERE s.date >= weeks.week AND s.date < weeks.week + 7)""", dates=("date",))
+    f"""{_ORDER_SHIFTS}, templates AS (SELECT DISTINCT CAST(isodow(date) - 1 AS INTEGER) AS weekday, CAST(store % 5 AS INTEGER) AS block FROM oshifts WHERE status = 'P'),
+    blocks AS (SELECT r_regionkey AS block, CAST(360 + 90 * r_regionkey AS INTEGER) AS start_min, CAST(660 + 90 * r_regionkey AS INTEGER) AS end_min FROM region)
+    SELECT w.week + weekday AS date, start_min, end_min FROM (SELECT DISTINCT week FROM oshifts) w, templates JOIN blocks USING (block) WHERE NOT EXISTS (SELECT 1 FROM oshifts s WHERE s.store < 3 AND s.week = w.week)""", dates=("date",))
 def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates seen in some orders, in all weeks in which three stores have no shift."""
     v = Views(spark, sf_dir)
-    templates = spark.createDataFrame([(0, 1), (2, 2), (6, 1)], "weekday int, block int")
-    blocks = spark.createDataFrame([(1, 360, 660), (2, 900, 1260)], "block int, start_min int, end_min int")
-    weeks = spark.range(4).select(F.date_add(F.lit("2024-01-15").cast("date"), (F.col("id") * 7).cast("int")).alias("week"))
-    return sinks.expanded_templates(templates, blocks, weeks, v.shifts).select("date", "start_min", "end_min")
+    s, r = order_shifts(v), F.col("r_regionkey")
+    templates = s.where("status = 'P'").select(F.weekday("date").alias("weekday"), (F.col("store") % 5).cast("int").alias("block")).distinct()
+    blocks = v.table("region").select(r.alias("block"), (360 + 90 * r).cast("int").alias("start_min"), (660 + 90 * r).cast("int").alias("end_min"))
+    return sinks.expanded_templates(templates, blocks, s.select("week").distinct(), s.where("store < 3")).select("date", "start_min", "end_min")
 
 
 @query(" SELECT station, CAST(created_at AS DATE) AS day, max(items) AS items FROM tickets WHERE (station, CAST(created_at AS DATE), created_at) IN (SELECT station, CAST(created_at AS DATE), max(created_at) FROM tickets GROUP BY ALL) GROUP BY ALL", dates=("day",))

@@ -14,7 +14,7 @@ from ..sources import html_tables, imports, sinks, tables
 from ..sources.testviews import START, Views
 from ..streaming import adherence
 from . import applied, sync
-from .queries import _ENTITLED, _OWN, _WARNED, _WARNINGS, _WORKED, _planned, query
+from .queries import _ENTITLED, _ORDER_SHIFTS, _OWN, _WARNED, _WARNINGS, _WORKED, _planned, order_shifts, query
 from .shared import scratch
 
 _DAY = "CAST(clock_in AS DATE)"
@@ -249,12 +249,13 @@ def sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("attempted_at", "ok", "error", F.col("rows")["hours"].alias("hours_rows"), F.col("rows")["swaps"].alias("swaps_rows")).crossJoin(n("hours")).crossJoin(n("swaps"))  # one row each
 
 
-@query(" SELECT level_id, level_name, 'empty' AS which FROM levels UNION ALL SELECT level_id, level_name, 'full' FROM levels WHERE level_id < 3")
+@query(" SELECT n_nationkey AS level_id, n_name AS level_name, 'empty' AS which FROM nation UNION ALL SELECT n_nationkey, n_name, 'full' FROM nation WHERE n_regionkey = 1")
 def seeded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default rows come in only where a table has none."""
-    lv = Views(spark, sf_dir).levels.select("level_id", "level_name")
+    n = Views(spark, sf_dir).table("nation")
+    lv = n.select(F.col("n_nationkey").alias("level_id"), F.col("n_name").alias("level_name"))
     made = lambda df, name: views.seeded(df, lv).withColumn("which", F.lit(name))
-    return made(lv.where("level_id < 0"), "empty").union(made(lv.where("level_id < 3"), "full"))
+    return made(lv.where("level_id < 0"), "empty").union(made(lv.where(n["n_regionkey"] == 1), "full"))
 
 
 @query(" SELECT entry_id, start_min, CAST(start_min + 100 * (entry_id % 11) AS INTEGER) AS end_min, start_min + 100 * (entry_id % 11) > start_min AND start_min + 100 * (entry_id % 11) <= 1440 AS valid FROM roster")
@@ -293,11 +294,15 @@ def upsert_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upserted(old, new, ["employee_id", "shift_date"], [F.desc("synced")]).drop("session_id")
 
 
-@query(" SELECT target_seconds, CAST(effective_from AS VARCHAR) AS effective_from FROM sla WHERE effective_from <> DATE '2024-01-10' UNION ALL VALUES (999, '2024-01-10'), (111, '2024-02-02')")
+@query(
+    """, said AS (SELECT l_linenumber AS n, CAST(l_shipdate AS DATE) AS day, CAST(max(l_quantity) AS INTEGER) AS target FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)
+    SELECT CAST(arg_max(target, n) AS INTEGER) AS target_seconds, CAST(day AS VARCHAR) AS effective_from FROM said GROUP BY day"""
+)
 def upsert_sla(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = Views(spark, sf_dir).sla.select("target_seconds", F.col("effective_from").cast("string").alias("effective_from"), F.lit(0).alias("n"))
-    new = spark.createDataFrame([(999, "2024-01-10", 1), (111, "2024-02-02", 1)], "target_seconds int, effective_from string, n int")
-    return sinks.upserted(old, new, ["effective_from"], [F.desc("n")]).drop("n")
+    """Targets by day, of which a second list changes some and adds others."""
+    lines = Views(spark, sf_dir).table("lineitem")
+    said = lambda n: lines.where(F.col("l_linenumber") == n).groupBy(F.to_date("l_shipdate").cast("string").alias("effective_from")).agg(F.max("l_quantity").cast("int").alias("target_seconds")).withColumn("n", F.lit(n))
+    return sinks.upserted(said(1), said(2), ["effective_from"], [F.desc("n")]).select("target_seconds", "effective_from")
 
 
 @query(
@@ -444,10 +449,10 @@ def schedule_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("week").cast("string").alias("week"), size("shifts"), size("assignments"), size("unfilled"), size("warnings"), F.element_at("shifts", 1)["shift_id"].alias("first_shift"))
 
 
-@query(" SELECT shift_id, CAST(date AS VARCHAR) AS date FROM shifts WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-17'")
+@query(f"{_ORDER_SHIFTS} SELECT shift_id, CAST(date AS VARCHAR) AS date FROM oshifts WHERE date >= DATE '1997-05-14' AND date < DATE '1997-05-21'")
 def week_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven days from any date on, in order."""
-    return views.week_slice(Views(spark, sf_dir).shifts, F.lit("2024-01-10").cast("date")).select("shift_id", F.col("date").cast("string").alias("date"))
+    return views.week_slice(order_shifts(Views(spark, sf_dir)), F.lit("1997-05-14").cast("date")).select("shift_id", F.col("date").cast("string").alias("date"))
 
 
 @query(" SELECT ticket_id FROM tickets WHERE station = 'view' AND NOT recalled")
@@ -462,10 +467,10 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.members(v.employees, v.assignments.where("manual"), "employee_id").select("employee_id", "name")
 
 
-@query(" SELECT DISTINCT CAST(week AS VARCHAR) AS week, who FROM shifts, (VALUES ('manager'), ('staff')) AS x(who) WHERE who = 'manager' OR week < DATE '2024-01-15'")
+@query(f"{_ORDER_SHIFTS}, weeks AS (SELECT week, bool_or(status = 'P') AS open_ FROM oshifts GROUP BY week) SELECT CAST(week AS VARCHAR) AS week, who FROM weeks, (VALUES ('manager'), ('staff')) AS x(who) WHERE who = 'manager' OR NOT open_")
 def visible_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts are for managers."""
-    weeks = Views(spark, sf_dir).shifts.select("week").distinct().withColumn("status", F.when(F.col("week") < "2024-01-15", "published").otherwise("draft"))
+    """Drafts (here weeks with an order in progress) are for managers."""
+    weeks = order_shifts(Views(spark, sf_dir)).groupBy("week").agg(F.when(F.bool_or(F.col("status") == "P"), "draft").otherwise("published").alias("status"))
     see = lambda manager, who: views.visible(weeks, manager).select(F.col("week").cast("string").alias("week"), F.lit(who).alias("who"))
     return see(True, "manager").union(see(False, "staff"))
 
