@@ -451,7 +451,7 @@ def crew_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every page the list or table that fits the wanted columns best."""
+    """Of every page the table that fits the wanted columns best."""
     return html_tables.best_tables(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html", {"name": ["team member", "name"], "worked": ["worked", "hours"]})
 
 

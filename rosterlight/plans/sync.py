@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sinks import upserted
+from .shared import kept
 
 
 @dataclass
@@ -32,13 +33,13 @@ def load_config(path: str) -> dict:
 def refreshed(spark: SparkSession, tables: dict[str, DataFrame], sources: list[Source], at: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables after the refresh, and a status row: attempted at, ok, rows by source, errors joined by semicolons.
 
-    A source is read and counted before anything of it is used; one that fails leaves its table as it was, and what
+    A source is read once, into the shared folder, and counted before anything of it is used; one that fails leaves its table as it was, and what
     the others brought is kept.
     """
     after, rows, errors = dict(tables), [], []
     for s in sources:
         try:
-            new = s.read()
+            new = kept(s.read(), "synced")  # what is counted is what is used
             n = new.count()
         except Exception as e:  # whatever a source throws is its status, not ours
             errors.append(f"{s.name}: {str(e).splitlines()[0][:200]}")
