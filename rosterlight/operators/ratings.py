@@ -50,10 +50,11 @@ def by_session(hits: DataFrame) -> DataFrame:
 
 def session_hits(hits: DataFrame, goal: DataFrame) -> DataFrame:
     """Hits -> employee_id, shifts_hit_target, shifts_total over sessions with a ticket; ``goal`` is one row."""
-    return by_session(hits).crossJoin(F.broadcast(goal)).groupBy("employee_id").agg(*_met())
+    return by_session(hits).crossJoin(F.broadcast(goal)).groupBy("employee_id").agg(*met())
 
 
-def _met() -> list[Column]:
+def met() -> list[Column]:
+    """Aggregates over rows of one session each, with n, ok and goal."""
     return [F.count_if(F.col("ok") / F.col("n") >= F.col("goal")).cast("int").alias("shifts_hit_target"), F.count(F.lit(1)).cast("int").alias("shifts_total")]
 
 
@@ -72,22 +73,26 @@ def ratings(tickets: DataFrame, sessions: DataFrame, breaks: DataFrame, levels:
     own = judged(tickets, sla, start, end)
     hits = on_floor(own, sessions, breaks, levels, start, end, keys).join(F.broadcast(hour_baseline(own)), "hour")
     sums = by_session(hits).crossJoin(F.broadcast(latest_goal(sla))).groupBy("employee_id").agg(
-        F.sum("n").alias("tickets"), (F.sum("ok") / F.sum("n")).alias("actual"), (F.sum("base") / F.sum("n")).alias("expected"), *_met()
+        F.sum("n").alias("tickets"), (F.sum("ok") / F.sum("n")).alias("actual"), (F.sum("base") / F.sum("n")).alias("expected"), *met()
     )
-    raw = (F.col("actual") - F.col("expected")) * 100
     named = level_as_of(employee_levels, F.lit(end).cast("date")).join(levels.select("level_id", "level_name"), "level_id").select("employee_id", "level_name")
-    out = sums.join(named, "employee_id", "left")
-    return out.select(
-        "employee_id",
+    return sums.join(named, "employee_id", "left").select(*shown(shrink))
+
+
+def shown(shrink: int) -> list[Column]:
+    """A person's report of tickets, actual, expected and level_name, and the sessions that were met."""
+    raw = (F.col("actual") - F.col("expected")) * 100
+    return [
+        F.col("employee_id"),
         F.coalesce("level_name", F.lit("")).alias("level_name"),
         F.col("tickets").cast("long").alias("tickets"),
         F.round("actual", 4).alias("on_floor_adherence"),
         F.round("expected", 4).alias("expected_adherence"),
         (F.round(raw, 2) + 0.0).alias("raw_plus_minus"),
         (F.round(raw * F.col("tickets") / (F.col("tickets") + shrink), 2) + 0.0).alias("plus_minus"),
-        "shifts_hit_target",
-        "shifts_total",
-    )
+        F.col("shifts_hit_target"),
+        F.col("shifts_total"),
+    ]
 
 
 def ranked(rated: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import demand, ratings, rules, scheduling, temporal, views
+from ..operators import cells, demand, ratings, rules, scheduling, temporal, views
 from ..sources import html_tables, sinks, testviews
 from ..sources.testviews import END, START, Views
 from .shared import kept
@@ -89,6 +89,36 @@ def what_if_adherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.what_if(Views(spark, sf_dir).tickets, 180, START, END)
 
 
+# reports from cells: windows that cut months, hold whole ones, and lie past the tickets
+_WINDOWS = [(START, END), ("2024-01-10", "2024-02-09"), ("2023-12-25", "2024-01-31"), ("2024-01-17", "2024-01-17"), ("2024-01-20", "2030-06-15"), ("2031-01-01", "2031-01-31")]
+_TARGETS = [60, 180, 300, 431]
+
+
+def _for_windows(sql: str, select: str) -> str:
+    """``sql``, a list of common tables for the window of most queries, with ``select`` for each of the windows."""
+    of = lambda s, e: f"WITH {sql.strip().lstrip(',')} {select}".replace(f"'{START}'", f"'{s}'").replace(f"'{END}'", f"'{e}'")
+    return " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS window_no, * FROM ({of(s, e)})" for i, (s, e) in enumerate(_WINDOWS))
+
+
+def _cells(v: Views) -> cells.Cells:
+    """The cells of two halves of the tickets, added up and written."""
+    halves = [cells.report_cells(v.tickets.where(f"ticket_id % 2 = {k}"), v.sessions, v.breaks, v.levels, v.sla) for k in (0, 1)]
+    both = cells.merged(*halves)
+    return cells.Cells(kept(both.tickets, "ticket-cells"), kept(both.floor, "floor-cells"))
+
+
+@query(" " + _for_windows(_RATED, "SELECT * FROM rated"))
+def window_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir, kept)
+    return cells.window_ratings(cells.rating_tables(_cells(v), v.sla), v.levels, v.employee_levels, v.sla, _WINDOWS)
+
+
+@query(" " + _for_windows(_JUDGED, f"SELECT CAST(t AS INTEGER) AS target_seconds, count(completion_seconds) AS tickets, coalesce(round(count(*) FILTER (completion_seconds <= t) / nullif(count(completion_seconds), 0), 4), 0.0) AS adherence FROM (VALUES {', '.join(f'({t})' for t in _TARGETS)}) AS a(t) LEFT JOIN verdict ON true GROUP BY t"))
+def what_if_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = kept(cells.ticket_cells(Views(spark, sf_dir).tickets), "ticket-cells")
+    return cells.what_if_targets(t, cells.marks(t, ["completion_seconds"], ["n"]), _TARGETS, _WINDOWS)
+
+
 _HOURLY = """,
     hourly AS (SELECT hour(created_at) AS hour, count(*) / (SELECT count(DISTINCT CAST(created_at AS DATE)) FROM tickets WHERE NOT recalled) AS average FROM tickets WHERE NOT recalled GROUP BY 1),
     weights AS (SELECT shift_id, greatest(1, CAST(round_even(sum(coalesce(average, 0) * greatest(0, least(end_min, (k + 1) * 60) - greatest(start_min, k * 60)) / 60), 0) AS INTEGER)) AS weight
