@@ -71,6 +71,18 @@ def ticket_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.tickets(spark, path).select("station", "items", "completion_seconds", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "recalled")
 
 
+@query(""" SELECT DISTINCT station || ' "no. ' || items || '"' || chr(10) || 'and, more' AS source, items, completion_seconds, strftime(date_trunc('minute', created_at), '%Y-%m-%d %H:%M:%S') AS created_at FROM tickets""")
+def ticket_import_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export whose cells hold quotes, commas and line feeds, read back in splits."""
+    source = F.concat("station", F.lit(' "no. '), F.col("items").cast("string"), F.lit('"\nand, more'))
+    rows = Views(spark, sf_dir).tickets.select(
+        source.alias("Order Source"), F.col("items").cast("string").alias("Number of Items"), F.col("completion_seconds").cast("string").alias("Completion Time (seconds)"), F.date_format("created_at", "M/d/yyyy H:mm").alias("Time Created")
+    )
+    path = scratch(spark, "tickets")
+    rows.write.options(header=True, escape='"').csv(path)
+    return imports.tickets(spark, path).select("source", "items", "completion_seconds", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
 @query(f" SELECT 'Person ' || employee_id AS name, 'pay-' || employee_id AS payroll_id, 'L' || level_id AS role, CAST(clock_in AS VARCHAR) AS clock_in, CAST(clock_out AS VARCHAR) AS clock_out FROM sessions")
 def timesheet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sheet(Views(spark, sf_dir))["sessions"]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, row_hash
+from .quoted import read_csv
 
 # The columns of the exports.
 TICKET_COLUMNS = ("Completion Time (seconds)", "Time Created")
@@ -31,9 +32,10 @@ def _required(df: DataFrame, columns: tuple[str, ...]) -> None:
 def tickets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The ticket export as typed rows, one per distinct content; rows without a creation time or duration are left out.
 
-    With ``multi_line`` cells may hold line feeds, and a file is read by one task; exports without such cells can be split.
+    Cells may hold line feeds, and large files are read in splits all the same; without ``multi_line`` a line is a record,
+    and the lines need not be put together.
     """
-    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    raw = read_csv(spark, path) if multi_line else spark.read.options(header=True, escape='"').csv(path)
     _required(raw, TICKET_COLUMNS)
     get = lambda c: blank_to_null(F.col(f"`{c}`")) if c in raw.columns else F.lit(None).cast("string")
     when = lambda c: F.to_timestamp_ntz(get(c), F.lit("M/d/yyyy H:mm"))
