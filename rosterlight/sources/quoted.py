@@ -29,32 +29,29 @@ def _xor(a: Column, b: Column) -> Column:
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, block, line_no, value, blank, out, flips, set: the lines of each split by number, with what they do to the state.
+    """The lines of each split (file, block) by number, with what they do to the state: line_no, value, blank, and
 
-    ``out`` is the state behind the line if it began closed.  ``flips`` counts the lines of the split up to this one that
-    flip the state, ``set`` is the state that the last line set which does not depend on it, less the flips until then;
-    null if none.  Behind the line the state is then (set, or the split's own beginning) + flips, modulo 2.
+    flips: how many lines up to this one flip the state; set: the state that the last line set which does not depend on the
+    one before it, less the flips until then, null if none.  Behind the line the state is (set, or the split's own
+    beginning) + flips, modulo 2.  flips_b and set_b are the same before the line; began_0 and began_1 are the line where its
+    record began, if the split begins closed or open, null if in a split before.  All windows go by one order, so there is one sort.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.ltrim("value", F.lit("﻿")).alias("value"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.ltrim("value", F.lit("\ufeff")).alias("value"))
     raw = raw.withColumns({"blank": F.col("value") == "", "out": _ends_open(F.col("value"), False), "in": _ends_open(F.col("value"), True)})
     order = Window.partitionBy("file", "block").orderBy("id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
     own = raw.withColumns({"line_no": F.row_number().over(order), "flips": F.sum((F.col("out") > F.col("in")).cast("int")).over(upto)})
-    fixed = F.when(F.col("out") == F.col("in"), _xor(F.col("out"), F.col("flips")))
-    return own.withColumn("set", F.last(fixed, ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))).drop("id", "in")
-
-
-def _before(df: DataFrame) -> DataFrame:
-    """``df`` with flips and set as they are before the line."""
-    order = Window.partitionBy("file", "block").orderBy("line_no")
-    return df.withColumns({"flips_b": F.lag("flips", 1, 0).over(order), "set_b": F.lag("set").over(order)})
+    own = own.withColumn("set", last(F.when(F.col("out") == F.col("in"), _xor(F.col("out"), F.col("flips")))))
+    own = own.withColumns({"flips_b": F.lag("flips", 1, 0).over(order), "set_b": F.lag("set").over(order)})
+    began = {f"began_{s}": last(F.when(_xor(F.coalesce("set_b", F.lit(s)), F.col("flips_b")) == 0, F.col("line_no"))) for s in (0, 1)}
+    return own.withColumns(began).drop("id", "out", "in")
 
 
 def heads(numbered: DataFrame) -> DataFrame:
     """file, block, begins (0 or 1), from_block, from_line, head: how each split begins, where the record began that reaches into it, and the line of the file's first record."""
-    df = _before(numbered)
-    starts = [F.max(F.when(_xor(F.coalesce("set_b", F.lit(s)), F.col("flips_b")) == 0, F.col("line_no"))).alias(f"last_{s}") for s in (0, 1)]
-    per = df.groupBy("file", "block").agg(F.max("flips").alias("flips"), F.max_by("set", "line_no").alias("set"), F.min(F.when(~F.col("blank"), F.col("line_no"))).alias("head"), *starts)
+    starts = [F.max(f"began_{s}").alias(f"last_{s}") for s in (0, 1)]
+    per = numbered.groupBy("file", "block").agg(F.max("flips").alias("flips"), F.max_by("set", "line_no").alias("set"), F.min(F.when(~F.col("blank"), F.col("line_no"))).alias("head"), *starts)
     order = Window.partitionBy("file").orderBy("block")
     upto, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("total", F.sum("flips").over(upto))
@@ -75,13 +72,12 @@ def records(spark: SparkSession, path: str | list[str], header: bool = False) ->
     of longer ones once more.
     """
     df = lines(spark, path)
-    df = _before(df).join(heads(df).withColumnsRenamed({"file": "file_h", "block": "block_h"}), (F.col("file") == F.col("file_h")) & (F.col("block") == F.col("block_h")))
+    df = df.join(heads(df).withColumnsRenamed({"file": "file_h", "block": "block_h"}), (F.col("file") == F.col("file_h")) & (F.col("block") == F.col("block_h")))
     state = lambda held, flips: _xor(F.coalesce(held, "begins"), F.col(flips))
     df = df.withColumns({"was": state("set_b", "flips_b"), "is": state("set", "flips")})
-    began = F.last(F.when(F.col("was") == 0, F.col("line_no")), ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("began", began)
+    df = df.withColumn("began", F.when(F.col("begins") == 0, F.col("began_0")).otherwise(F.col("began_1")))
     body = lambda block, line: ~((F.col(block) == 0) & (F.col(line) == F.col("head"))) if header else F.lit(True)
-    whole = df.where("was = 0 AND `is` = 0 AND NOT blank").where(body("block", "line_no")).select("file", "block", "line_no", F.col("value").alias("record"))
+    whole = df.where("was = 0 AND `is` = 0 AND value <> ''").where(body("block", "line_no")).select("file", "block", "line_no", F.col("value").alias("record"))
     parts = df.where("was = 1 OR `is` = 1").withColumns({"of_line": F.coalesce("began", "from_line"), "of_block": F.when(F.col("began").isNotNull(), F.col("block")).otherwise(F.col("from_block"))})
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line_no", "value"))), lambda x: x.value), "\n")
     parts = parts.where(body("of_block", "of_line"))
