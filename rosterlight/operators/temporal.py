@@ -19,12 +19,12 @@ SMALL_ROWS = 10_000
 RANGE_ROWS, MOST_RANGES = 1_000_000, 65_536
 
 
-_COUNTED: dict[tuple[str, int], bool] = {}
+_COUNTED: dict[tuple[str, int, int], bool] = {}
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has at most ``SMALL_ROWS`` rows; one look at a table in a session serves every plan made from it."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    """Whether ``df`` has at most ``SMALL_ROWS`` rows; one look at a table in a session serves every plan made from the same files."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), hash(frozenset(df.inputFiles())))
     if key not in _COUNTED:
         _COUNTED[key] = df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     return _COUNTED[key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -51,6 +51,11 @@ _RATED = f"""{_HITS},
               FROM sums JOIN met USING (employee_id) LEFT JOIN held USING (employee_id) LEFT JOIN levels USING (level_id))"""
 
 
+def as_text(array: str, fields: list[str], by: str = "-") -> Column:
+    """An array of structs as text, so that whole arrays are compared, in their order."""
+    return F.array_join(F.transform(array, lambda x: F.concat_ws(by, *[x[f].cast("string") for f in fields])), ";")
+
+
 def _ratings(v: Views) -> DataFrame:
     return ratings.ratings(v.tickets, v.sessions, v.breaks, v.levels, v.employee_levels, v.sla, START, END)
 
@@ -615,15 +620,16 @@ def break_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """, held AS (SELECT employee_id, arg_max(level_id, effective_from) AS level_id FROM employee_levels WHERE effective_from <= DATE '2024-01-20' GROUP BY employee_id),
-    a AS (SELECT employee_id, count(*) AS n, sum(start_min + 7 * end_min + 100000 * weekday) AS s FROM availability GROUP BY employee_id)
-    SELECT e.employee_id, l.level_name AS level, CAST(coalesce(a.n, 0) AS BIGINT) AS windows, CAST(coalesce(a.s, 0) AS BIGINT) AS window_sum, CAST((SELECT count(*) FROM time_off o WHERE o.employee_id = e.employee_id) AS BIGINT) AS times_off
+    a AS (SELECT employee_id, string_agg(concat_ws('-', weekday, start_min, end_min), ';' ORDER BY weekday, start_min, end_min) AS s FROM availability GROUP BY employee_id)
+    SELECT e.employee_id, l.level_name AS level, coalesce(a.s, '') AS windows, coalesce((SELECT string_agg(concat_ws('/', start_date, end_date), ';' ORDER BY start_date) FROM time_off o WHERE o.employee_id = e.employee_id), '') AS times_off
     FROM employees e LEFT JOIN held USING (employee_id) LEFT JOIN levels l ON l.level_id = held.level_id LEFT JOIN a ON a.employee_id = e.employee_id"""
 )
 def employee_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     rows = views.employee_view(v.employees, v.employee_levels, v.levels, v.availability, v.time_off, F.lit("2024-01-20").cast("date"))
-    total = F.aggregate("availability", F.lit(0).cast("long"), lambda a, w: a + w["start_min"] + 7 * w["end_min"] + 100000 * w["weekday"])
-    return rows.select("employee_id", "level", F.size("availability").cast("long").alias("windows"), total.alias("window_sum"), F.size("time_off").cast("long").alias("times_off"))
+    windows, off = as_text("availability", ["weekday", "start_min", "end_min"]), as_text("time_off", ["start_date", "end_date"], "/")
+    return rows.select("employee_id", "level", windows.alias("windows"), off.alias("times_off"))
+
 
 
 @query(

@@ -14,7 +14,7 @@ from ..sources import html_tables, imports, sinks, tables
 from ..sources.testviews import START, Views
 from ..streaming import adherence
 from . import applied, sync
-from .queries import _ENTITLED, _ORDER_SHIFTS, _OWN, _WARNED, _WARNINGS, _WORKED, _planned, order_shifts, query
+from .queries import _ENTITLED, _ORDER_SHIFTS, _OWN, _WARNED, _WARNINGS, _WORKED, _planned, as_text, order_shifts, query
 from .shared import scratch
 
 _DAY = "CAST(clock_in AS DATE)"
@@ -448,17 +448,19 @@ def stream_once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_WORKED}{_OWN}{_WARNED}, warned AS ({_WARNINGS})
-    SELECT CAST(w.week AS VARCHAR) AS week, (SELECT count(*) FROM shifts s WHERE s.week = w.week) AS n_shifts, (SELECT count(*) FROM own o WHERE o.week = w.week) AS n_assignments,
-           (SELECT count(*) FROM (SELECT s.week FROM requirements r JOIN shifts s USING (shift_id) LEFT JOIN assignments a ON a.shift_id = r.shift_id AND a.fills_level_id = r.level_id GROUP BY s.week, r.shift_id, r.level_id, r.count HAVING count(a.employee_id) < r.count) u WHERE u.week = w.week) AS n_unfilled,
-           (SELECT count(*) FROM warned x WHERE x.week = w.week) AS n_warnings, (SELECT min(s.shift_id) FROM shifts s WHERE s.week = w.week) AS first_shift FROM (SELECT DISTINCT week FROM shifts) w"""
+    SELECT CAST(w.week AS VARCHAR) AS week, (SELECT string_agg(concat_ws('/', date, start_min, shift_id, end_min), ';' ORDER BY date, start_min, shift_id) FROM shifts s WHERE s.week = w.week) AS shifts,
+           (SELECT string_agg(concat_ws('-', shift_id, employee_id, fills_level_id, manual), ';' ORDER BY shift_id, employee_id, fills_level_id, manual) FROM assignments a JOIN shifts s USING (shift_id) WHERE s.week = w.week) AS assignments,
+           (SELECT string_agg(concat_ws('-', shift_id, level_id, n), ';' ORDER BY shift_id, level_id) FROM (SELECT s.week, r.shift_id, r.level_id, r.count - count(a.employee_id) AS n FROM requirements r JOIN shifts s USING (shift_id)
+            LEFT JOIN assignments a ON a.shift_id = r.shift_id AND a.fills_level_id = r.level_id GROUP BY s.week, r.shift_id, r.level_id, r.count HAVING count(a.employee_id) < r.count) u WHERE u.week = w.week) AS unfilled,
+           (SELECT count(*) FROM warned x WHERE x.week = w.week) AS n_warnings FROM (SELECT DISTINCT week FROM shifts) w"""
 )
 def schedule_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A week with its shifts, assignments, open slots and warnings as ordered arrays; here their sizes and the first shift."""
+    """A week with its shifts, assignments, open slots and warnings as ordered arrays, here as text."""
     v = Views(spark, sf_dir)
     warned = rules.warning_messages(rules.warnings(v.assignments, v.shifts, v.employees, rules.worked_dates(v.sessions, v.assignments, v.shifts)), v.employees)
     rows = views.schedule_detail(v.shifts, v.assignments, rules.unfilled(v.requirements, v.assignments), warned)
-    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return rows.select(F.col("week").cast("string").alias("week"), size("shifts"), size("assignments"), size("unfilled"), size("warnings"), F.element_at("shifts", 1)["shift_id"].alias("first_shift"))
+    parts = [as_text("shifts", ["date", "start_min", "shift_id", "end_min"], "/").alias("shifts"), as_text("assignments", ["shift_id", "employee_id", "fills_level_id", "manual"]).alias("assignments")]
+    return rows.select(F.col("week").cast("string").alias("week"), *parts, as_text("unfilled", ["shift_id", "level_id", "missing"]).alias("unfilled"), F.size("warnings").cast("long").alias("n_warnings"))
 
 
 @query(f"{_ORDER_SHIFTS} SELECT shift_id, CAST(date AS VARCHAR) AS date FROM oshifts WHERE date >= DATE '1997-05-14' AND date < DATE '1997-05-21'")

@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.temporal import small, with_until
+from ..operators.temporal import with_until
 from ..sources.tables import BUCKETS, inserted_into, upserted_into
 
 
 def hourly_adherence(tickets: DataFrame, sla: DataFrame, late: str = "2 hours") -> DataFrame:
     """A stream of tickets (created_at timestamp) -> window start, tickets, on_time, once an hour can get no more tickets.
 
-    The target in force on a ticket's day is joined from the static table, so late tickets are judged as of their day.
+    The target in force on a ticket's day is joined from the static table, so late tickets are judged as of their day.  The
+    table becomes a calendar, a row for each day up to its last entry, and that entry holds from then on: the stream meets it
+    by the day and one row, however many entries there are.  Of entries of one day the largest target counts.
     """
-    spans = small(with_until(sla.select("target_seconds", "effective_from"), "effective_from", []))
-    day = F.to_date("created_at")
-    due = tickets.where("NOT recalled").withWatermark("created_at", late).join(spans, (F.col("effective_from") <= day) & (F.col("until").isNull() | (day < F.col("until"))), "left")
-    ok = F.col("completion_seconds") <= F.coalesce("target_seconds", F.lit(300))
+    by_day = sla.where("effective_from IS NOT NULL").groupBy("effective_from").agg(F.max("target_seconds").alias("target_seconds"))
+    days = with_until(by_day, "effective_from", []).where("until IS NOT NULL")
+    days = days.select(F.explode(F.sequence("effective_from", F.date_sub("until", 1))).alias("day__"), "target_seconds")
+    last = by_day.agg(F.max("effective_from").alias("since__"), F.max_by("target_seconds", "effective_from").alias("last__"))
+    live = tickets.where("NOT recalled").withWatermark("created_at", late).withColumn("day__", F.to_date("created_at"))
+    due = live.join(days, "day__", "left").crossJoin(F.broadcast(last))
+    target = F.when(F.col("day__") >= F.col("since__"), F.col("last__")).otherwise(F.col("target_seconds"))
+    ok = F.col("completion_seconds") <= F.coalesce(target, F.lit(300))
     per = due.groupBy(F.window("created_at", "1 hour")).agg(F.count(F.lit(1)).alias("tickets"), F.count_if(ok).alias("on_time"))
     return per.select(F.col("window.start").alias("hour_start"), "tickets", "on_time")
 

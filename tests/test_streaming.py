@@ -29,6 +29,24 @@ def test_closed_hours_equal_the_batch(spark, tmp_path):
     assert len(got) >= len(want) - 4
 
 
+def test_targets_that_change_each_day_of_many_years(spark):
+    """More entries than are ever broadcast: each day's own target counts, the last one from then on, and 300 before the first."""
+    v = Views(spark, DIR)
+    t = v.tickets.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp, event_type string, value double, props string").parquet(DIR, pathGlobFilter="events.parquet")
+    stream = stream.select(F.col("ts").alias("created_at"), F.floor(F.col("value") * 6).cast("int").alias("completion_seconds"), (F.col("event_type") == "error").alias("recalled"))
+    first, last = F.lit("2024-01-04").cast("date"), F.lit("2024-01-24").cast("date")
+    day = F.date_add(first, F.col("id").cast("int"))
+    past = spark.range(12_000).select((100 + F.col("id") % 7 * 60).cast("int").alias("target_seconds"), F.date_sub(last, F.col("id").cast("int")).alias("effective_from"))
+    for sla, start in ((past, None), (past.where(F.col("effective_from") >= first), first)):
+        got = {r.hour_start: (r.tickets, r.on_time) for r in drained(spark, adherence.hourly_adherence(stream, sla), f"daily{start is None}").collect()}
+        at = F.to_date("created_at")
+        target = F.when(at < first, 300) if start is not None else F.when(F.lit(False), 0)
+        target = target.otherwise(100 + F.greatest(F.datediff(last, at), F.lit(0)) % 7 * 60)
+        want = {r.h: (r.n, r.ok) for r in t.where("NOT recalled").groupBy(F.date_trunc("hour", "created_at").alias("h")).agg(F.count("*").alias("n"), F.count_if(F.col("completion_seconds") <= target).alias("ok")).collect()}
+        assert got and all(want[h] == x for h, x in got.items())
+
+
 def test_repeated_files_add_nothing(spark, tmp_path):
     t = Views(spark, DIR).tickets.withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("row_hash", F.col("ticket_id").cast("string")).where("ticket_id < 50")
     for _ in range(2):
