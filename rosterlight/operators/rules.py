@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import asof_join, day_runs, merged_windows, small
 
+#: Shifts that one task numbers and sweeps.
+TASK_SHIFTS = 50_000
+
 
 def absolute(week: Column, day: Column, minute: Column) -> Column:
     """Minutes since the start of a week."""
@@ -25,18 +30,27 @@ def shared_store(*tables: DataFrame) -> list[str]:
     return ["store"] if all("store" in t.columns for t in tables) else []
 
 
-def conflict_spans(shifts: DataFrame, rest: int = 480) -> DataFrame:
+def by_group(shifts: DataFrame, task_shifts: int = TASK_SHIFTS) -> DataFrame:
+    """``shifts`` dealt by (store and) week, about ``task_shifts`` a task.  Runs a job that counts them.
+
+    Shuffled shifts compress to some ten bytes, so partitions made by size hold millions, and the sorts of a task grow with the input.
+    """
+    return shifts.repartition(max(1, math.ceil(shifts.count() / task_shifts)), *shared_store(shifts), "week")
+
+
+def conflict_spans(shifts: DataFrame, rest: int = 480, task_shifts: int = TASK_SHIFTS) -> DataFrame:
     """For each shift the later shifts that nobody can do beside it, as two runs of places: one row a shift, no pairs.
 
     (store,) week, shift_id, place, same_until, next_from, next_until.  Shifts of a week (of a store) are numbered in order
     of date, start and id.  Those that clash with a shift and come after it are the ones of its date up to
     ``same_until``, which start before it ends, and those of other dates from ``next_from`` to ``next_until``, which start
     less than ``rest`` minutes after it.  One sweep over starts, ends and padded ends counts the starts before each end.
+    Shifts are dealt by ``by_group``, and all steps keep to that.
     """
     keys = [*shared_store(shifts), "week"]
     start, end = absolute(F.col("week"), F.col("date"), F.col("start_min")), absolute(F.col("week"), F.col("date"), F.col("end_min"))
     own = Window.partitionBy(*keys)
-    rows = shifts.select(*keys, "date", "shift_id", start.alias("s"), end.alias("e"), F.row_number().over(own.orderBy("date", "start_min", "shift_id")).alias("place"))
+    rows = by_group(shifts, task_shifts).select(*keys, "date", "shift_id", start.alias("s"), end.alias("e"), F.row_number().over(own.orderBy("date", "start_min", "shift_id")).alias("place"))
     rows = rows.withColumn("last", F.max("place").over(Window.partitionBy(*keys, "date")))
     event = lambda at, is_start, role: F.struct(at.alias("at"), F.lit(is_start).alias("is_start"), F.lit(role).alias("role"))
     events = rows.withColumn("x", F.explode(F.array(event(F.col("s"), 1, "start"), event(F.col("e"), 0, "same"), event(F.col("e") + rest, 0, "next"))))

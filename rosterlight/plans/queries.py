@@ -233,13 +233,14 @@ def conflict_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shift with its place and with how many it clashes: those of its own runs, and those in whose runs it stands."""
     spans = rules.conflict_spans(order_shifts(Views(spark, sf_dir)))
     run = lambda low, high: F.greatest(high - low + 1, F.lit(0))
-    later = spans.select("store", "week", "shift_id", "place", (run(F.col("place") + 1, F.col("same_until")) + run(F.col("next_from"), F.col("next_until"))).alias("n"))
-    mark = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("n"))
-    edge = lambda low, high: spans.where(low <= high).select("store", "week", F.explode(F.array(mark(low, 1), mark(high + 1, -1))).alias("x"))
-    marks = edge(F.col("place") + 1, F.col("same_until")).union(edge(F.col("next_from"), F.col("next_until")))
-    both = marks.select("store", "week", "x.at", "x.n", F.lit(None).cast("long").alias("shift_id"), F.lit(0).alias("later")).union(later.select("store", "week", F.col("place").alias("at"), F.lit(0).alias("n"), "shift_id", F.col("n").alias("later")))
+    runs = [(F.col("place") + 1, F.col("same_until")), (F.col("next_from"), F.col("next_until"))]
+    mark = lambda at, n, shift, later: F.struct(at.alias("at"), n.alias("n"), shift.cast("long").alias("shift_id"), later.alias("later"))
+    edge = lambda at, n, low, high: mark(at, F.when(low <= high, n).otherwise(0), F.lit(None), F.lit(0))
+    marks = [m for low, high in runs for m in (edge(low, 1, low, high), edge(high + 1, -1, low, high))]
+    itself = mark(F.col("place"), F.lit(0), F.col("shift_id"), reduce(Column.__add__, [run(low, high) for low, high in runs]))
+    both = spans.select("store", "week", F.explode(F.filter(F.array(itself, *marks), lambda m: m["shift_id"].isNotNull() | (m["n"] != 0))).alias("x")).select("store", "week", "x.*")
     open_ = F.sum("n").over(Window.partitionBy("store", "week").orderBy("at"))
-    return both.select("store", "week", "shift_id", F.col("at").cast("int").alias("place"), (open_ + F.col("later")).alias("clashes")).where("shift_id IS NOT NULL")
+    return both.select("store", "week", "shift_id", F.col("at").alias("place"), (open_ + F.col("later")).alias("clashes")).where("shift_id IS NOT NULL")
 
 
 _FEASIBLE = f"""{_CAN}{_EDGES},

@@ -210,6 +210,17 @@ def test_conflict_spans_are_one_row_a_shift_however_many_clash(spark):
     assert rules.conflict_edges(df).count() == 1999 * 1000
 
 
+def test_no_task_sweeps_more_shifts_however_many_there_are(spark):
+    """120,000 shifts take about a megabyte in a shuffle, and still are several tasks; places are the same in any number of tasks."""
+    week = F.date_add(F.lit("2020-01-06").cast("date"), (F.col("id") % 400 * 7).cast("int"))
+    df = spark.range(120_000).select(F.col("id").alias("shift_id"), week.alias("week"), F.date_add(week, (F.col("id") % 5).cast("int")).alias("date"), (F.col("id") * 37 % 900).cast("int").alias("start_min"), (F.col("id") * 37 % 900 + 90).cast("int").alias("end_min"))
+    most = rules.conflict_spans(df).groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+    assert most < 60_000
+    few = df.where("shift_id % 97 = 0")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(rules.conflict_spans(few, task_shifts=100)) == rows(rules.conflict_spans(few))
+
+
 def test_people_meet_the_shifts_of_their_own_store(spark):
     _, shifts = random_shifts(spark, 60, 3, 7)
     need = shifts.select("shift_id", F.lit(1).alias("level_id"), F.lit(1).alias("count"))
