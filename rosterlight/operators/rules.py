@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .temporal import asof_join, day_runs, merged_windows, small
 
-#: Shifts that one task numbers and sweeps.
-TASK_SHIFTS = 50_000
+#: Shifts that one task numbers and sweeps, and places of a tile.
+TASK_SHIFTS, TILE = 50_000, 256
 
 
 def absolute(week: Column, day: Column, minute: Column) -> Column:
@@ -30,12 +30,18 @@ def shared_store(*tables: DataFrame) -> list[str]:
     return ["store"] if all("store" in t.columns for t in tables) else []
 
 
-def by_group(shifts: DataFrame, task_shifts: int = TASK_SHIFTS) -> DataFrame:
-    """``shifts`` dealt by (store and) week, about ``task_shifts`` a task.  Runs a job that counts them.
+def _tasks(shifts: DataFrame, task_shifts: int) -> int:
+    """How many tasks ``shifts`` are dealt to; runs a job that counts them.
 
     Shuffled shifts compress to some ten bytes, so partitions made by size hold millions, and the sorts of a task grow with the input.
     """
-    return shifts.repartition(max(1, math.ceil(shifts.count() / task_shifts)), *shared_store(shifts), "week")
+    return max(1, math.ceil(shifts.count() / task_shifts))
+
+
+def _placed(shifts: DataFrame, tasks: int) -> DataFrame:
+    """``shifts`` dealt by (store and) week, with place: their number there in order of date, start and id."""
+    keys = [*shared_store(shifts), "week"]
+    return shifts.repartition(tasks, *keys).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("date", "start_min", "shift_id")))
 
 
 def conflict_spans(shifts: DataFrame, rest: int = 480, task_shifts: int = TASK_SHIFTS) -> DataFrame:
@@ -45,12 +51,15 @@ def conflict_spans(shifts: DataFrame, rest: int = 480, task_shifts: int = TASK_S
     of date, start and id.  Those that clash with a shift and come after it are the ones of its date up to
     ``same_until``, which start before it ends, and those of other dates from ``next_from`` to ``next_until``, which start
     less than ``rest`` minutes after it.  One sweep over starts, ends and padded ends counts the starts before each end.
-    Shifts are dealt by ``by_group``, and all steps keep to that.
+    Shifts are dealt once, about ``task_shifts`` a task, and all steps keep to that.
     """
-    keys = [*shared_store(shifts), "week"]
+    return _spans(_placed(shifts, _tasks(shifts, task_shifts)), [*shared_store(shifts), "week"], rest)
+
+
+def _spans(placed: DataFrame, keys: list[str], rest: int) -> DataFrame:
     start, end = absolute(F.col("week"), F.col("date"), F.col("start_min")), absolute(F.col("week"), F.col("date"), F.col("end_min"))
     own = Window.partitionBy(*keys)
-    rows = by_group(shifts, task_shifts).select(*keys, "date", "shift_id", start.alias("s"), end.alias("e"), F.row_number().over(own.orderBy("date", "start_min", "shift_id")).alias("place"))
+    rows = placed.select(*keys, "date", "shift_id", start.alias("s"), end.alias("e"), "place")
     rows = rows.withColumn("last", F.max("place").over(Window.partitionBy(*keys, "date")))
     event = lambda at, is_start, role: F.struct(at.alias("at"), F.lit(is_start).alias("is_start"), F.lit(role).alias("role"))
     events = rows.withColumn("x", F.explode(F.array(event(F.col("s"), 1, "start"), event(F.col("e"), 0, "same"), event(F.col("e") + rest, 0, "next"))))
@@ -61,16 +70,29 @@ def conflict_spans(shifts: DataFrame, rest: int = 480, task_shifts: int = TASK_S
     return spans.select(*keys, "shift_id", "place", F.least("same", "last").alias("same_until"), (F.col("last") + 1).alias("next_from"), "next_until")
 
 
-def conflict_edges(shifts: DataFrame, rest: int = 480) -> DataFrame:
+def conflict_edges(shifts: DataFrame, rest: int = 480, task_shifts: int = TASK_SHIFTS, tile: int = TILE) -> DataFrame:
     """a, b: pairs of shifts of one week (a < b; of one store, where shifts have one) that nobody can do both.
 
-    The spans of ``conflict_spans`` written out: an equi-join by place, which makes no pair that is not in the result.
+    The spans of ``conflict_spans`` written out.  Places are cut into tiles, and the ids of a tile are one row; a shift meets
+    the tiles that its runs touch and takes its part of their ids.  So pairs are made after the shuffle and the sort, which
+    move a row a shift and tile, and no pair is made that is not in the result.
     """
-    spans = conflict_spans(shifts, rest)
     keys = [*shared_store(shifts), "week"]
-    run = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    later = F.concat(run(F.col("place") + 1, F.col("same_until")), run(F.col("next_from"), F.col("next_until")))
-    pairs = spans.select(*keys, F.col("shift_id").alias("x"), F.explode(later).alias("place")).join(spans.select(*keys, "place", F.col("shift_id").alias("y")), [*keys, "place"])
+    tasks = _tasks(shifts, task_shifts)
+    spans = _spans(_placed(shifts, tasks), keys, rest)
+    run = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    runs = F.filter(F.array(run(F.col("place") + 1, F.col("same_until")), run(F.col("next_from"), F.col("next_until"))), lambda r: r["low"] <= r["high"])
+    of = lambda place: F.floor((place - 1) / tile).cast("int")
+    parts = spans.select(*keys, F.col("shift_id").alias("x"), F.explode(runs).alias("r")).select(*keys, "x", "r.*", F.explode(F.sequence(of(F.col("r.low")), of(F.col("r.high")))).alias("tile"))
+    first = F.greatest(F.col("low") - F.col("tile") * tile, F.lit(1))
+    last = F.least(F.col("high") - F.col("tile") * tile, F.lit(tile))
+    parts = parts.select(*keys, "tile", "x", first.alias("first"), (last - first + 1).alias("n"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "shift_id"))), lambda y: y["shift_id"])
+    tiles = _placed(shifts, tasks).groupBy(*keys, of(F.col("place")).alias("tile")).agg(ids.alias("ids"))
+    # dealt by number here too, so that neither side is coalesced or taken for small enough to broadcast
+    deal = lambda df: df.repartition(tasks, *keys, "tile") if tasks > 1 else df
+    met = deal(parts).join(deal(tiles).hint("merge"), [*keys, "tile"])
+    pairs = met.select("x", F.explode(F.slice("ids", F.col("first"), F.col("n"))).alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -210,6 +210,34 @@ def test_conflict_spans_are_one_row_a_shift_however_many_clash(spark):
     assert rules.conflict_edges(df).count() == 1999 * 1000
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    jvm, none = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_conflicts_are_made_after_the_shuffle(spark):
+    """1,200 shifts of a day clash with each other: 719,400 pairs, of which the shuffle sees a few rows a shift."""
+    day = dt.date(2025, 9, 1)
+    df = spark.createDataFrame([(i, day, day, 600 + i % 60, 900) for i in range(1200)], "shift_id int, week date, date date, start_min int, end_min int")
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large for it
+    try:
+        pairs = rules.conflict_edges(df).agg(F.count(F.lit(1)), F.sum(F.col("b") - F.col("a"))).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tuple(pairs) == (719_400, sum(d * (1200 - d) for d in range(1, 1200))) and shuffled_rows(spark) - before < 20_000
+
+
+@pytest.mark.parametrize(("tile", "task_shifts"), [(1, 1000), (3, 20), (7, 1)])
+def test_conflicts_are_the_same_for_any_tiles_and_tasks(spark, tile, task_shifts):
+    _, df = random_shifts(spark, 120, 2, 5)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(rules.conflict_edges(df, task_shifts=task_shifts, tile=tile)) == rows(rules.conflict_edges(df))
+
+
 def test_no_task_sweeps_more_shifts_however_many_there_are(spark):
     """120,000 shifts take about a megabyte in a shuffle, and still are several tasks; places are the same in any number of tasks."""
     week = F.date_add(F.lit("2020-01-06").cast("date"), (F.col("id") % 400 * 7).cast("int"))
